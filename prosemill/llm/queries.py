@@ -6,8 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
-from .common import prepare, read_table
+from . import language_id, license_scan, mixing, quality_rules, topk_search
+from .common import read_table
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op1_mix(read_table(spark, sf_dir, "documents"))
+
+
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.op3_topk(read_table(spark, sf_dir, "embeddings"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.op6_license(read_table(spark, sf_dir, "pages"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.op8_language(read_table(spark, sf_dir, "documents"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,11 +32,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": op1_mixing,
+        "op3_topk_search": op3_topk_search,
+        "op6_license_scan": op6_license_scan,
+        "op8_language_id": op8_language_id,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_topk_search": topk_search.OP3_SQL,
+        "op6_license_scan": license_scan.OP6_SQL,
         "op10_quality_rules": quality_rules.OP10_SQL,
     }
