@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, license_scan, mixing, quality_rules, topk_search
+from . import language_id, license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, topk_search
 from .common import read_table
 
 
@@ -18,14 +18,26 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.op3_topk(read_table(spark, sf_dir, "embeddings"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.op4_lines(read_table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.op6_license(read_table(spark, sf_dir, "pages"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op7_packing(read_table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.op8_language(read_table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.op9_components(read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op10_quality(read_table(spark, sf_dir, "documents"))
 
@@ -34,8 +46,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op3_topk_search": op3_topk_search,
+        "op4_line_dedup": op4_line_dedup,
         "op6_license_scan": op6_license_scan,
+        "op7_packing": op7_packing,
         "op8_language_id": op8_language_id,
+        "op9_ngram_join": op9_ngram_join,
         "op10_quality_rules": op10_quality_rules,
     }
 
@@ -43,6 +58,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_topk_search": topk_search.OP3_SQL,
+        "op4_line_dedup": line_dedup.OP4_SQL,
         "op6_license_scan": license_scan.OP6_SQL,
+        "op9_ngram_join": ngram_join.OP9_SQL,
         "op10_quality_rules": quality_rules.OP10_SQL,
     }
