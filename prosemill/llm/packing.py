@@ -41,18 +41,21 @@ WINDOW = 4096
 TURN = 256
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_000_000
 MEMO_LENGTH = 48
 
-#: White space on which Python and the tokenizer may differ, and what is rare: such texts are encoded as a whole.
-_ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: White space on which Python and the tokenizer may differ, the sigma that Python writes by context, and special
+#: tokens: such texts are encoded as a whole.
+_ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u0130\u03a3]|<\|")
+#: ASCII marks, which the splitter keeps apart from letters and which nothing composes with.
+_MARKS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
 
 class Encoder:
     """Token ids of texts, remembered by word.
 
-    The tokenizer's normalizer and splitter never join anything across white
-    space, so a text's ids are those of its words one after the other.
+    The tokenizer lowers case, and its splitter never joins anything across
+    white space, so a text's ids are those of its words one after the other.
     """
 
     def __init__(self, path: str) -> None:
@@ -63,25 +66,35 @@ class Encoder:
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.memo: dict[str, bytes] = {}
 
-    def _fresh(self, words: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return {w: np.array(e.ids, self.dtype).tobytes() for w, e in zip(words, found)}
+    def _fresh(self, texts: list[str]) -> dict[str, bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return {t: np.array(e.ids, self.dtype).tobytes() for t, e in zip(texts, found)}
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of new words; one of letters with ASCII marks at its end is the letters' ids and the marks'."""
+        halves = {}
+        for w in words:
+            body = w.rstrip(_MARKS)
+            halves[w] = (body, w[len(body) :]) if len(body) < len(w) and body.isalpha() else (w,)
+        atoms = [a for a in dict.fromkeys(a for parts in halves.values() for a in parts) if a not in self.memo]
+        new = self._fresh(atoms)
+        known = lambda a: new[a] if a in new else self.memo[a]
+        new |= {w: known(parts[0]) + known(parts[1]) for w, parts in halves.items() if len(parts) == 2}
+        out = {w: new[w] if w in new else self.memo[w] for w in words}
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        self.memo.update((a, ids) for a, ids in new.items() if len(a) <= MEMO_LENGTH)
+        return out
 
     def encode(self, text: str) -> bytes:
         if _ODD.search(text):
             return self._fresh([text])[text]
-        words = text.split()
-        memo = self.memo
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            pass
-        new = self._fresh([w for w in dict.fromkeys(words) if w not in memo])
-        out = b"".join([new[w] if w in new else memo[w] for w in words])
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        memo.update((w, ids) for w, ids in new.items() if len(w) <= MEMO_LENGTH)
-        return out
+        words = text.lower().split()
+        ids = list(map(self.memo.get, words))
+        if None in ids:
+            new = self._learn([w for w in dict.fromkeys(w for w, x in zip(words, ids) if x is None)])
+            ids = [new[w] if x is None else x for w, x in zip(words, ids)]
+        return b"".join(ids)
 
 
 _ENCODERS: dict[str, Encoder] = {}
