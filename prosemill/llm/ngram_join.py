@@ -236,7 +236,7 @@ def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
                 done += len(d)
                 yield pa.RecordBatch.from_arrays([d, batch.column("root").take(rows), pa.array(np.diff(to)), binary_lists(gram, to)], names=["d", "root", "n", "grams"])
 
-    rows = store(texts.join(members, "d").mapInArrow(fetch, "d long, root long, n long, grams binary").dropDuplicates(["d", "n", "grams"]), "ngram-rows")
+    rows = store(texts.join(members.hint("merge"), "d").mapInArrow(fetch, "d long, root long, n long, grams binary").dropDuplicates(["d", "n", "grams"]), "ngram-rows")
     sizes = rows.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / tile_rows), F.ceil(F.sum("n") / tile_grams)).cast("int").alias("blocks"))
     dealt = rows.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "d", "n", "grams")
