@@ -32,14 +32,15 @@ MIN_ALPHA_PERCENT = 40
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 
-RULES: dict[str, Column] = {
-    "too_few_words": F.col("n_words") < MIN_WORDS,
-    "repeated_words": 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"),
-    "symbols": 100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("n_words"),
-    "repeated_lines": 100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.col("n_lines"),
-    "shouting": 100 * F.col("n_upper") > MAX_UPPER_PERCENT * F.col("word_chars"),
-    "long_words": F.col("word_chars") > MAX_MEAN_WORD * F.col("n_words"),
-    "few_letters": 100 * F.col("n_letters") < MIN_ALPHA_PERCENT * F.col("word_chars"),
+#: What fails each rule; the order gives the bits and is only ever extended.
+RULES: dict[str, str] = {
+    "too_few_words": f"n_words < {MIN_WORDS}",
+    "repeated_words": f"100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words",
+    "symbols": f"100 * n_symbols > {MAX_SYMBOL_PERCENT} * n_words",
+    "repeated_lines": f"100 * n_dup_lines > {MAX_DUP_LINE_PERCENT} * n_lines",
+    "shouting": f"100 * n_upper > {MAX_UPPER_PERCENT} * word_chars",
+    "long_words": f"word_chars > {MAX_MEAN_WORD} * n_words",
+    "few_letters": f"100 * n_letters < {MIN_ALPHA_PERCENT} * word_chars",
 }
 BIT = {name: 1 << i for i, name in enumerate(RULES)}
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters"]
@@ -106,7 +107,7 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """Measurements and ``failed_bits``: bit ``BIT[r]`` is set where rule ``r`` fails."""
     bits = F.lit(0).cast("long")
     for name, fails in RULES.items():
-        bits = bits.bitwiseOR(F.when(fails, F.lit(BIT[name])).otherwise(F.lit(0)).cast("long"))
+        bits = bits.bitwiseOR(F.when(F.expr(fails), F.lit(BIT[name])).otherwise(F.lit(0)).cast("long"))
     return measure(docs, text).withColumn("failed_bits", bits)
 
 
