@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, topk_search
+from . import language_id, license_scan, line_dedup, mixing, ngram_join, packing, passage_dedup, quality_rules, suffix_dedup, topk_search
 from .common import read_table
 
 
@@ -14,6 +14,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op1_mix(read_table(spark, sf_dir, "documents"))
 
 
+def op2_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.op2_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.op3_topk(read_table(spark, sf_dir, "embeddings"))
 
@@ -22,6 +26,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op4_lines(read_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.op5_bytes(read_table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.op6_license(read_table(spark, sf_dir, "pages"))
 
@@ -45,8 +53,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_passage_dedup": op2_passage_dedup,
         "op3_topk_search": op3_topk_search,
         "op4_line_dedup": op4_line_dedup,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_license_scan": op6_license_scan,
         "op7_packing": op7_packing,
         "op8_language_id": op8_language_id,
@@ -59,6 +69,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_topk_search": topk_search.OP3_SQL,
         "op4_line_dedup": line_dedup.OP4_SQL,
+        "op5_suffix_dedup": suffix_dedup.OP5_SQL,
         "op6_license_scan": license_scan.OP6_SQL,
         "op9_ngram_join": ngram_join.OP9_SQL,
         "op10_quality_rules": quality_rules.OP10_SQL,
