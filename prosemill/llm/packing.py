@@ -25,8 +25,8 @@ All sequences but the last one are full.
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +46,7 @@ MEMO_LENGTH = 48
 
 #: White space on which Python and the tokenizer may differ, the sigma that Python writes by context, and special
 #: tokens: such texts are encoded as a whole.
-_ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u0130\u03a3]|<\|")
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", "\u180e", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "\u0130", "\u03a3", "<|")
 #: ASCII marks, which the splitter keeps apart from letters and which nothing composes with.
 _MARKS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
@@ -64,38 +64,52 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.memo: dict[str, bytes] = {}
 
-    def _fresh(self, texts: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return {t: np.array(e.ids, self.dtype).tobytes() for t, e in zip(texts, found)}
+    def _fresh(self, texts: list[str]) -> list[bytes]:
+        """Ids from the tokenizer itself, some thousands of texts at a time."""
+        out: list[bytes] = []
+        for i in range(0, len(texts), 8192):
+            found = self.tokenizer.encode_batch_fast(texts[i : i + 8192], add_special_tokens=False)
+            out += [array(self.code, e.ids).tobytes() for e in found]
+        return out
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of new words; one of letters with ASCII marks at its end is the letters' ids and the marks'."""
-        halves = {}
+    def _learn(self, words: set[str]) -> None:
+        """Remember new words; one of letters with ASCII marks at its end is the letters' ids and the marks'."""
+        memo, halves, atoms = self.memo, [], set()
         for w in words:
-            body = w.rstrip(_MARKS)
-            halves[w] = (body, w[len(body) :]) if len(body) < len(w) and body.isalpha() else (w,)
-        atoms = [a for a in dict.fromkeys(a for parts in halves.values() for a in parts) if a not in self.memo]
-        new = self._fresh(atoms)
-        known = lambda a: new[a] if a in new else self.memo[a]
-        new |= {w: known(parts[0]) + known(parts[1]) for w, parts in halves.items() if len(parts) == 2}
-        out = {w: new[w] if w in new else self.memo[w] for w in words}
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        self.memo.update((a, ids) for a, ids in new.items() if len(a) <= MEMO_LENGTH)
+            if not w.isalpha():
+                body = w.rstrip(_MARKS)
+                if body != w and body.isalpha():
+                    halves.append((w, body, w[len(body) :]))
+                    continue
+            atoms.add(w)
+        atoms.update(a for _, *parts in halves for a in parts)
+        fresh = [a for a in atoms if a not in memo]
+        memo.update(zip(fresh, self._fresh(fresh)))
+        memo.update((w, memo[body] + memo[marks]) for w, body, marks in halves)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as bytes."""
+        memo = self.memo
+        split = [None if any(c in t for c in _ODD) else t.lower().split() for t in texts]
+        found = [list(map(memo.get, words)) if words else [] for words in split]
+        gaps = [k for k, ids in enumerate(found) if None in ids]
+        new = {w for k in gaps for w, x in zip(split[k], found[k]) if x is None}
+        if new:
+            self._learn(new)
+        for k in gaps:
+            found[k] = [memo[w] if x is None else x for w, x in zip(split[k], found[k])]
+        whole = iter(self._fresh([t for t, words in zip(texts, split) if words is None]))
+        out = [next(whole) if words is None else b"".join(ids) for words, ids in zip(split, found)]
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        for w in new:
+            if len(w) > MEMO_LENGTH:
+                memo.pop(w, None)
         return out
 
-    def encode(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return self._fresh([text])[text]
-        words = text.lower().split()
-        ids = list(map(self.memo.get, words))
-        if None in ids:
-            new = self._learn([w for w in dict.fromkeys(w for w, x in zip(words, ids) if x is None)])
-            ids = [new[w] if x is None else x for w, x in zip(words, ids)]
-        return b"".join(ids)
-
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -114,7 +128,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         enc = encoder(path)
         end, width = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
         for batch in batches:
-            ids = [enc.encode(t or "") + end for t in batch.column("text").to_pylist()]
+            ids = [x + end for x in enc.encode([t or "" for t in batch.column("text").to_pylist()])]
             counts, starts = [len(x) // width for x in ids], []
             for source, n in zip(batch.column("source").to_pylist(), counts):
                 starts.append(served.get(source, 0))
