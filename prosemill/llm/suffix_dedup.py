@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chain, discard, join_small, mix64, partitions, prefix_hash, prepare, slices, span_hash, store, text_bytes
+from .common import chain, join_small, mix64, partitions, prefix_hash, prepare, slices, span_hash, store, text_bytes
 
 LENGTH = 100
 GRAM = 24
@@ -117,7 +117,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def multikey_order(words: np.ndarray) -> np.ndarray:
     """Order of the rows of ``words``: by the first word, then only rows that still tie by the next."""
     order = np.arange(len(words))
-    open_, group = order, np.zeros(len(words), np.int64)
+    open_, group = order.copy(), np.zeros(len(words), np.int64)
     for k in range(words.shape[1]):
         if not len(open_):
             break
