@@ -182,7 +182,7 @@ def _deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentence_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _deviations(spark, sf_dir).select("doc_id", F.col("sid").cast("long").alias("sid"), _r("ppl_z"), _r("length_z"), _r("combined"), "dominant", "direction")
+    return _deviations(spark, sf_dir).select("doc_id", F.col("sid").cast("long").alias("sid"), *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("ppl_z", "length_z", "combined")], "dominant", "direction")
 
 
 def sentence_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,9 +257,9 @@ piece AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM c
 token AS (SELECT *, regexp_matches(p, '(^|[^.!?])[.]' || chr(1)) AS lone, lower(regexp_extract(p, '([\pL\pN.]*)[.]' || chr(1), 1)) AS w FROM piece),
 bound AS (SELECT doc_id, i, p, (contains(p, chr(1)) AND NOT (lone AND (w IN ({_in(ABBREVIATIONS)}) OR regexp_full_match(w, '\pL'))))::INT AS b FROM token),
 grouped AS (SELECT doc_id, i, replace(p, chr(1), '') AS p, sum(b) OVER (PARTITION BY doc_id ORDER BY i) - b AS g,
-  coalesce(sum(length(replace(p, chr(1), ''))) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM bound),
-joined AS (SELECT doc_id, g, min(at) AS at, string_agg(p, '' ORDER BY i) AS s FROM grouped GROUP BY doc_id, g),
-trimmed AS (SELECT doc_id, g, at + length(regexp_extract(s, '^\s*')) AS start_char, regexp_replace(s, '^\s+|\s+$', '', 'g') AS t FROM joined),
+  coalesce(sum(length(replace(p, chr(1), ''))) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM bound),
+joined AS (SELECT doc_id, g, min(off) AS off, string_agg(p, '' ORDER BY i) AS s FROM grouped GROUP BY doc_id, g),
+trimmed AS (SELECT doc_id, g, off + length(regexp_extract(s, '^\s*')) AS start_char, regexp_replace(s, '^\s+|\s+$', '', 'g') AS t FROM joined),
 sent AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS sid, start_char, t, len({_WORDS}) AS word_count FROM trimmed WHERE t <> '')"""
 
 _STYLE = rf"""
@@ -385,7 +385,7 @@ FROM ss WHERE token_count > 0 AND doc_id IN (SELECT doc_id FROM labels WHERE qua
         "window_plan": r"""WITH l AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\S+')) AS n FROM documents),
 w AS (SELECT doc_id, n, unnest(range(0, CASE WHEN n < 2 THEN 0 WHEN n <= 1024 THEN 1 ELSE 1 + ceil((n - 1024) / 512)::BIGINT END)) AS w FROM l)
 SELECT doc_id, w AS "window", w * 512 AS first, least(w * 512 + 1024, n) AS last, least(w * 512 + 1024, n) - CASE WHEN w = 0 THEN 1 ELSE w * 512 + 512 END AS scored FROM w""",
-        "sentence_deviation": f"WITH {_DEVIATIONS} SELECT doc_id, sid, round(ppl_z, 6) AS ppl_z, round(length_z, 6) AS length_z, round(combined, 6) AS combined, dominant, direction FROM dev",
+        "sentence_deviation": f"WITH {_DEVIATIONS} SELECT doc_id, sid, round(ppl_z, 6) + 0.0::DOUBLE AS ppl_z, round(length_z, 6) + 0.0::DOUBLE AS length_z, round(combined, 6) + 0.0::DOUBLE AS combined, dominant, direction FROM dev",
         "sentence_flags": f"""WITH {_DEVIATIONS}, {_STYLE},
 fl AS (SELECT doc_id, localized, dominant, localized AND token_count > 0 AND round(types / n, 4) >= 0.5 AND combined >= 1.5 AND abs(CASE WHEN dominant = 'perplexity' THEN ppl_z ELSE length_z END) >= 1.0 AS flagged
   FROM dev JOIN style USING (doc_id))
