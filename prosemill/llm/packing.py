@@ -24,10 +24,12 @@ All sequences but the last one are full.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,7 @@ END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 MEMO_WORDS = 1_000_000
 MEMO_LENGTH = 48
+_NEVER = np.int32(1 << 30)
 
 #: White space on which Python and the tokenizer may differ, the sigma that Python writes by context, and special
 #: tokens: such texts are encoded as a whole.
@@ -51,6 +54,77 @@ _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", "\u180e", *map
 _MARKS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
 
+class Merges:
+    """Byte-pair merges of many words side by side, from the tokenizer's own table.
+
+    Words are rows of symbols.  Each step merges the first pair of lowest rank in
+    every row that has one and looks up the two new pairs, so a step costs a few
+    vector operations for thousands of words.  Only for words that the tokenizer
+    takes as one piece: letters in composed form.
+    """
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
+        order = np.argsort(keys, kind="stable")
+        first = np.append(True, np.diff(keys[order]) != 0)
+        self.keys, self.rank = keys[order][first], order[first].astype(np.int32)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        shown, spare = {}, 256
+        for b in range(256):
+            if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255:
+                shown[b] = chr(b)
+            else:
+                shown[b], spare = chr(spare), spare + 1
+        self.inner = np.array([vocab[shown[b]] for b in range(256)], np.int32)
+        self.last = np.array([vocab[shown[b] + suffix] for b in range(256)], np.int32)
+        self.start = [self._ranks(np.repeat(self.inner, 256), np.tile(end, 256)) for end in (self.inner, self.last)]
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.rank[at], _NEVER)
+
+    def encode(self, words: list[bytes], dtype: np.dtype) -> list[bytes]:
+        n, size = len(words), np.array([len(w) for w in words])
+        data, width = np.frombuffer(b"".join(words), np.uint8), int(size.max())
+        inside = np.arange(width + 1) < size[:, None]
+        byte = np.zeros((n, width + 1), np.int64)
+        byte[inside] = data
+        symbol = np.where(inside, self.inner[byte], -1)
+        symbol[np.arange(n), size - 1] = self.last[byte[np.arange(n), size - 1]]
+        pair = byte[:, :-1] * 256 + byte[:, 1:]
+        rank = np.where(inside[:, 1:], self.start[0][pair], _NEVER)
+        long = np.flatnonzero(size > 1)
+        rank[long, size[long] - 2] = self.start[1][pair[long, size[long] - 2]]
+        live, column = np.arange(len(words)), np.arange(width + 1)
+        while len(live):
+            r = rank[live]
+            at = r.argmin(axis=1)
+            low = r[np.arange(len(live)), at]
+            more = low < _NEVER
+            live, at, low = live[more], at[more], low[more]
+            if not len(live):
+                break
+            s, r = symbol[live], r[more]
+            after = column[None, :] > at[:, None]
+            s[:, :-1] = np.where(after[:, :-1], s[:, 1:], s[:, :-1])
+            s[:, -1] = -1
+            s[np.arange(len(live)), at] = self.made[low]
+            r[:, :-1] = np.where(after[:, :-2], r[:, 1:], r[:, :-1])
+            r[:, -1] = _NEVER
+            r[np.arange(len(live)), at] = self._ranks(s[np.arange(len(live)), at], s[np.arange(len(live)), at + 1])
+            before = np.maximum(at - 1, 0)
+            r[np.arange(len(live)), before] = np.where(at > 0, self._ranks(s[np.arange(len(live)), before], s[np.arange(len(live)), before + 1]), r[np.arange(len(live)), before])
+            symbol[live], rank[live] = s, r
+        full = symbol >= 0
+        raw, to = symbol[full].astype(dtype).tobytes(), np.append(0, np.cumsum(full.sum(axis=1)) * dtype.itemsize).tolist()
+        return [raw[i:j] for i, j in zip(to, to[1:])]
+
+
 class Encoder:
     """Token ids of texts, remembered by word.
 
@@ -63,6 +137,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Merges(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.memo: dict[str, bytes] = {}
@@ -75,6 +150,20 @@ class Encoder:
             out += [array(self.code, e.ids).tobytes() for e in found]
         return out
 
+    def _pieces(self, words: list[str]) -> list[bytes]:
+        """Ids of words: single pieces by ``Merges``, of about one length at a time; others by the tokenizer."""
+        out: list[bytes | None] = [None] * len(words)
+        raw = {k: w.encode() for k, w in enumerate(words) if w.isalpha() and is_normalized("NFC", w)}
+        plain = sorted((k for k, b in raw.items() if len(b) <= MEMO_LENGTH), key=lambda k: len(raw[k]))
+        for i in range(0, len(plain), 4096):
+            some = plain[i : i + 4096]
+            for k, ids in zip(some, self.merges.encode([raw[k] for k in some], self.dtype)):
+                out[k] = ids
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(rest, self._fresh([words[k] for k in rest])):
+            out[k] = x
+        return out
+
     def _learn(self, words: set[str]) -> None:
         """Remember new words; one of letters with ASCII marks at its end is the letters' ids and the marks'."""
         memo, halves, atoms = self.memo, [], set()
@@ -87,7 +176,7 @@ class Encoder:
             atoms.add(w)
         atoms.update(a for _, *parts in halves for a in parts)
         fresh = [a for a in atoms if a not in memo]
-        memo.update(zip(fresh, self._fresh(fresh)))
+        memo.update(zip(fresh, self._pieces(fresh)))
         memo.update((w, memo[body] + memo[marks]) for w, body, marks in halves)
 
     def encode(self, texts: list[str]) -> list[bytes]:
