@@ -19,9 +19,9 @@ it also starts earlier: in a document with a smaller id, or before in the same.
   where suffixes still tie; neighbours' common prefixes and hashes of the bytes
   to the left then give, for every offset, the classes of equal strings, and
   all but the earliest string of a class are removed.
-* Common grams.  Grams with more than ``COMMON`` different spans would fill one
-  bucket; their strings are compared one by one instead, by an aggregation with
-  partial minima and a join, which spread over all tasks.
+* Common grams.  Up to ``COMMON`` different spans of one gram, about 4 MB, are
+  sorted in one bucket.  The strings of more common grams are compared one by one
+  instead, by an aggregation with partial minima and a join, over all tasks.
 
 Cases: a null text counts as empty; texts under ``LENGTH`` bytes keep
 everything; a null id comes last; rows with equal id and text are the same
@@ -43,7 +43,7 @@ from .common import chain, join_small, mix64, partitions, prefix_hash, prepare,
 
 LENGTH = 100
 GRAM = 24
-COMMON = 400
+COMMON = 20_000
 
 _LAST = (1 << 63) - 1
 _ROW = "gram long, span long, d long, th long, own long"
