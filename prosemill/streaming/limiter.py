@@ -1,7 +1,8 @@
 """The limiter as a stateful stream, and resumable batches.
 
-Late rows are a Spark-side addition: with a watermark, rows older than it are
-dropped before they reach the state; keys idle for a window are evicted by timeout.
+Late rows are a Spark-side addition: with a watermark, keys that were idle for a
+window of event time are evicted by timeout; without one, a key's state stays, of
+``limit`` numbers at most.
 """
 
 from __future__ import annotations
@@ -33,13 +34,15 @@ def rate_limit_stream(events: DataFrame, limit: int = 10, window: float = 60.0,
             hits, *decision = admit(hits, ts, limit, window)
             out.append((key[0], ts, event, *decision))
         state.update((hits,))
-        state.setTimeoutDuration(max(1, int(window * 1000)))
+        if watermark:
+            state.setTimeoutTimestamp(max(int((rows["ts"].max() + window) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "ts", "event_id", "allowed", "remaining", "retry_after"])
 
     keyed = events.select(F.coalesce(F.col("key").cast("string"), F.lit("unknown")).alias("key"), F.col("ts").cast("double").alias("ts"), "event_id")
     if watermark:
-        keyed = keyed.withColumn("_time", F.timestamp_micros((F.col("ts") * 1_000_000).cast("long"))).withWatermark("_time", watermark).drop("_time")
-    return keyed.groupBy("key").applyInPandasWithState(run, DECISION, "hits array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        keyed = keyed.withColumn("_time", F.timestamp_micros((F.col("ts") * 1_000_000).cast("long"))).withWatermark("_time", watermark)
+    timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
+    return keyed.groupBy("key").applyInPandasWithState(run, DECISION, "hits array<double>", "append", timeout)
 
 
 def resumable(jobs: DataFrame, work: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str):

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict, deque
 
+import pytest
 from pyspark.sql import functions as F
 
 from prosemill.operators import limiter
@@ -49,13 +50,14 @@ def test_edges(spark):
     assert [r.h for r in times.select(limiter.retry_header(F.col("x")).alias("h")).collect()] == [1, 1, 1, 2]
 
 
-def test_stream_over_several_batches(spark, tmp_path):
+@pytest.mark.parametrize("watermark", [None, "1 hour"])
+def test_stream_over_several_batches(spark, tmp_path, watermark):
     data = sorted(rows(120), key=lambda r: (r[1], r[2]))
     for i in range(3):
         spark.createDataFrame(data[40 * i : 40 * i + 40], EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = rate_limit_stream(source, 4, 60.0).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
-    query.awaitTermination()
+    query = rate_limit_stream(source, 4, 60.0, watermark).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
     assert decisions(spark.read.parquet(str(tmp_path / "out"))) == brute(data, 4, 60.0)
 
 
