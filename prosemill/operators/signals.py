@@ -15,11 +15,6 @@ from ..functions.lexicon import FEATURE_NAMES
 from ..functions.numbers import let, mean_sd, perplexity, ratio
 from ..functions.text import contraction_count, digit_count, markers_among, punctuation_count, raw_tokens, sentences, stopwords_in, tokenize_words, upper_tokens, word_count
 
-RHYTHM = ("burstiness", "sentence_length_mean", "sentence_length_std", "sentence_length_cv")
-STYLE = ("type_token_ratio", "hapax_ratio", "avg_word_length", "stopword_ratio", "punctuation_density", "comma_per_sentence", "discourse_marker_ratio", "contraction_ratio", "uppercase_ratio", "digit_ratio")
-TOKEN_LEVEL = ("perplexity", "mean_token_logprob", "std_token_logprob", "median_token_logprob", "mean_token_entropy")
-SENTENCE_LEVEL = ("perplexity_burstiness", "sentence_perplexity_mean", "sentence_perplexity_std")
-
 
 def _hapax(words: Column) -> Column:
     """Words that occur once, from their sorted order."""
