@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, prepare, store
+from .common import SLICE_BYTES, join_small, prefix_hash, prepare, slices, span_hash, store, text_bytes, word_spans
 
 WINDOW = 4096
 TURN = 256
@@ -47,9 +47,6 @@ MEMO_WORDS = 1_000_000
 MEMO_LENGTH = 48
 _NEVER = np.int32(1 << 30)
 
-#: White space on which Python and the tokenizer may differ, the sigma that Python writes by context, and special
-#: tokens: such texts are encoded as a whole.
-_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", "\u180e", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "\u0130", "\u03a3", "<|")
 #: ASCII marks, which the splitter keeps apart from letters and which nothing composes with.
 _MARKS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
@@ -130,6 +127,9 @@ class Encoder:
 
     The tokenizer lowers case, and its splitter never joins anything across
     white space, so a text's ids are those of its words one after the other.
+    Texts are cut at ASCII white space; other white space stays inside a word,
+    which the tokenizer then cuts itself.  Special tokens, told by case, and
+    letters that Python lowers by context are the tokenizer's as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -140,7 +140,7 @@ class Encoder:
         self.merges = Merges(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[bytes, bytes] = {}
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
         """Ids from the tokenizer itself, some thousands of texts at a time."""
@@ -152,51 +152,65 @@ class Encoder:
 
     def _pieces(self, words: list[str]) -> list[bytes]:
         """Ids of words: single pieces by ``Merges``, of about one length at a time; others by the tokenizer."""
-        out: list[bytes | None] = [None] * len(words)
-        raw = {k: w.encode() for k, w in enumerate(words) if w.isalpha() and is_normalized("NFC", w)}
-        plain = sorted((k for k, b in raw.items() if len(b) <= MEMO_LENGTH), key=lambda k: len(raw[k]))
+        raw = [w.encode() if w.isalpha() and (w.isascii() or is_normalized("NFC", w)) and w == w.lower() else b"" for w in words]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        order, out = np.argsort(size, kind="stable"), [b""] * len(words)
+        plain = order[(size[order] > 0) & (size[order] <= MEMO_LENGTH)].tolist()
         for i in range(0, len(plain), 4096):
             some = plain[i : i + 4096]
             for k, ids in zip(some, self.merges.encode([raw[k] for k in some], self.dtype)):
                 out[k] = ids
-        rest = [k for k, x in enumerate(out) if x is None]
+        rest = np.flatnonzero((size == 0) | (size > MEMO_LENGTH)).tolist()
         for k, x in zip(rest, self._fresh([words[k] for k in rest])):
             out[k] = x
         return out
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         """Remember new words; one of letters with ASCII marks at its end is the letters' ids and the marks'."""
-        memo, halves, atoms = self.memo, [], set()
-        for w in words:
+        memo, first, second = self.memo, [], []
+        for raw in words:
+            word = raw.decode()
+            w, tail = word.lower(), ""
             if not w.isalpha():
                 body = w.rstrip(_MARKS)
                 if body != w and body.isalpha():
-                    halves.append((w, body, w[len(body) :]))
-                    continue
-            atoms.add(w)
-        atoms.update(a for _, *parts in halves for a in parts)
-        fresh = [a for a in atoms if a not in memo]
-        memo.update(zip(fresh, self._pieces(fresh)))
-        memo.update((w, memo[body] + memo[marks]) for w, body, marks in halves)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as bytes."""
-        memo = self.memo
-        split = [None if any(c in t for c in _ODD) else t.lower().split() for t in texts]
-        found = [list(map(memo.get, words)) if words else [] for words in split]
-        gaps = [k for k, ids in enumerate(found) if None in ids]
-        new = {w for k in gaps for w, x in zip(split[k], found[k]) if x is None}
-        if new:
-            self._learn(new)
-        for k in gaps:
-            found[k] = [memo[w] if x is None else x for w, x in zip(split[k], found[k])]
-        whole = iter(self._fresh([t for t, words in zip(texts, split) if words is None]))
-        out = [next(whole) if words is None else b"".join(ids) for words, ids in zip(split, found)]
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        for w in new:
-            if len(w) > MEMO_LENGTH:
-                memo.pop(w, None)
+                    w, tail = body, w[len(body) :]
+            if not word.isascii() and ("\u0130" in word or "\u03a3" in word) or "<|" in word:
+                w, tail = word, ""
+            first.append(w)
+            second.append(tail)
+        atoms = list({*first, *second} - {""})
+        ids = dict(zip(atoms, self._pieces(atoms)))
+        ids[""] = b""
+        memo.update(zip(words, [ids[a] + ids[b] if b else ids[a] for a, b in zip(first, second)]))
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> list[bytes]:
+        """Ids of each text, as bytes: each different word of a slice is looked up once."""
+        memo, width, out = self.memo, self.dtype.itemsize, []
+        for i, j in slices(offs, 8 * SLICE_BYTES):
+            part, to = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+            s, e, doc = word_spans(part, to)
+            _, first, each = np.unique(span_hash(prefix_hash(part), s, e), return_index=True, return_inverse=True)
+            raw = part.tobytes()
+            words = [raw[x:y] for x, y in zip(s[first].tolist(), e[first].tolist())]
+            ids = list(map(memo.get, words))
+            new = [w for w, x in zip(words, ids) if x is None]
+            if new:
+                self._learn(new)
+                ids = [memo[w] if x is None else x for w, x in zip(words, ids)]
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+            begin = np.cumsum(size) - size
+            n = size[each]
+            done = np.cumsum(n)
+            at = np.arange(done[-1] if len(done) else 0) + np.repeat(begin[each] - done + n, n)
+            tokens = np.frombuffer(b"".join(ids), self.dtype)[at].tobytes()
+            ends = (np.cumsum(np.bincount(doc, weights=n, minlength=j - i)).astype(np.int64) * width).tolist()
+            out += [tokens[x:y] for x, y in zip([0, *ends], ends)]
+            if len(memo) > MEMO_WORDS:
+                memo.clear()
+            for w in new:
+                if len(w) > MEMO_LENGTH:
+                    memo.pop(w, None)
         return out
 
 
@@ -217,7 +231,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         enc = encoder(path)
         end, width = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
         for batch in batches:
-            ids = [x + end for x in enc.encode([t or "" for t in batch.column("text").to_pylist()])]
+            ids = [x + end for x in enc.encode(*text_bytes(batch.column("text")))]
             counts, starts = [len(x) // width for x in ids], []
             for source, n in zip(batch.column("source").to_pylist(), counts):
                 starts.append(served.get(source, 0))

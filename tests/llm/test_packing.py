@@ -2,10 +2,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from helpers import docs_table, empty_table, prose
 from tokenizers import Tokenizer
 
 from prosemill.llm import packing
+from prosemill.llm.common import text_bytes
 
 
 def ids_of(text):
@@ -88,4 +90,13 @@ def test_every_letter_lowers_alike():
     odd = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).lower() != chr(c)]
     texts = [f"a{c}b, {c}." for c in odd]
     whole = enc.tokenizer.encode_batch(texts, add_special_tokens=False)
-    assert enc.encode(texts) == [np.array(e.ids, enc.dtype).tobytes() for e in whole]
+    assert enc.encode(*text_bytes(pa.array(texts))) == [np.array(e.ids, enc.dtype).tobytes() for e in whole]
+
+
+def test_words_side_by_side():
+    enc, rng = packing.Encoder(packing.tokenizer_path()), random.Random(2)
+    letters = [*"etaoinshrdlu", "é", "ß", "ñ", "ж", "中", "\u0301"]
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 20))) + rng.choice(["", ".", ",!", "'s", "-x"]) for _ in range(50)) for _ in range(60)]
+    whole = enc.tokenizer.encode_batch(texts, add_special_tokens=False)
+    for _ in range(2):
+        assert enc.encode(*text_bytes(pa.array(texts))) == [np.array(e.ids, enc.dtype).tobytes() for e in whole]
