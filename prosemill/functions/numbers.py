@@ -29,11 +29,11 @@ def mean_sd(values: Column) -> Column:
 
 def perplexity(mean_logprob: Column) -> Column:
     """exp(-mean), clamped; 0 without a mean."""
-    return F.coalesce(F.exp(F.least(-mean_logprob, F.lit(20.0))), F.lit(0.0))
+    return F.when(mean_logprob.isNull(), 0.0).otherwise(F.exp(F.least(-mean_logprob, F.lit(20.0))))
 
 
 def sigmoid(x: Column) -> Column:
-    return 1.0 / (1.0 + F.exp(-F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0))))
+    return F.when(x.isNotNull(), 1.0 / (1.0 + F.exp(-F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0)))))
 
 
 def round_even(x: Column, digits: int) -> Column:

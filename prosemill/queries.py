@@ -289,7 +289,7 @@ ctx AS (SELECT prev, any_value(ln(0.1::DOUBLE / (total + 0.1::DOUBLE * v))) AS u
 tok AS MATERIALIZED (SELECT doc_id, sid, logprob, entropy FROM wt JOIN seen USING (prev, word) JOIN ctx USING (prev))"""
 
 _SENTENCE_SCORES = rf"""{_TOKENS},
-ss AS MATERIALIZED (SELECT s.doc_id, s.sid, word_count, coalesce(n, 0) AS token_count, coalesce(m, 0) AS mean_logprob, coalesce(exp(least(-m, 20)), 0) AS perplexity
+ss AS MATERIALIZED (SELECT s.doc_id, s.sid, word_count, coalesce(n, 0) AS token_count, coalesce(m, 0) AS mean_logprob, CASE WHEN m IS NULL THEN 0 ELSE exp(least(-m, 20)) END AS perplexity
   FROM sent s LEFT JOIN (SELECT doc_id, sid, count(*) AS n, avg(logprob) AS m FROM tok GROUP BY doc_id, sid) USING (doc_id, sid))"""
 
 _PPL_WEIGHT, _LENGTH_WEIGHT = explain.signal_weights(FIXED_WEIGHTS)

@@ -1,3 +1,4 @@
+import os
 import random
 from collections import defaultdict, deque
 
@@ -52,9 +53,12 @@ def test_edges(spark):
 
 @pytest.mark.parametrize("watermark", [None, "1 hour"])
 def test_stream_over_several_batches(spark, tmp_path, watermark):
-    data = sorted(rows(120), key=lambda r: (r[1], r[2]))
+    data = sorted(((k, ts + 1e6, e) for k, ts, e in rows(120)), key=lambda r: (r[1], r[2]))
     for i in range(3):
+        before = set((tmp_path / "in").glob("*.parquet"))
         spark.createDataFrame(data[40 * i : 40 * i + 40], EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for new in set((tmp_path / "in").glob("*.parquet")) - before:
+            os.utime(new, (1_700_000_000 + i, 1_700_000_000 + i))
     source = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     query = rate_limit_stream(source, 4, 60.0, watermark).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
     assert query.awaitTermination(120)
