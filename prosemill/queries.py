@@ -195,6 +195,11 @@ def essay_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explain.essay_gate(_documents(spark, sf_dir)).select("doc_id", "n_chars_trimmed", "n_words", F.col("status").cast("long").alias("status"))
 
 
+def length_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = explain.length_state(raw_word_count(F.coalesce("text", F.lit(""))))
+    return _documents(spark, sf_dir).groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+
+
 def score_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("probability")
     return _scored(spark, sf_dir).select("doc_id", _r("probability"), explain.short_label(p).alias("label_text"), explain.confidence_label(p).alias("sentence"), explain.confidence(p).alias("confidence"))
@@ -237,7 +242,7 @@ QUERIES: tuple[Query, ...] = (
     doc_words, doc_sentences, signals_rhythm, signals_style, signals_surface, discourse_usage, corpus_funnel, corpus_clean, class_balance, length_stats_by_source,
     label_counts, distinct_sources, semi_benchmark_overlap, pending_anti, md5_split, md5_folds, sample_and_rotate, confusion_report, accuracy_by_source, roc_auc_rank,
     fold_accuracy, source_gap, top_failures, doc_perplexity, sentence_perplexity, pooled_calibration, window_plan, sentence_deviation, sentence_flags, essay_gate,
-    score_labels, rate_limit, rate_limit_summary, logistic_scores, essay_report,
+    length_states, score_labels, rate_limit, rate_limit_summary, logistic_scores, essay_report,
 )
 
 
@@ -392,6 +397,8 @@ fl AS (SELECT doc_id, localized, dominant, localized AND token_count > 0 AND rou
 SELECT doc_id, count(*) AS n_sentences, count(*) FILTER (flagged) AS n_flagged, count(*) FILTER (flagged AND dominant = 'perplexity') AS n_predictable, count(*) FILTER (NOT localized) AS n_unlocalized FROM fl GROUP BY doc_id""",
         "essay_gate": r"""WITH g AS (SELECT doc_id, length(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) AS c, len(regexp_extract_all(coalesce(text, ''), '\S+')) AS w FROM documents)
 SELECT doc_id, c AS n_chars_trimmed, w AS n_words, (CASE WHEN c < 250 OR c > 150000 THEN 422 WHEN w < 50 OR w > 20000 THEN 400 ELSE 200 END)::BIGINT AS status FROM g""",
+        "length_states": r"""WITH c AS (SELECT len(regexp_extract_all(coalesce(text, ''), '\S+')) AS n FROM documents)
+SELECT CASE WHEN n = 0 THEN 'empty' WHEN n < 50 THEN 'too-short' WHEN n > 20000 THEN 'too-long' WHEN n > 2000 THEN 'long' ELSE 'ok' END AS state, count(*) AS n FROM c GROUP BY ALL""",
         "score_labels": f"""WITH {_SCORED}, p AS (SELECT *, round_even(probability * 100, 0)::INT AS pct FROM sc)
 SELECT doc_id, round(probability, 6) AS probability, CASE WHEN probability >= 0.5 THEN 'Likely AI' ELSE 'Likely Human' END AS label_text,
   CASE WHEN probability >= 0.5 THEN printf('{explain.LABEL_AI}', pct) ELSE printf('{explain.LABEL_HUMAN.replace("'", "''")}', 100 - pct) END AS sentence,
