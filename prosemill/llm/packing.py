@@ -187,7 +187,7 @@ class Encoder:
     def encode(self, data: np.ndarray, offs: np.ndarray) -> list[bytes]:
         """Ids of each text, as bytes: each different word of a slice is looked up once."""
         memo, width, out = self.memo, self.dtype.itemsize, []
-        for i, j in slices(offs, 8 * SLICE_BYTES):
+        for i, j in slices(offs, 4 * SLICE_BYTES):
             part, to = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
             s, e, doc = word_spans(part, to)
             _, first, each = np.unique(span_hash(prefix_hash(part), s, e), return_index=True, return_inverse=True)
