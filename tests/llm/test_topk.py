@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from prosemill.llm import topk_search
 
@@ -30,7 +31,7 @@ def test_small_blocks_and_tables(spark):
     rng = np.random.default_rng(4)
     rows = [(i * 25, [float(x) for x in rng.normal(size=20)], 0) for i in range(60)]
     vectors = table(spark, rows).select("vec_id", topk_search.integers("embedding").alias("v"))
-    got = {tuple(r) for r in topk_search.top_k(vectors, vectors.vec_id % 50 == 0, query_block=7, candidate_block=11).collect()}
+    got = {tuple(r) for r in topk_search.top_k(vectors, F.col("vec_id") % 50 == 0, query_block=7, candidate_block=11).collect()}
     assert got == brute(rows)
     few = [(0, [1.0, 2.0], 0), (1, [0.5, 0.25], 0)]
     assert {tuple(r) for r in topk_search.op3_topk(table(spark, few)).collect()} == brute(few)
