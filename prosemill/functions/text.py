@@ -106,7 +106,7 @@ def sentence_boundary() -> str:
     """
     short = "|".join(re.escape(a) for a in ABBREVIATIONS)
     no_abbreviation = rf"(?<!(?<![\p{{L}}\p{{N}}.])(?i:{short}|\p{{L}}))"
-    return rf"(?U)([.!?]{{2,}}{CLOSERS}*|[!?]{CLOSERS}*|\.{CLOSERS}+|{no_abbreviation}\.)(?=\s|\z)"
+    return rf"(?U)([.!?]{{2,}}{CLOSERS}*|[!?]{CLOSERS}*|\.{CLOSERS}+|(?=\.){no_abbreviation}\.)(?=\s|\z)"
 
 
 def sentence_pieces(text: Column) -> Column:
