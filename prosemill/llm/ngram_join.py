@@ -93,11 +93,12 @@ class SizeClasses:
         self.blocks = np.where(differ > 0, differ + 1 + SPARE_BLOCKS, 0)
 
     def of(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, class): each set's own class, and the one below if a partner can be there."""
+        """(row, class): each set's own class, and those below down to the smallest possible partner."""
         own = np.searchsorted(self.starts, n, side="right") - 1
-        visit = (own > 0) & (-(-n * self.percent // 100) < self.starts[own])
-        row = np.concatenate([np.arange(len(n)), np.flatnonzero(visit)])
-        cls = np.concatenate([own, own[visit] - 1])
+        lowest = np.searchsorted(self.starts, np.maximum(-(-n * self.percent // 100), 1), side="right") - 1
+        count = own - lowest + 1
+        row = np.repeat(np.arange(len(n)), count)
+        cls = own[row] - (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
         keep = self.blocks[cls] > 0
         return row[keep], cls[keep]
 

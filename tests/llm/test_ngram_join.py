@@ -91,3 +91,20 @@ def test_every_pair_in_reach_shares_a_block():
             doc, key = ngram_join.block_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 90)
             same = len(a) == len(b) and (a == b).all()
             assert same or set(key[doc == 0]) & set(key[doc == 1])
+
+
+@pytest.mark.parametrize("percent", [50, 60, 66, 80])
+def test_partners_several_classes_below_share_a_block(percent):
+    rng = np.random.default_rng(1)
+    for size in range(2, 120):
+        base = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        small = np.sort(rng.choice(base, -(-percent * len(base) // 100), replace=False))
+        doc, key = ngram_join.block_keys(np.concatenate([small, base]), np.array([0, len(small), len(small) + len(base)]), percent)
+        assert len(small) == len(base) or set(key[doc == 0]) & set(key[doc == 1])
+
+
+def test_low_bound_against_brute_force(spark):
+    rng = random.Random(6)
+    text = [prose(rng, 15, 9000) for _ in range(40)]
+    rows = [(2 * i + k, " ".join(t.split()[: 15 if k else 10])) for i, t in enumerate(text) for k in (0, 1)]
+    assert got(ngram_join.join_components(docs_table(spark, rows), 3, 60).select("d", "n", "root")) == brute(rows, 3, 60)
