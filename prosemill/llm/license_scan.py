@@ -2,7 +2,8 @@
 
 A page's markup is dropped; each remaining line with a hint word is a header,
 and a page whose file name says that it is a license file is one unit as a
-whole.  Units and license templates are sparse TF-IDF vectors; a unit's license
+whole; but for the query, which follows its SQL, its lines and paragraphs are
+units too.  Units and license templates are sparse TF-IDF vectors; a unit's license
 is the template with the highest cosine, from ``MIN_COSINE`` on.  Document
 frequencies are those of the templates' words over all pages; other words weigh
 like words of no page.
@@ -45,6 +46,25 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+#: What the full texts of licenses are headed by.
+TITLES = [
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MPL-1.1", "Mozilla Public License Version 1.1"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+]
+#: Neighbouring lines of a license file that are scored together, at most.
+PARAGRAPH = 3
 #: Fixed value: a header names a license or grants something.
 HINT = r"(?i)licen[cs]|copyright|permission|redistribut|public domain|creative commons|waived"
 LICENSE_FILE = r"(?i)^(un)?(licen[cs]e|copying|notice)([._-].*)?$"
@@ -73,15 +93,15 @@ def parse(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", place.alias("_place"), body.alias("body")).select(*_PAGE, F.regexp_extract("_place", "^.*/", 0).alias("directory"), F.regexp_extract("_place", "[^/]*$", 0).alias("name"), "body")
 
 
-def _vocabulary(df: DataFrame) -> list[str]:
+def _vocabulary(templates: list[tuple[str, str]]) -> list[str]:
     import re
 
-    return sorted({w for _, text in TEMPLATES for w in re.findall(WORD, text.lower())})
+    return sorted({w for _, text in templates for w in re.findall(WORD, text.lower())})
 
 
-def document_frequencies(parsed: DataFrame) -> DataFrame:
+def document_frequencies(parsed: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """token and idf of each word of the templates, over all pages; one row per word."""
-    vocabulary = _vocabulary(parsed)
+    vocabulary = _vocabulary(templates)
     known = F.array(*[F.lit(w) for w in vocabulary])
     counted = parsed.select(F.explode(F.array_intersect(words(F.col("body")), known)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     total = parsed.agg(F.count("*").alias("n_pages"))
@@ -89,37 +109,48 @@ def document_frequencies(parsed: DataFrame) -> DataFrame:
     return every.join(F.broadcast(counted), "token", "left").crossJoin(F.broadcast(total)).select("token", (F.log((F.col("n_pages") + 1) / (F.coalesce("n", F.lit(0)) + 1)) + 1).alias("idf"), (F.log(F.col("n_pages") + 1) + 1).alias("rarest"))
 
 
-def template_vectors(idf: DataFrame) -> DataFrame:
+def template_vectors(idf: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """token, template, license, weight: unit vectors of the templates."""
-    rows = _table(idf, [F.struct(F.lit(i).alias("template"), F.lit(n).alias("license"), F.lit(t).alias("text")) for i, (n, t) in enumerate(TEMPLATES)])
+    rows = _table(idf, [F.struct(F.lit(i).alias("template"), F.lit(n).alias("license"), F.lit(t).alias("text")) for i, (n, t) in enumerate(templates)])
     tf = rows.select("template", "license", F.explode(words(F.col("text"))).alias("token")).groupBy("template", "license", "token").agg(F.count("*").alias("tf"))
     weighed = tf.join(F.broadcast(idf), "token").withColumn("w", F.col("tf") * F.col("idf"))
     return weighed.select("token", "template", "license", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template")))).alias("weight"))
 
 
-def headers(parsed: DataFrame) -> DataFrame:
-    """page, unit number and text of each header, or of the whole license file."""
+def headers(parsed: DataFrame, parts: bool = False) -> DataFrame:
+    """page, unit number and text of each header, or of the whole license file; with ``parts`` of its paragraphs too."""
     lines = F.filter(F.split("body", "\n"), lambda line: line.rlike(HINT))
-    units = F.when(F.col("name").rlike(LICENSE_FILE), F.array("body")).otherwise(lines)
+    whole = F.array("body")
+    if parts:
+        solid = F.filter(F.split("body", "\n"), lambda line: line.rlike("[A-Za-z0-9]"))
+        span = lambda n: F.transform(solid, lambda _, at: F.array_join(F.slice(solid, at + 1, F.lit(n)), " "))
+        spans = [span(n) for n in range(1, PARAGRAPH + 1)]
+        whole = F.concat(whole, F.filter(F.array_distinct(F.concat(*spans)), lambda text: text.rlike(HINT)))
+    units = F.when(F.col("name").rlike(LICENSE_FILE), whole).otherwise(lines)
     return parsed.select(*_PAGE, F.posexplode(units).alias("unit", "text"))
 
 
-def own_licenses(units: DataFrame, idf: DataFrame, least: float = MIN_COSINE) -> DataFrame:
+def own_licenses(units: DataFrame, idf: DataFrame, least: float = MIN_COSINE, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """page, license, score: the best template of any unit of the page."""
     tf = units.select(*_PAGE, "unit", F.explode(words(F.col("text"))).alias("token")).groupBy(*_PAGE, "unit", "token").agg(F.count("*").alias("tf"))
     rarest = idf.select("rarest").limit(1)
     weighed = tf.join(F.broadcast(idf.select("token", "idf")), "token", "left").crossJoin(F.broadcast(rarest)).withColumn("w", F.col("tf") * F.coalesce("idf", "rarest"))
     hits = F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("token", "w")))
     vectors = weighed.groupBy(*_PAGE, "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), hits.alias("hits"))
-    matched = vectors.select(*_PAGE, "unit", "length", F.inline("hits")).join(F.broadcast(template_vectors(idf)), "token").groupBy(*_PAGE, "unit", "template", "license").agg(F.round(F.sum(F.col("w") * F.col("weight")) / F.first("length"), 4).alias("score"))
+    matched = vectors.select(*_PAGE, "unit", "length", F.inline("hits")).join(F.broadcast(template_vectors(idf, templates)), "token").groupBy(*_PAGE, "unit", "template", "license").agg(F.round(F.sum(F.col("w") * F.col("weight")) / F.first("length"), 4).alias("score"))
     best = F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")
     return matched.filter(F.col("score") >= least).groupBy(*_PAGE).agg(best).select(*_PAGE, F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
 
 
-def scan(pages: DataFrame, least: float = MIN_COSINE) -> DataFrame:
-    """One row per page: license, how it is known (own, inherited, none), score, from_page, from_directory."""
+def scan(pages: DataFrame, least: float = MIN_COSINE, full_texts: bool = True) -> DataFrame:
+    """One row per page: license, how it is known (own, inherited, none), score, from_page, from_directory.
+
+    With ``full_texts`` the titles of full license texts are templates too, and a
+    license file is also scored by each line and up to ``PARAGRAPH`` lines together.
+    """
     parsed = parse(pages)
-    own = own_licenses(headers(parsed), document_frequencies(parsed), least)
+    templates = TEMPLATES + TITLES if full_texts else TEMPLATES
+    own = own_licenses(headers(parsed, full_texts), document_frequencies(parsed, templates), least, templates)
     none = F.lit(None)
     places = parsed.select(*_PAGE, "directory", "name", none.cast("string").alias("license"), none.cast("double").alias("score"))
     merged = places.unionByName(own, allowMissingColumns=True).groupBy(*_PAGE).agg(F.max("directory").alias("directory"), F.max("name").alias("name"), F.max("license").alias("license"), F.max("score").alias("score"))
@@ -137,7 +168,8 @@ def scan(pages: DataFrame, least: float = MIN_COSINE) -> DataFrame:
 
 
 def op6_license(pages: DataFrame) -> DataFrame:
-    return scan(pages).select("page_id", "url", "license", "relation", "score", "from_page", "from_directory")
+    """``scan`` as ``OP6_SQL`` defines it: a license file is one unit, without the titles."""
+    return scan(pages, full_texts=False).select("page_id", "url", "license", "relation", "score", "from_page", "from_directory")
 
 
 def _values() -> str:

@@ -46,3 +46,43 @@ def test_odd_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = license_scan.op6_license(spark.createDataFrame([(1, "http://x.net/a", "x")], PAGE))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GPL = """                    GNU GENERAL PUBLIC LICENSE
+                       Version {}
+
+ Copyright (C) Free Software Foundation, Inc.
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+  If this is what you want to do, use the GNU Lesser General Public License
+instead of this License.
+"""
+
+
+def test_full_texts_of_license_files(spark):
+    rows = [(1, "https://a.org/m/LICENSE", MIT), (2, "https://a.org/m/x/y.html", "plain"), (3, "https://a.org/g3/COPYING", GPL.format("3, 29 June 2007")), (4, "https://a.org/g2/COPYING.txt", GPL.format("2, June 1991")), (5, "https://a.org/n/LICENSE", "All rights reserved. No license is given to anyone.")]
+    got = scan(spark, rows)
+    assert {k: (v.license, v.relation) for k, v in got.items()} == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("GPL-3.0", "own"), 4: ("GPL-2.0", "own"), 5: (None, "none")}
