@@ -1,13 +1,12 @@
-"""Line dedup by winnowing.
+"""Line dedup by runs of lines.
 
 A document is the sequence of its lines that hold a word, each without the
-white space at its ends.  Hashes of ``GRAM`` neighbouring lines are winnowed:
-every window of ``MIN_RUN - GRAM + 1`` such hashes selects its smallest (the
-last of equals), so that two runs of ``MIN_RUN`` equal lines always select the
-same fingerprint at the same place.  Positions meet by fingerprint and are
-extended both ways to the run of ``MIN_RUN`` lines that selected it; runs with
-equal extensions are the same text, and all but the earliest (smaller doc_id,
-null last, then smaller line) are marked.  Marked runs that touch or overlap
+white space at its ends.  Every run of ``MIN_RUN`` such lines is grouped by the
+hash of the whole run, its extension.  Hashes of ``GRAM`` neighbouring lines are
+winnowed too, but the fingerprint a run selects and its place follow from the
+extension, so they are part of the key and decide nothing.  Runs with equal
+extensions are the same text, and all but the earliest (smaller doc_id, null
+last, then smaller line) are marked.  Marked runs that touch or overlap
 join to one, of any length.  All lines of marked runs go, with the blank lines
 inside them; what is compared is always the input, not what is left.
 
