@@ -2,7 +2,8 @@
 
 * ``store`` cuts lineage: it writes a table below ``spark.checkpoint.dir``
   (shared by driver and executors) and rereads it, so that a lost executor
-  costs a reread and never a recomputation of the whole plan.
+  costs a reread and never a recomputation of the whole plan.  Stored tables that
+  were not discarded before go when the driver ends.
 * the byte helpers look at an Arrow string column as one ``uint8`` vector plus
   offsets, so that words, lines and n-grams are found by vector operations on
   slices of about a megabyte, whatever the Arrow batch holds.
@@ -10,6 +11,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,8 +29,14 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 #: Rows that may be broadcast; checked against the table before each broadcast.
 BROADCAST_ROWS = 20_000
 
+#: A key is hot with this part of all rows; so there are no more hot keys than that.
+HOT_KEYS = 1000
+
 SLICE_BYTES = 1 << 20
 
+#: Paths of the stored tables that are not discarded yet.
+_STORED: dict[str, SparkSession] = {}
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -35,10 +44,13 @@ _LOWER[65:91] += 32
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the session; a local one only where it is unset."""
+    """The shared folder named by the session; a local one only where it is unset and driver and executors are one process."""
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.prosemill.scratch", None)
     if not root:
+        master = conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="prosemill-")
         spark.conf.set("spark.prosemill.scratch", root)
     return root.rstrip("/")
@@ -58,14 +70,26 @@ def store(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    _STORED[path] = spark
     return out
 
 
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a stored table that no later result reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.stored_at)
+    _STORED.pop(df.stored_at, None)
+
+
+@atexit.register
+def _discard_rest() -> None:
+    for path, spark in _STORED.items():
+        with contextlib.suppress(Exception):  # the session may have ended before
+            _delete(spark, path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +122,29 @@ def join_small(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inn
     return salted.join(right, on, how).drop("_salt", "_s", *[f"_k_{k}" for k in keys])
 
 
+def join_split(df: DataFrame, counted: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Join ``df`` to ``counted``, unique on ``keys`` with ``n``, the rows of ``df`` that have the key.
+
+    Keys with a thousandth of all ``rows`` or more are a thousand at most; they
+    are broadcast, and the others shuffle.  ``df`` should be a stored table, as
+    it is read twice.
+    """
+    hot = F.col("n") >= max(2, rows // HOT_KEYS)
+    frequent, rest = counted.filter(hot).drop("n"), counted.filter(~hot).drop("n")
+    return df.join(F.broadcast(frequent), keys).unionByName(df.join(rest.hint("merge"), keys))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to differ from all columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, also inside lambdas."""
     return F.transform(F.array(value), body)[0]
@@ -135,11 +182,30 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+def _stretches(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``SLICE_BYTES`` that end before white space; a longer word is one range."""
+    a, n = 0, len(data)
+    while a < n:
+        b = min(n, a + SLICE_BYTES)
+        while b < n:
+            blank = np.flatnonzero(_SPACE[data[b : b + 65536]])
+            if len(blank):
+                b += int(blank[0])
+                break
+            b = min(n, b + 65536)
+        yield a, b
+        a = b
+
+
 def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document index of each run of bytes that are not white space."""
     n = len(data)
     if n == 0:
         return (np.empty(0, np.int64),) * 3
+    if n > 4 * SLICE_BYTES and len(offs) == 2:
+        parts = [[x + a for x in word_spans(data[a:b], np.array([0, b - a]))[:2]] for a, b in _stretches(data)]
+        s, e = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        return s, e, np.zeros(len(s), np.int64)
     word = ~_SPACE[data]
     first = np.zeros(n + 1, bool)
     first[offs] = True
@@ -163,17 +229,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0x2545F4914F6CDD1D
 _POWERS: dict[str, np.ndarray] = {}
+_POWERS_KEPT = 1 << 21
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    if len(_POWERS.get("up", ())) <= n:
-        size = max(1 << 16, 1 << int(n + 1).bit_length())
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, np.uint64(base))
-            p[0] = 1
-            _POWERS[name] = np.cumprod(p, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+    """Powers of an odd base and of its inverse modulo 2**64; those for long texts are not kept."""
+    if len(_POWERS.get("up", ())) > n:
+        return _POWERS["up"], _POWERS["down"]
+    size, made = max(1 << 16, 1 << int(n + 1).bit_length()) if n < _POWERS_KEPT else n + 1, {}
+    for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+        p = np.full(size, np.uint64(base))
+        p[0] = 1
+        made[name] = np.cumprod(p, dtype=np.uint64)
+    if n < _POWERS_KEPT:
+        _POWERS.update(made)
+    return made["up"], made["down"]
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
@@ -190,6 +260,16 @@ def span_hash(acc: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return mix64((acc[e] - acc[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def hash_spans(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """``span_hash`` of spans in order that do not overlap; memory is that of a megabyte or of the longest span."""
+    out, i = np.empty(len(s), np.uint64), 0
+    while i < len(s):
+        j = max(i + 1, int(np.searchsorted(e, s[i] + SLICE_BYTES, side="right")))
+        out[i:j] = span_hash(prefix_hash(data[s[i] : e[j - 1]]), s[i:j] - s[i], e[i:j] - s[i])
+        i = j
+    return out
+
+
 def chain(*parts: np.ndarray) -> np.ndarray:
     """An order-sensitive hash of equally long hash vectors."""
     out = np.full(len(parts[0]), np.uint64(0x9FB21C651E98DF25))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_CLASS, _SPACE, chain, prefix_hash, prepare, slices, span_hash, store, text_bytes
+from .common import SPACE_CLASS, _SPACE, chain, hash_spans, prepare, slices, store, text_bytes
 
 MIN_RUN = 3
 GRAM = 2
@@ -69,7 +69,7 @@ def runs(data: np.ndarray, offs: np.ndarray, min_run: int, gram: int) -> tuple[n
     n = len(s) - min_run + 1
     if n <= 0:
         return (np.empty(0, np.int64),) * 5
-    line = span_hash(prefix_hash(data), s, e)
+    line = hash_spans(data, s, e)
     grams = chain(*[line[k : len(line) - gram + 1 + k] for k in range(gram)])
     at = winnow(grams, min_run - gram + 1)
     whole = chain(*[line[k : k + n] for k in range(min_run)])

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_lists, chain, lower_ascii, mix64, prefix_hash, prepare, slices, span_hash, store, text_bytes, word_spans
+from .common import binary_lists, chain, lower_ascii, mix64, hash_spans, prepare, slices, store, text_bytes, word_spans
 from .components import connected_components
 
 WIDTH = 3
@@ -59,7 +59,7 @@ def gram_sets(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarra
     """Sorted distinct hashes of each document's n-grams, end to end, and their offsets."""
     data = lower_ascii(data)
     s, e, doc = word_spans(data, offs)
-    word = span_hash(prefix_hash(data), s, e)
+    word = hash_spans(data, s, e)
     n_words = np.bincount(doc, minlength=len(offs) - 1)
     n = max(0, len(word) - width + 1)
     gram, owner = chain(*[word[k : k + n] for k in range(width)]) if n else np.empty(0, np.uint64), doc[:n]

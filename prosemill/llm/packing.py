@@ -1,25 +1,29 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Every source is a queue of its documents' tokens.  A queue earns credit in
-proportion to its weight and sends a turn of ``TURN`` tokens whenever its credit
-has covered half of the turn; windows of ``WINDOW`` tokens are cut from the
-stream of turns.  So each window holds the target proportions up to one turn per
-source, and what a queue is short of at a window's end is carried to the next
-one.  A queue that runs dry drops out and the others share its place.
-
-The credit that is carried has a closed form: the turns before a given turn are
-counted by integer arithmetic from weights and totals alone (``Schedule``).
-Windows and partitions therefore need not be filled one after the other; every
-partition places its own tokens, deficits included, without seeing another.
+Every source is a queue of its documents' tokens.  The queues are visited in
+turn.  A visit adds to the queue's deficit counter its part of a window of
+``WINDOW`` tokens by target weight; a queue whose counter covers ``TURN`` tokens
+sends what it covers, and the rest stays in the counter.  Windows are cut from
+the stream of what is sent.  So a window holds the target proportions up to about
+a turn per source, and what a queue is short of is made up in the next windows.
+A queue that runs dry drops out, and the others share its place by weight.
+
+Partitions do not wait for each other.  The stream is cut into blocks of
+``BLOCK_WINDOWS`` windows' worth of credit.  The prefix sums of credit and of
+whole tokens sent say, in exact integers, where every queue stands at the start
+of any block and what deficit is carried into it (``Plan``); the rounds inside a
+block are played by the tasks that need it.
 
 One pass tokenizes and stores ids with running offsets per task and source; sums
 of a few numbers per task give each task its place in the queues; a second pass
 places the pieces.  Token ids are never shuffled.
 
 Cases: a null or empty text is the end token alone; a null source is a queue of
-its own; repeated rows are packed one by one; a document of any length is cut at
-turn and window ends; an empty table gives no pieces; other columns are ignored.
-All sequences but the last one are full.
+its own; a source without a weight has the least weight above 0; repeated rows
+are packed one by one; a document of any length is cut where its turn or window
+ends; an empty table gives no pieces; other columns are ignored.  All sequences
+but the last one are full.  One row per source and task is collected to the
+driver: sources are taken to be thousands at most.
 """
 
 from __future__ import annotations
@@ -28,7 +32,10 @@ import json
 import os
 import zlib
 from array import array
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import islice
 from unicodedata import is_normalized
 
 import numpy as np
@@ -37,14 +44,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, join_small, prefix_hash, prepare, slices, span_hash, store, text_bytes, word_spans
+from .common import SLICE_BYTES, _stretches, hash_spans, join_small, prepare, slices, store, text_bytes, word_spans
 
 WINDOW = 4096
 TURN = 256
 END_ID = 2
+WEIGHTS = (3, 1, 2)
 TOKENIZER = "word_bpe_49k.json"
-MEMO_WORDS = 1_000_000
+BLOCK_WINDOWS = 256
+MEMO_BYTES = 32 << 20
 MEMO_LENGTH = 48
+
+#: What a remembered word takes besides its bytes and ids: two objects and a place in the table.
+_ENTRY = 170
 _NEVER = np.int32(1 << 30)
 
 #: ASCII marks, which the splitter keeps apart from letters and which nothing composes with.
@@ -122,6 +134,14 @@ class Merges:
         return [raw[i:j] for i, j in zip(to, to[1:])]
 
 
+def _id_type(path: str) -> str:
+    """Two bytes an id where the vocabulary allows."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
+    most = max([*model["model"]["vocab"].values(), *(t["id"] for t in model["added_tokens"])])
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
 class Encoder:
     """Token ids of texts, remembered by word.
 
@@ -138,9 +158,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = Merges(path)
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.dtype = np.dtype(_id_type(path))
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.memo: dict[bytes, bytes] = {}
+        self.held = 0
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
         """Ids from the tokenizer itself, some thousands of texts at a time."""
@@ -165,15 +186,15 @@ class Encoder:
             out[k] = x
         return out
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Remember new words; one of letters with ASCII marks at its end is the letters' ids and the marks'."""
-        memo, first, second = self.memo, [], []
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        """Ids of new words; one of composed letters with ASCII marks at its end is the letters' ids and the marks'."""
+        first, second = [], []
         for raw in words:
             word = raw.decode()
             w, tail = word.lower(), ""
             if not w.isalpha():
                 body = w.rstrip(_MARKS)
-                if body != w and body.isalpha():
+                if body != w and body.isalpha() and is_normalized("NFC", body):
                     w, tail = body, w[len(body) :]
             if not word.isascii() and ("\u0130" in word or "\u03a3" in word) or "<|" in word:
                 w, tail = word, ""
@@ -182,36 +203,49 @@ class Encoder:
         atoms = list({*first, *second} - {""})
         ids = dict(zip(atoms, self._pieces(atoms)))
         ids[""] = b""
-        memo.update(zip(words, [ids[a] + ids[b] if b else ids[a] for a, b in zip(first, second)]))
-
-    def encode(self, data: np.ndarray, offs: np.ndarray) -> list[bytes]:
-        """Ids of each text, as bytes: each different word of a slice is looked up once."""
-        memo, width, out = self.memo, self.dtype.itemsize, []
-        for i, j in slices(offs, 4 * SLICE_BYTES):
+        return [ids[a] + ids[b] if b else ids[a] for a, b in zip(first, second)]
+
+    def _remember(self, words: list[bytes], ids: list[bytes]) -> None:
+        """Within ``MEMO_BYTES``: beyond it, the older half goes."""
+        for w, x in zip(words, ids):
+            if len(w) <= MEMO_LENGTH:
+                self.memo[w] = x
+                self.held += len(w) + len(x) + _ENTRY
+        if self.held > MEMO_BYTES:
+            for w in list(islice(self.memo, len(self.memo) // 2)):
+                self.held -= len(w) + len(self.memo.pop(w)) + _ENTRY
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> Iterator[bytes]:
+        """Ids of each text, as bytes, a slice of texts after the other; a long text is cut at white space."""
+        for i, j in slices(offs):
             part, to = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-            s, e, doc = word_spans(part, to)
-            _, first, each = np.unique(span_hash(prefix_hash(part), s, e), return_index=True, return_inverse=True)
-            raw = part.tobytes()
-            words = [raw[x:y] for x, y in zip(s[first].tolist(), e[first].tolist())]
-            ids = list(map(memo.get, words))
-            new = [w for w, x in zip(words, ids) if x is None]
-            if new:
-                self._learn(new)
-                ids = [memo[w] if x is None else x for w, x in zip(words, ids)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids)) // width
-            begin = np.cumsum(size) - size
-            n = size[each]
-            done = np.cumsum(n)
-            at = np.arange(done[-1] if len(done) else 0) + np.repeat(begin[each] - done + n, n)
-            tokens = np.frombuffer(b"".join(ids), self.dtype)[at].tobytes()
-            ends = (np.cumsum(np.bincount(doc, weights=n, minlength=j - i)).astype(np.int64) * width).tolist()
-            out += [tokens[x:y] for x, y in zip([0, *ends], ends)]
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            for w in new:
-                if len(w) > MEMO_LENGTH:
-                    memo.pop(w, None)
-        return out
+            if len(part) > 2 * SLICE_BYTES:
+                yield b"".join(x for a, b in _stretches(part) for x in self._slice(part[a:b], np.array([0, b - a])))
+            else:
+                yield from self._slice(part, to)
+
+    def _slice(self, part: np.ndarray, to: np.ndarray) -> list[bytes]:
+        """Each different word of a slice is looked up once."""
+        width = self.dtype.itemsize
+        s, e, doc = word_spans(part, to)
+        _, first, each = np.unique(hash_spans(part, s, e), return_index=True, return_inverse=True)
+        raw = part.tobytes()
+        words = [raw[x:y] for x, y in zip(s[first].tolist(), e[first].tolist())]
+        ids = list(map(self.memo.get, words))
+        new = [w for w, x in zip(words, ids) if x is None]
+        if new:
+            learnt = self._learn(new)
+            self._remember(new, learnt)
+            fresh = iter(learnt)
+            ids = [next(fresh) if x is None else x for x in ids]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        begin = np.cumsum(size) - size
+        n = size[each]
+        done = np.cumsum(n)
+        at = np.arange(done[-1] if len(done) else 0) + np.repeat(begin[each] - done + n, n)
+        tokens = np.frombuffer(b"".join(ids), self.dtype)[at].tobytes()
+        ends = (np.cumsum(np.bincount(doc, weights=n, minlength=len(to) - 1)).astype(np.int64) * width).tolist()
+        return [tokens[x:y] for x, y in zip([0, *ends], ends)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -231,84 +265,178 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         enc = encoder(path)
         end, width = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
         for batch in batches:
-            ids = [x + end for x in enc.encode(*text_bytes(batch.column("text")))]
-            counts, starts = [len(x) // width for x in ids], []
-            for source, n in zip(batch.column("source").to_pylist(), counts):
-                starts.append(served.get(source, 0))
-                served[source] = starts[-1] + n
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(counts, pa.int64()), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "source", "n", "part", "at", "ids"])
+            found = ((x + end) for x in enc.encode(*text_bytes(batch.column("text"))))
+            sources, done = batch.column("source").to_pylist(), 0
+            while ids := list(islice(found, 256)):
+                counts, starts = [len(x) // width for x in ids], []
+                for source, n in zip(sources[done:], counts):
+                    starts.append(served.get(source, 0))
+                    served[source] = starts[-1] + n
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(ids)), batch.column("source").slice(done, len(ids)), pa.array(counts, pa.int64()), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "source", "n", "part", "at", "ids"])
+                done += len(ids)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text").mapInArrow(run, "doc_id long, source string, n long, part int, at long, ids binary")
 
 
-class Schedule:
-    """The order in which queues send their turns, from totals and weights alone.
+class Plan:
+    """Where the queues stand at each block, from totals and weights alone, and the rounds of a block.
 
-    Turn ``b`` of queue ``i`` is due at ``(2 b + 1) / weight[i]``; equal times go
-    by queue.  Weights are integers, so that counting is exact.
+    In a phase the same queues are active.  Block ``k`` of a phase starts when
+    each queue has been credited ``k * block * weight / whole`` tokens and sent the
+    whole ones of them; the fraction is the deficit that it carries into the block.
+    The last block of a phase sends the rest of the queue that runs dry.
     """
 
-    def __init__(self, totals: list[int], weights: list[float] | None = None, turn: int = TURN) -> None:
-        self.totals = np.array(totals, np.int64)
-        shares = np.array(weights if weights is not None else totals, float)
-        self.weights = np.maximum(1, np.rint(shares / shares.sum() * (1 << 22))).astype(np.int64)
-        self.turn = turn
-
-    def before(self, queue: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Tokens that all queues send before turn ``b`` of ``queue``."""
-        own, out = self.weights[queue], b * self.turn
-        for k in range(len(self.totals)):
-            due = (2 * b + 1) * self.weights[k]
-            turns = ((due - (queue <= k)) // own + 1) // 2
-            out = out + np.where(queue == k, 0, np.minimum(turns * self.turn, self.totals[k]))
-        return out
-
-    def pieces(self, queue: np.ndarray, start: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    def __init__(self, totals: list[int], weights: list[float] | None = None, window: int = WINDOW, turn: int = TURN, block_windows: int = BLOCK_WINDOWS) -> None:
+        self.totals, self.window, self.turn, self.size = [int(n) for n in totals], window, turn, window * block_windows
+        if weights is None:
+            self.weights = [max(1, n) for n in self.totals]
+        else:
+            scale = (1 << 32) / (sum(weights) or 1)
+            self.weights = [max(1, round(w * scale)) for w in weights]
+        self.first, self.most, self.base, self.whole = [], [], [], []
+        served, block = [0] * len(self.totals), 0
+        while any(left := [n - s for n, s in zip(self.totals, served)]):
+            active = [i for i, n in enumerate(left) if n]
+            whole = sum(self.weights[i] for i in active)
+            most = 0 if sum(left) <= self.size else min(((left[i] + 1) * whole - 1) // (self.size * self.weights[i]) for i in active)
+            self.first.append(block)
+            self.most.append(most)
+            self.base.append(served)
+            self.whole.append(whole)
+            served = [served[i] + self._credit(i, whole, most) if n else served[i] for i, n in enumerate(left)]
+            left = [n - s for n, s in zip(self.totals, served)]
+            rest = sum(left) <= self.size
+            served = [s + (n if rest else min(n, self._credit(i, whole, 1))) if n else s for i, (s, n) in enumerate(zip(served, left))]
+            block += most + 1
+        self.blocks, self.end = block, served
+        self.rounds = lru_cache(64)(self._rounds)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "rounds"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.rounds = lru_cache(64)(self._rounds)
+
+    def _credit(self, queue: int, whole: int, blocks: int) -> int:
+        return blocks * self.size * self.weights[queue] // whole
+
+    def served(self, block: int) -> list[int]:
+        """Tokens that each queue sent before ``block``."""
+        if block >= self.blocks:
+            return self.end
+        p = bisect_right(self.first, block) - 1
+        k = block - self.first[p]
+        return [b + self._credit(i, self.whole[p], k) if b < n else b for i, (b, n) in enumerate(zip(self.base[p], self.totals))]
+
+    def carried(self, block: int) -> list[tuple[int, int]]:
+        """Each queue's deficit at the start of ``block``, in tokens, as a fraction."""
+        p = bisect_right(self.first, block) - 1
+        k = block - self.first[p]
+        return [(k * self.size * w % self.whole[p], self.whole[p]) for w in self.weights]
+
+    def block_of(self, queue: int, position: int) -> int:
+        """The block that sends the queue's token at ``position``."""
+        p = bisect_right(self.base, position, key=lambda b: b[queue]) - 1
+        k = ((position - self.base[p][queue] + 1) * self.whole[p] - 1) // (self.size * self.weights[queue])
+        return self.first[p] + min(k, self.most[p])
+
+    def _rounds(self, block: int) -> tuple[np.ndarray, ...]:
+        """(queue, first token in its queue, rank in the stream, tokens) of what is sent in ``block``, in order."""
+        before, after = self.served(block), self.served(block + 1)
+        left = [b - a for a, b in zip(before, after)]
+        n = sum(left)
+        quantum = [self.window * x for x in left]
+        counter = [a * n // b for a, b in self.carried(block)]
+        least, sent = self.turn * n, []
+        rounds, active = -(-n // self.window), [i for i, x in enumerate(left) if x]
+        for r in range(rounds):
+            final = r == rounds - 1
+            for i in active:
+                counter[i] += quantum[i]
+                if left[i] and (final or counter[i] >= least):
+                    tokens = left[i] if final else min(counter[i] // n, left[i])
+                    counter[i] -= tokens * n
+                    left[i] -= tokens
+                    sent.append((i, tokens))
+        queue, tokens = (np.array([x[k] for x in sent], np.int64) for k in (0, 1))
+        rank = sum(before) + np.cumsum(tokens) - tokens
+        order = np.argsort(queue, kind="stable")
+        done = np.cumsum(tokens[order]) - tokens[order]
+        start = np.empty(len(queue), np.int64)
+        heads = np.searchsorted(queue[order], queue[order], side="left")
+        start[order] = done - done[heads] + np.array(before, np.int64)[queue[order]]
+        return queue, start, rank, tokens
+
+    def sent(self, queue: int, lo: int, hi: int) -> tuple[np.ndarray, ...]:
+        """(first token, rank, tokens) of the parts of the stream that hold the queue's tokens ``lo`` to ``hi``, cut at windows."""
+        parts = []
+        for block in range(self.block_of(queue, lo), self.block_of(queue, hi - 1) + 1):
+            of, start, rank, tokens = self.rounds(block)
+            mine = (of == queue) & (start < hi) & (start + tokens > lo)
+            parts.append((start[mine], rank[mine], tokens[mine]))
+        start, rank, tokens = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        inner = (rank + tokens - 1) // self.window - rank // self.window
+        row = np.repeat(np.arange(len(start)), inner + 1)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(inner + 1) - inner - 1, inner + 1)
+        begin = np.maximum(rank[row], (rank[row] // self.window + k) * self.window)
+        end = np.minimum((rank + tokens)[row], (rank[row] // self.window + k + 1) * self.window)
+        return start[row] + begin - rank[row], begin, end - begin
+
+    def pieces(self, queue: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
         """(row, start in the row, length, window, offset) of the cut documents.
 
         Row ``r`` holds tokens ``start[r]`` to ``start[r] + n[r]`` of its queue.
         """
-        first, last = start // self.turn, (start + n - 1) // self.turn
-        turns = last - first + 1
-        row = np.repeat(np.arange(len(n)), turns)
-        b = np.arange(len(row)) - np.repeat(np.cumsum(turns) - turns, turns) + first[row]
-        lo, hi = np.maximum(start[row], b * self.turn), np.minimum((start + n)[row], (b + 1) * self.turn)
-        rank = self.before(queue[row], b) + lo - b * self.turn
-        head = np.minimum(hi - lo, window - rank % window)
-        cut = head < hi - lo
-        order = np.argsort(np.concatenate([np.arange(len(row)), np.flatnonzero(cut)]), kind="stable")
-        row, lo, hi, rank = (np.concatenate([a, c])[order] for a, c in ((row, row[cut]), (lo, (lo + head)[cut]), (lo + head, hi[cut]), (rank, (rank + head)[cut])))
-        join = np.zeros(len(row), bool)
-        join[1:] = (row[1:] == row[:-1]) & (rank[1:] == rank[:-1] + (hi - lo)[:-1]) & (rank[1:] // window == rank[:-1] // window)
-        heads = np.flatnonzero(~join)
-        ends = np.append(heads[1:], len(row)) - 1
-        row, at, rank, size = row[heads], lo[heads], rank[heads], hi[ends] - lo[heads]
-        return row, at - start[row], size, rank // window, rank % window
-
-
-def pack(docs: DataFrame, path: str, weights: dict[str | None, float] | None = None, window: int = WINDOW, turn: int = TURN, with_ids: bool = False, end_id: int = END_ID) -> DataFrame:
-    """One row per piece; ``weights`` are target shares by source, those of the documents' tokens where not given."""
+        out = []
+        order = np.lexsort((start, queue))
+        new = np.append(True, (queue[order][1:] != queue[order][:-1]) | (start[order][1:] != (start + n)[order][:-1]))
+        heads = np.append(np.flatnonzero(new), len(order)).tolist()
+        for a, b in zip(heads, heads[1:]):
+            rows = order[a:b]
+            lo, hi = int(start[rows[0]]), int(start[rows[-1]] + n[rows[-1]])
+            first, rank, _ = self.sent(int(queue[rows[0]]), lo, hi)
+            cut = np.unique(np.concatenate([start[rows], np.maximum(first, lo)]))
+            row, part = np.searchsorted(start[rows], cut, side="right") - 1, np.searchsorted(first, cut, side="right") - 1
+            at = rank[part] + cut - first[part]
+            join = np.append(False, (row[1:] == row[:-1]) & (at[1:] - at[:-1] == cut[1:] - cut[:-1]) & (at[1:] // self.window == at[:-1] // self.window))
+            row, at, cut = row[~join], at[~join], cut[~join]
+            out.append((rows[row], cut - start[rows[row]], np.append(cut[1:], hi) - cut, at // self.window, at % self.window))
+        row, at, size, seq, offset = (np.concatenate([x[k] for x in out]) for k in range(5))
+        by = np.lexsort((at, row))
+        return row[by], at[by], size[by], seq[by], offset[by]
+
+
+def pack(docs: DataFrame, path: str, weights: dict[str | None, float] | Callable[[list[str | None]], list[float]] | None = None, window: int = WINDOW, turn: int = TURN, with_ids: bool = False, end_id: int = END_ID, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """One row per piece.
+
+    ``weights`` are target shares by source, or a function of the sources in
+    order (by code point, null last); not given, the sources' shares of all
+    tokens are the targets, so that all queues run dry together.
+    """
     prepare(docs.sparkSession)
     tokens = store(tokenize(docs, path, end_id), "pack-tokens")
     per_task = tokens.groupBy("part", "source").agg(F.sum("n").alias("n"))
     places = store(per_task.select("part", "source", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), "n"), "pack-places")
     totals = sorted(((r["source"], r["n"]) for r in places.groupBy("source").agg(F.sum("n").alias("n")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
-    queue_of = {source: i for i, (source, _) in enumerate(totals)}
-    schedule = Schedule([n for _, n in totals], None if weights is None else [weights.get(s, 0.0) for s, _ in totals], turn) if totals else None
+    sources = [source for source, _ in totals]
+    queue_of = {source: i for i, source in enumerate(sources)}
+    shares = weights(sources) if callable(weights) else None if weights is None else [weights.get(s, 0.0) for s in sources]
+    plan, dtype = Plan([n for _, n in totals], shares, window, turn, block_windows), np.dtype(_id_type(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype = encoder(path).dtype
         for batch in batches:
             if not batch.num_rows:
                 continue
             column = {c: batch.column(c) for c in ("doc_id", "source", "n", "at", "base", "ids")}
             n, start = np.asarray(column["n"]), np.asarray(column["at"]) + np.asarray(column["base"])
             queue = np.array([queue_of[s] for s in column["source"].to_pylist()], np.int64)
-            row, at, size, seq, offset = schedule.pieces(queue, start, n, window)
+            row, at, size, seq, offset = plan.pieces(queue, start, n)
             crc, parts, of, ids = [], [], -1, None
             for r, a, k in zip(row.tolist(), at.tolist(), size.tolist()):
                 if r != of:
-                    of, ids = r, np.frombuffer(column["ids"][r].as_py(), dtype).astype("<u4")
+                    of, ids = r, np.frombuffer(column["ids"][r].as_buffer(), dtype).astype("<u4")
                 crc.append(zlib.crc32(ids[a : a + k]))
                 if with_ids:
                     parts.append(ids[a : a + k].astype(np.int32))
@@ -333,10 +461,16 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def target_weights(sources: list[str | None], weights: tuple[int, ...] = WEIGHTS) -> list[float]:
+    """The weights, repeating, for the sources in order."""
+    return [float(weights[i % len(weights)]) for i in range(len(sources))]
+
+
 def op7_packing(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The digest of the contract."""
-    return pack(docs, path or tokenizer_path())
+    """The digest of the contract; sources have the target weights of the mix of op 1 while their tokens last."""
+    return pack(docs, path or tokenizer_path(), target_weights)
 
 
 def pack_stage(docs: DataFrame) -> DataFrame:
+    """Windows in the proportions of ``docs``, which the mixing stage has set."""
     return pack(docs, tokenizer_path())
