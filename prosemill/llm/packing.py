@@ -59,6 +59,9 @@ MEMO_LENGTH = 48
 _ENTRY = 170
 _NEVER = np.int32(1 << 30)
 
+#: Deficits inside a block count in parts of a token, 2 ** -_UNIT each.
+_UNIT = 30
+
 #: ASCII marks, which the splitter keeps apart from letters and which nothing composes with.
 _MARKS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
@@ -346,20 +349,20 @@ class Plan:
         """(queue, first token in its queue, rank in the stream, tokens) of what is sent in ``block``, in order."""
         before, after = self.served(block), self.served(block + 1)
         left = [b - a for a, b in zip(before, after)]
-        n = sum(left)
-        quantum = [self.window * x for x in left]
-        counter = [a * n // b for a, b in self.carried(block)]
-        least, sent = self.turn * n, []
-        rounds, active = -(-n // self.window), [i for i, x in enumerate(left) if x]
-        for r in range(rounds):
-            final = r == rounds - 1
-            for i in active:
-                counter[i] += quantum[i]
-                if left[i] and (final or counter[i] >= least):
-                    tokens = left[i] if final else min(counter[i] // n, left[i])
-                    counter[i] -= tokens * n
-                    left[i] -= tokens
-                    sent.append((i, tokens))
+        counter = [(a << _UNIT) // b for a, b in self.carried(block)]
+        active, sent = [i for i, n in enumerate(left) if n], []
+        while active:
+            whole = sum(self.weights[i] for i in active)
+            quantum = [(i, (self.window * self.weights[i] << _UNIT) // whole) for i in active]
+            while len(active) == len(quantum):
+                for i, credit in quantum:
+                    counter[i] += credit
+                    if left[i] and counter[i] >= min(self.turn, left[i]) << _UNIT:
+                        tokens = min(counter[i] >> _UNIT, left[i])
+                        counter[i] -= tokens << _UNIT
+                        left[i] -= tokens
+                        sent.append((i, tokens))
+                active = [i for i in active if left[i]]
         queue, tokens = (np.array([x[k] for x in sent], np.int64) for k in (0, 1))
         rank = sum(before) + np.cumsum(tokens) - tokens
         order = np.argsort(queue, kind="stable")
@@ -397,7 +400,7 @@ class Plan:
             rows = order[a:b]
             lo, hi = int(start[rows[0]]), int(start[rows[-1]] + n[rows[-1]])
             first, rank, _ = self.sent(int(queue[rows[0]]), lo, hi)
-            cut = np.unique(np.concatenate([start[rows], np.maximum(first, lo)]))
+            cut = np.unique(np.concatenate([start[rows], np.maximum(first[first < hi], lo)]))
             row, part = np.searchsorted(start[rows], cut, side="right") - 1, np.searchsorted(first, cut, side="right") - 1
             at = rank[part] + cut - first[part]
             join = np.append(False, (row[1:] == row[:-1]) & (at[1:] - at[:-1] == cut[1:] - cut[:-1]) & (at[1:] // self.window == at[:-1] // self.window))

@@ -130,7 +130,7 @@ def test_deficits_are_carried_over_windows_and_blocks():
     totals, window, turn = [120_000, 120_000 // 31], 256, 32
     owner, plan = played(totals, None, turn, window, 16)
     small = np.array([(owner[a : a + window] == 1).sum() for a in range(0, len(owner) - window, window)])
-    assert set(small[:-4].tolist()) != {8} and (small == 0).any() and small.max() >= turn
+    assert (small == 0).sum() > len(small) // 2 and small.max() >= turn
     due = np.arange(1, len(small) + 1) * window * totals[1] / sum(totals)
     assert np.abs(np.cumsum(small) - due).max() <= 2 * turn
     assert any(a for b in range(1, plan.blocks - 1) for a, _ in plan.carried(b))
