@@ -12,30 +12,37 @@ these edges contain all links and tell which rows are multiplied with which.
 Within such a component the product of the rows with each other is accumulated
 block of columns by block of columns, and a pair is discarded as soon as its
 overlap and what both rows have left cannot reach the overlap that their sizes
-ask for.  Components with more than ``TILE_ROWS`` rows or ``TILE_GRAMS`` n-grams
-are dealt over tiles of two blocks of rows each.  A tile sends on a spanning
-forest of its links, so a group of n copies costs n rows and not n * n.
+ask for.  A component with more than ``TILE_ROWS`` rows or ``TILE_GRAMS`` n-grams is
+cut into blocks of rows.  First each block is multiplied with itself and the
+component's first row; rows that it reaches are linked already and need not meet
+each other again.  The rest, blocks of their own, then meets all rows in tiles.
+So a component of n copies of one text sends n rows.  A tile sends on a spanning
+forest of its links, never all of them.
 
 Documents with equal sets are one row of the matrix.  Texts are read whole; the
-sets of documents without a candidate never leave the first pass.
+sets of documents without a candidate never leave the first pass.  A node of the
+link graph is a number of 20 digits, the doc_id or one above all of them.
 
 Cases: a null or empty text, or one without words, has an empty set and links to
-nothing; with fewer words than n, the whole sequence is the one n-gram; rows
-with equal doc_id are one node of the link graph; a null doc_id is a node of its
-own for each text, last in order, and never a component's name unless all its
-members have none (then null); other columns are ignored.
+nothing; with fewer words than n, the whole sequence is the one n-gram; doc_id may
+be any long; rows with equal doc_id are one node of the link graph, whatever their
+texts, and each gives one row; a null doc_id is a node of its own for each text,
+last in order, and never a component's name unless all its members have none
+(then null); texts of any length are hashed a megabyte at a time; other columns
+are ignored, and the stage keeps them as they are.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_lists, chain, lower_ascii, mix64, hash_spans, prepare, slices, store, text_bytes, word_spans
+from .common import binary_lists, chain, discard, hash_spans, join_split, lower_ascii, mix64, prepare, slices, store, text_bytes, unused, word_spans
 from .components import connected_components
 
 WIDTH = 3
@@ -46,13 +53,24 @@ TILE_ROWS = 1024
 TILE_GRAMS = 1 << 20
 COLUMN_BLOCK = 2048
 
-#: Ids from here on stand for rows without a doc_id.
-NO_ID = 1 << 62
+#: Near-duplicate stages: five words and a similarity of 0.8.
+STAGE_WIDTH = 5
+STAGE_PERCENT = 80
+
+#: Nodes from here on stand for rows without a doc_id.
+NO_ID = 1 << 63
+NODE = "decimal(20,0)"
 
 
 def node_id() -> Column:
     """doc_id, or a number above all ids from a hash of the text."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID)))
+    none = F.xxhash64("text").bitwiseAND(F.lit(NO_ID - 1)).cast(NODE) + F.lit(str(NO_ID)).cast(NODE)
+    return F.coalesce(F.col("doc_id").cast("long").cast(NODE), none.cast(NODE))
+
+
+def known_id(node: str) -> Column:
+    """The doc_id of a node, null for rows without one."""
+    return F.when(F.col(node) < F.lit(str(NO_ID)).cast(NODE), F.col(node).cast("long"))
 
 
 def gram_sets(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,12 +147,13 @@ def block_keys(gram: np.ndarray, offs: np.ndarray, percent: int) -> tuple[np.nda
     return doc[of], chain(content, cls[of].astype(np.uint64), b)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+def _batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows with their sets, a slice of texts at a time."""
     for batch in batches:
         data, offs = text_bytes(batch.column("text"))
         for i, j in slices(offs):
             gram, to = gram_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width)
-            yield batch.column("d").slice(i, j - i), gram, to
+            yield batch.slice(i, j - i), gram, to
 
 
 def _sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -190,74 +209,112 @@ def links(sizes: np.ndarray, gram: np.ndarray, offs: np.ndarray, percent: int, c
 
 
 def _tile(percent: int):
+    """a, b: a spanning forest of the links between a tile's rows; the leading row, where there is one, is a root."""
+
     def run(table: pa.Table) -> pa.Table:
-        d, n = table.column("d").to_numpy(), table.column("n").to_numpy()
-        order = np.lexsort((d, n))
-        sets = table.column("grams").combine_chunks() if isinstance(table.column("grams"), pa.ChunkedArray) else table.column("grams")
-        gram = np.concatenate([np.frombuffer(sets[int(i)].as_py(), np.uint64) for i in order])
-        root = links(n[order], gram, np.concatenate([[0], np.cumsum(n[order])]), percent)
-        a, b = d[order], d[order][root]
-        keep = a != b
-        return pa.table({"a": pa.array(a[keep]), "b": pa.array(b[keep])})
+        table = table.sort_by([("lead", "descending"), ("n", "ascending"), ("d", "ascending")]).combine_chunks()
+        n, sets = table.column("n").to_numpy(), table.column("grams")
+        gram = np.concatenate([np.frombuffer(sets[i].as_buffer(), np.uint64) for i in range(len(n))])
+        root = links(n, gram, np.concatenate([[0], np.cumsum(n)]), percent)
+        keep = pa.array(np.flatnonzero(root != np.arange(len(n))))
+        d = table.column("d")
+        return pa.table({"a": d.take(keep), "b": d.take(pa.array(root).take(keep))})
 
     return run
 
 
+def _multiplied(rows: DataFrame, percent: int, tile_rows: int, tile_grams: int) -> DataFrame:
+    """a, b: links that span all that link the rows of a coarse component; ``rows`` has root, d, n, grams."""
+    kind = f"a {NODE}, b {NODE}"
+    size = lambda: F.greatest(F.ceil(F.count("*") / tile_rows), F.ceil(F.sum("n") / tile_grams)).cast("int")
+    sizes = store(rows.groupBy("root").agg(size().alias("blocks"), F.min("d").alias("first"), F.count("*").alias("n")), "ngram-sizes")
+    total = rows.count()
+    large = sizes.filter("blocks > 1").select("root", F.col("first").alias("d"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
+    own = F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int")
+    dealt = join_split(rows, sizes, ["root"], total).withColumn("own", own)
+    if large.isEmpty():
+        return dealt.select("root", "own", "d", "n", "grams", F.lit(False).alias("lead")).groupBy("root", "own").applyInArrow(_tile(percent), kind)
+    dealt = store(dealt, "ngram-dealt")
+    lead = dealt.filter("d = first AND blocks > 1").select("root", "d", "n", "grams").dropDuplicates(["root"])
+    ahead = large.join(lead, ["root", "d"]).select("root", "own", "d", "n", "grams", F.lit(True).alias("lead"))
+    blocks = dealt.select("root", "own", "d", "n", "grams", F.lit(False).alias("lead")).unionByName(ahead)
+    within = store(blocks.groupBy("root", "own").applyInArrow(_tile(percent), kind), "ngram-within")
+
+    reached = within.select(F.col("a").alias("d"), F.col("b").alias("first")).distinct()
+    rest = store(dealt.filter("blocks > 1 AND d <> first").join(reached, ["d", "first"], "left_anti"), "ngram-rest")
+    again = rest.groupBy("root").agg(size().alias("parts"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    counted = store(again.join(sizes, "root").select("root", "parts", "n"), "ngram-again")
+    part = F.pmod(F.xxhash64("d", F.lit("rest")), F.col("parts")).cast("int")
+    left = join_split(rest, counted, ["root"], total).withColumn("part", part).withColumn("other", spread("blocks"))
+    right = join_split(dealt, counted, ["root"], total).withColumn("part", spread("parts")).withColumn("other", F.col("own"))
+    tiles = left.select("root", "part", "other", "d", "n", "grams").unionByName(right.select("root", "part", "other", "d", "n", "grams")).withColumn("lead", F.lit(False))
+    return within.unionByName(tiles.groupBy("root", "part", "other").applyInArrow(_tile(percent), kind))
+
+
 def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tile_rows: int = TILE_ROWS, tile_grams: int = TILE_GRAMS) -> DataFrame:
     """d (see ``node_id``), n (set size) and root (smallest node that links reach), one row per row of ``docs``."""
     prepare(docs.sparkSession)
-    texts = docs.select(node_id().alias("d"), "text")
+    texts = docs.select(node_id().alias("d"), F.xxhash64("text").alias("t"), "text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row with n and the set's fingerprint for each document, and a row for each of its block keys."""
-        for d, gram, to in _batches(batches, width):
+        for rows, gram, to in _batches(batches, width):
             n, x, y = np.diff(to), _sums(mix64(gram), to), _sums(mix64(gram ^ np.uint64(0xA5A5A5A5A5A5A5A5)), to)
-            yield pa.RecordBatch.from_arrays([d, pa.nulls(len(d), pa.int64()), pa.array(n), pa.array(x), pa.array(y)], names=["d", "key", "n", "x", "y"])
+            d = rows.column("d")
+            yield pa.RecordBatch.from_arrays([d, pa.nulls(len(d), pa.int64()), rows.column("t"), pa.array(n), pa.array(x), pa.array(y)], names=["d", "key", "t", "n", "x", "y"])
             doc, key = block_keys(gram, to, percent)
             none = pa.nulls(len(doc), pa.int64())
-            yield pa.RecordBatch.from_arrays([d.take(pa.array(doc)), pa.array(key.view(np.int64)), none, none, none], names=["d", "key", "n", "x", "y"])
-
-    scanned = store(texts.mapInArrow(scan, "d long, key long, n long, x long, y long"), "ngram-scan")
-    keys, sets = scanned.filter("key IS NOT NULL").select("key", "d"), scanned.filter("key IS NULL").select("d", "n", "x", "y")
-    equal = sets.filter("n > 0").groupBy("n", "x", "y").agg(F.min("d").alias("rep"), F.max("d").alias("most")).filter("rep <> most").drop("most")
-    copies = store(sets.join(equal, ["n", "x", "y"]).filter("d <> rep").select(F.col("d").alias("copy"), "rep").distinct(), "ngram-copies")
-
-    met = keys.groupBy("key").agg(F.min("d").alias("least"), F.max("d").alias("most")).filter("least <> most").drop("most")
-    edges = store(keys.join(met, "key").filter("d <> least").select("d", "least").distinct(), "ngram-met")
+            yield pa.RecordBatch.from_arrays([d.take(pa.array(doc)), pa.array(key.view(np.int64)), none, none, none, none], names=["d", "key", "t", "n", "x", "y"])
+
+    scanned = store(texts.mapInArrow(scan, f"d {NODE}, key long, t long, n long, x long, y long"), "ngram-scan")
+    keys, sets = scanned.filter("key IS NOT NULL").select("key", "d"), scanned.filter("key IS NULL").drop("key")
+    total, n_keys = sets.count(), keys.count()
+    first = F.min(F.struct("d", "t")).alias("first")
+    equal = store(sets.filter("n > 0").groupBy("n", "x", "y").agg(first, F.count("*").alias("rows")).filter("rows > 1"), "ngram-equal")
+    equal = equal.select("x", "y", F.col("n").alias("size"), F.col("first.d").alias("rep"), F.col("first.t").alias("rep_t"), F.col("rows").alias("n"))
+    twins = join_split(sets.withColumnRenamed("n", "size"), equal, ["size", "x", "y"], total).filter("d <> rep OR t <> rep_t")
+    copies = store(twins.select("d", "t", "rep").distinct(), "ngram-copies")
+    mine = sets.join(copies.select("d").distinct(), "d", "left_semi").join(copies.select("d", "t"), ["d", "t"], "left_anti")
+    moved = store(copies.select("d", "rep").unionByName(mine.select("d", F.col("d").alias("rep"))).distinct(), "ngram-moved")
+
+    met = store(keys.groupBy("key").agg(F.min("d").alias("least"), F.max("d").alias("most"), F.count("*").alias("n")).filter("least <> most").drop("most"), "ngram-keys")
+    edges = store(join_split(keys, met, ["key"], n_keys).filter("d <> least").select("d", "least").distinct(), "ngram-met")
     for end in ("d", "least"):
-        edges = edges.join(copies, F.col(end) == F.col("copy"), "left").withColumn(end, F.coalesce("rep", end)).drop("copy", "rep")
+        edges = edges.join(moved.select(F.col("d").alias(end), "rep"), end, "left").withColumn(end, F.coalesce("rep", end)).drop("rep")
     coarse = connected_components(edges.select(F.col("d").alias("a"), F.col("least").alias("b")))
     members = coarse.select(F.col("node").alias("d"), "root").unionByName(coarse.select(F.col("root").alias("d"), "root")).distinct()
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = 0
-            for d, gram, to in _batches(iter([batch]), width):
-                rows = pa.array(np.arange(done, done + len(d)))
-                done += len(d)
-                yield pa.RecordBatch.from_arrays([d, batch.column("root").take(rows), pa.array(np.diff(to)), binary_lists(gram, to)], names=["d", "root", "n", "grams"])
-
-    rows = store(texts.join(members.hint("merge"), "d").mapInArrow(fetch, "d long, root long, n long, grams binary").dropDuplicates(["d", "n", "grams"]), "ngram-rows")
-    sizes = rows.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / tile_rows), F.ceil(F.sum("n") / tile_grams)).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "d", "n", "grams")
-    linked = tiles.groupBy("root", "i", "j").applyInArrow(_tile(percent), "a long, b long")
-    roots = connected_components(linked)
-    out = sets.select("d", "n").join(copies, F.col("d") == F.col("copy"), "left").withColumn("rep", F.coalesce("rep", "d")).drop("copy")
-    out = out.join(roots, F.col("rep") == F.col("node"), "left").select("d", "n", F.coalesce("root", "rep").alias("root"))
-    return out
+        for rows, gram, to in _batches(batches, width):
+            yield pa.RecordBatch.from_arrays([rows.column("d"), rows.column("root"), pa.array(np.diff(to)), binary_lists(gram, to)], names=["d", "root", "n", "grams"])
+
+    met_texts = texts.join(members.hint("merge"), "d").join(copies.select("d", "t"), ["d", "t"], "left_anti")
+    rows = store(met_texts.mapInArrow(fetch, f"d {NODE}, root {NODE}, n long, grams binary").filter("n > 0").dropDuplicates(["d", "n", "grams"]), "ngram-rows")
+    linked = _multiplied(rows, percent, tile_rows, tile_grams)
+
+    place = store(moved.groupBy("d").agg(F.min("rep").alias("least")), "ngram-place")
+    bridges = moved.join(place, "d").filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    roots = connected_components(linked.unionByName(bridges))
+    out = sets.select("d", "n").join(place, "d", "left").withColumn("rep", F.coalesce("least", "d"))
+    return out.join(roots, F.col("rep") == F.col("node"), "left").select("d", "n", F.coalesce("root", "rep").alias("root"))
 
 
 def op9_components(docs: DataFrame) -> DataFrame:
     """The digest of the contract."""
-    known = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
-    return join_components(docs.select("doc_id", "text")).select(known("d").alias("doc_id"), F.col("n").alias("n_shingles"), known("root").alias("component_id"))
+    return join_components(docs.select("doc_id", "text")).select(known_id("d").alias("doc_id"), F.col("n").alias("n_shingles"), known_id("root").alias("component_id"))
 
 
 def join_stage(docs: DataFrame) -> DataFrame:
-    """One document of each group of linked ones: the one with the smallest id."""
-    best = join_components(docs).filter("d = root").select(F.col("d").alias("_keep")).distinct()
-    return docs.withColumn("_keep", node_id()).join(best, "_keep", "left_semi").dropDuplicates(["_keep"]).select(*docs.columns)
+    """One document of each group of linked ones: the one with the smallest id, whole and once.
+
+    Where that id repeats, its first row in the order of the columns stays.
+    """
+    keep, place = unused(docs, "keep", "place")
+    best = join_components(docs, STAGE_WIDTH, STAGE_PERCENT).filter("d = root").select(F.col("d").alias(keep)).distinct()
+    orderable = [F.col(f"`{c}`") for c, kind in docs.dtypes if not re.search("map<|variant|interval", kind)]
+    first = Window.partitionBy(keep).orderBy(*orderable)
+    return docs.withColumn(keep, node_id()).join(best, keep, "left_semi").withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1).select(*docs.columns)
 
 
 OP9_SQL = r"""

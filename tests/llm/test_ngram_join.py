@@ -55,8 +55,57 @@ def test_against_brute_force(spark, rows):
 
 def test_tiles_and_other_bounds(spark):
     rows = near(3, 60, 70)
-    out = ngram_join.join_components(docs_table(spark, rows), 5, 80, tile_rows=7).select("d", "n", "root")
-    assert got(out) == brute(rows, 5, 80)
+    for tile_rows in (7, 25):
+        out = ngram_join.join_components(docs_table(spark, rows), 5, 80, tile_rows=tile_rows).select("d", "n", "root")
+        assert got(out) == brute(rows, 5, 80)
+
+
+def test_chain_of_links_over_tiles(spark):
+    """Each text is linked with the next only, so the first row of the component reaches few."""
+    rng = random.Random(8)
+    words_ = [f"w{rng.randrange(10**9)}" for _ in range(400)]
+    rows = [(i, " ".join(words_[i : i + 60])) for i in range(120)] + [(500 + i, " ".join(words_[300 + i // 30 :])) for i in range(60)]
+    rng.shuffle(rows)
+    out = ngram_join.join_components(docs_table(spark, rows), 3, 80, tile_rows=9).select("d", "n", "root")
+    assert got(out) == brute(rows, 3, 80)
+
+
+def test_copies_beyond_a_tile_send_each_row_once(spark):
+    rows = [(i, f"{prose(random.Random(5), 60)} x{i}") for i in range(300)]
+    texts = docs_table(spark, rows)
+    assert {r.root for r in ngram_join.join_components(texts, tile_rows=20).collect()} == {0}
+
+
+BIG = 1 << 62
+
+
+def test_any_long_id(spark):
+    rows = [(BIG + 7, "a b c d e"), (BIG + 8, "a b c d e"), (-5, "p q r s"), (2 * BIG - 1, "p q r s"), (-2 * BIG, "z y x"), (BIG - 1, "own words here")]
+    assert got(ngram_join.op9_components(docs_table(spark, rows))) == brute(rows)
+    kept = ngram_join.join_stage(docs_table(spark, rows)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({r[2] for r in brute(rows, 5, 80)})
+
+
+def test_repeated_id_is_one_node_and_keeps_its_rows(spark):
+    a, b, c, e = "a b c d e f", "m n o p q r", "s t u v w x", "k l j h g f"
+    for rows in ([(1, a), (2, b), (5, a), (5, b)], [(5, a), (5, b), (7, b), (9, c), (9, a), (3, e), (9, e)], [(2, a), (2, a.upper()), (2, b), (8, b), (8, "")]):
+        assert got(ngram_join.op9_components(docs_table(spark, rows))) == brute(rows)
+    rng = random.Random(3)
+    rows = [(rng.randrange(40), x) for _, x in near(6, 50, 60) + shared_texts(9, 30)]
+    assert got(ngram_join.op9_components(docs_table(spark, rows))) == brute(rows)
+
+
+def test_stage_with_clashing_columns(spark):
+    docs = docs_table(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (2, "q"), (None, None), (4, "")]).selectExpr("*", "7 AS keep", "8 AS place", "9 AS d", "10 AS _keep", "map('a', 1) AS m")
+    out = ngram_join.join_stage(docs).collect()
+    assert sorted(((r.doc_id, r.text, r.keep, r.place, r.d, r["_keep"]) for r in out), key=repr) == sorted([(1, "a b c d e f", 7, 8, 9, 10), (4, "", 7, 8, 9, 10), (None, None, 7, 8, 9, 10)], key=repr)
+    assert ngram_join.join_stage(empty_table(spark)).collect() == []
+
+
+def test_long_text(spark):
+    long = " ".join(f"w{i % 5003}" for i in range(900_000))
+    rows = [(1, long), (2, long + " end"), (3, "x" * 3_000_000), (4, "x" * 3_000_000)]
+    assert [(r[0], r[2]) for r in got(ngram_join.op9_components(docs_table(spark, rows)))] == [(1, 1), (2, 1), (3, 3), (4, 3)]
 
 
 def test_odd_rows(spark):
@@ -76,7 +125,7 @@ def test_stage_keeps_one(spark):
     docs = docs_table(spark, rows)
     out = ngram_join.join_stage(docs)
     assert out.columns == docs.columns
-    assert sorted(r.doc_id for r in out.collect()) == sorted({r[2] for r in brute(rows)})
+    assert sorted(r.doc_id for r in out.collect()) == sorted({r[2] for r in brute(rows, 5, 80)})
 
 
 def test_every_pair_in_reach_shares_a_block():

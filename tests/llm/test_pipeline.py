@@ -24,7 +24,7 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert all(len(r.text) == want[d][4] == r.n_chars for d, r in got.items())
 
     three = corpus_pipeline.near_duplicates(spark, two, sf_dir).cache()
-    alive = {r[2] for r in test_ngram_join.brute([(r.doc_id, r.text) for r in got.values()])}
+    alive = {r[2] for r in test_ngram_join.brute([(r.doc_id, r.text) for r in got.values()], 5, 80)}
     assert {r.doc_id for r in three.collect()} == alive and three.columns == docs.columns
 
     four = corpus_pipeline.mix(spark, three, sf_dir).cache()
