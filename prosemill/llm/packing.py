@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, _stretches, hash_spans, join_small, prepare, slices, store, text_bytes, word_spans
+from .common import SLICE_BYTES, _stretches, hash_spans, join_small, lower_ascii, prepare, slices, store, text_bytes, word_spans
 
 WINDOW = 4096
 TURN = 256
@@ -52,7 +52,7 @@ END_ID = 2
 WEIGHTS = (3, 1, 2)
 TOKENIZER = "word_bpe_49k.json"
 BLOCK_WINDOWS = 256
-MEMO_BYTES = 32 << 20
+MEMO_BYTES = 48 << 20
 MEMO_LENGTH = 48
 
 #: What a remembered word takes besides its bytes and ids: two objects and a place in the table.
@@ -64,6 +64,9 @@ _UNIT = 30
 
 #: ASCII marks, which the splitter keeps apart from letters and which nothing composes with.
 _MARKS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
+_MARK, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(_MARKS.encode())] = True
+_PLAIN[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
 
 
 class Merges:
@@ -164,6 +167,7 @@ class Encoder:
         self.dtype = np.dtype(_id_type(path))
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.held = 0
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
@@ -174,26 +178,36 @@ class Encoder:
             out += [array(self.code, e.ids).tobytes() for e in found]
         return out
 
+    def _merged(self, raw: list[bytes]) -> list[bytes]:
+        """Ids of single pieces by ``Merges``, of about one length at a time."""
+        order, out = np.argsort(np.fromiter(map(len, raw), np.int64, len(raw)), kind="stable").tolist(), [b""] * len(raw)
+        for i in range(0, len(order), 4096):
+            some = order[i : i + 4096]
+            for k, ids in zip(some, self.merges.encode([raw[k] for k in some], self.dtype)):
+                out[k] = ids
+        return out
+
     def _pieces(self, words: list[str]) -> list[bytes]:
-        """Ids of words: single pieces by ``Merges``, of about one length at a time; others by the tokenizer."""
+        """Ids of words: letters in composed form are single pieces; others are the tokenizer's."""
         raw = [w.encode() if w.isalpha() and (w.isascii() or is_normalized("NFC", w)) and w == w.lower() else b"" for w in words]
-        size = np.fromiter(map(len, raw), np.int64, len(raw))
-        order, out = np.argsort(size, kind="stable"), [b""] * len(words)
-        plain = order[(size[order] > 0) & (size[order] <= MEMO_LENGTH)].tolist()
-        for i in range(0, len(plain), 4096):
-            some = plain[i : i + 4096]
-            for k, ids in zip(some, self.merges.encode([raw[k] for k in some], self.dtype)):
+        single = [k for k, w in enumerate(raw) if 0 < len(w) <= MEMO_LENGTH]
+        rest = [k for k, w in enumerate(raw) if not 0 < len(w) <= MEMO_LENGTH]
+        out = [b""] * len(words)
+        for some, found in ((single, self._merged([raw[k] for k in single])), (rest, self._fresh([words[k] for k in rest]))):
+            for k, ids in zip(some, found):
                 out[k] = ids
-        rest = np.flatnonzero((size == 0) | (size > MEMO_LENGTH)).tolist()
-        for k, x in zip(rest, self._fresh([words[k] for k in rest])):
-            out[k] = x
         return out
 
     def _learn(self, words: list[bytes]) -> list[bytes]:
         """Ids of new words; one of composed letters with ASCII marks at its end is the letters' ids and the marks'."""
+        single = [k for k, w in enumerate(words) if len(w) <= MEMO_LENGTH and w.isalpha()]
+        out: list[bytes | None] = [None] * len(words)
+        for k, ids in zip(single, self._merged([words[k] for k in single])):
+            out[k] = ids
+        rest = [k for k, x in enumerate(out) if x is None]
         first, second = [], []
-        for raw in words:
-            word = raw.decode()
+        for k in rest:
+            word = words[k].decode()
             w, tail = word.lower(), ""
             if not w.isalpha():
                 body = w.rstrip(_MARKS)
@@ -206,17 +220,18 @@ class Encoder:
         atoms = list({*first, *second} - {""})
         ids = dict(zip(atoms, self._pieces(atoms)))
         ids[""] = b""
-        return [ids[a] + ids[b] if b else ids[a] for a, b in zip(first, second)]
+        for k, a, b in zip(rest, first, second):
+            out[k] = ids[a] + ids[b] if b else ids[a]
+        return out
 
     def _remember(self, words: list[bytes], ids: list[bytes]) -> None:
-        """Within ``MEMO_BYTES``: beyond it, the older half goes."""
+        """Two generations of half of ``MEMO_BYTES`` each: words of the older one stay if they are used again."""
         for w, x in zip(words, ids):
             if len(w) <= MEMO_LENGTH:
                 self.memo[w] = x
                 self.held += len(w) + len(x) + _ENTRY
-        if self.held > MEMO_BYTES:
-            for w in list(islice(self.memo, len(self.memo) // 2)):
-                self.held -= len(w) + len(self.memo.pop(w)) + _ENTRY
+        if self.held > MEMO_BYTES // 2:
+            self.older, self.memo, self.held = self.memo, {}, 0
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> Iterator[bytes]:
         """Ids of each text, as bytes, a slice of texts after the other; a long text is cut at white space."""
@@ -227,20 +242,43 @@ class Encoder:
             else:
                 yield from self._slice(part, to)
 
+    @staticmethod
+    def _words(part: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Lower-cased bytes and their words; marks after an ASCII letter or digit, up to the word's end, are a word of their own.
+
+        A word with the start of a special token stays as it is.
+        """
+        s, e, doc = word_spans(part, to)
+        low, whole = lower_ascii(part), np.zeros(len(s), bool)
+        special = np.flatnonzero((part[:-1] == 60) & (part[1:] == 124))
+        if len(special):
+            whole[np.searchsorted(s, special, side="right") - 1] = True
+            for a, b in zip(s[whole].tolist(), e[whole].tolist()):
+                low[a:b] = part[a:b]
+        solid = np.maximum.accumulate(np.where(_MARK[low], -1, np.arange(len(low))))
+        body = solid[e - 1] + 1
+        cut = (body > s) & (body < e) & _PLAIN[low[body - 1]] & ~whole
+        begin = np.repeat(s, 1 + cut)
+        end, head = np.repeat(e, 1 + cut), np.cumsum(1 + cut) - 1 - cut
+        end[head[cut]], begin[head[cut] + 1] = body[cut], body[cut]
+        return low, begin, end, np.repeat(doc, 1 + cut)
+
     def _slice(self, part: np.ndarray, to: np.ndarray) -> list[bytes]:
         """Each different word of a slice is looked up once."""
         width = self.dtype.itemsize
-        s, e, doc = word_spans(part, to)
+        part, s, e, doc = self._words(part, to)
         _, first, each = np.unique(hash_spans(part, s, e), return_index=True, return_inverse=True)
         raw = part.tobytes()
         words = [raw[x:y] for x, y in zip(s[first].tolist(), e[first].tolist())]
         ids = list(map(self.memo.get, words))
-        new = [w for w, x in zip(words, ids) if x is None]
-        if new:
-            learnt = self._learn(new)
-            self._remember(new, learnt)
-            fresh = iter(learnt)
-            ids = [next(fresh) if x is None else x for x in ids]
+        absent = [k for k, x in enumerate(ids) if x is None]
+        if absent:
+            for k in absent:
+                ids[k] = self.older.get(words[k])
+            new = [k for k in absent if ids[k] is None]
+            for k, x in zip(new, self._learn([words[k] for k in new])):
+                ids[k] = x
+            self._remember([words[k] for k in absent], [ids[k] for k in absent])
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // width
         begin = np.cumsum(size) - size
         n = size[each]
