@@ -1,23 +1,32 @@
-"""Line dedup by runs of lines.
+"""Line dedup by winnowing.
 
 A document is the sequence of its lines that hold a word, each without the
-white space at its ends.  Every run of ``MIN_RUN`` such lines is grouped by the
-hash of the whole run, its extension.  Hashes of ``GRAM`` neighbouring lines are
-winnowed too, but the fingerprint a run selects and its place follow from the
-extension, so they are part of the key and decide nothing.  Runs with equal
-extensions are the same text, and all but the earliest (smaller doc_id, null
-last, then smaller line) are marked.  Marked runs that touch or overlap
-join to one, of any length.  All lines of marked runs go, with the blank lines
-inside them; what is compared is always the input, not what is left.
-
-The earliest run of an extension is a minimum that each task computes for its own
-rows first, so a line or copy that a third of the rows share shuffles one row per
-task; marking joins to these minima, of which a key has one.
-
-Cases: a null text counts as empty; documents shorter than ``MIN_RUN`` lines keep
-everything; rows with equal id and text are the same document, and neither
-removes the other; rows with equal id and other texts are ordered by a hash of
-the text; other columns are kept, and clashing ones replaced.
+white space at its ends.  A line weighs 1 and 1 more for each ``LINE_WORDS`` words,
+and a window is a shortest run of lines, from its first or to its last one, that
+weighs ``MIN_RUN``: three short lines, or one of 50 words.  Every repeated run of
+that weight is a union of windows.
+
+* Winnowing: a window selects its line with the smallest hash, so equal windows
+  select the same line, and each repeated run has a fingerprint for sure.
+* Join: fingerprints that only one position selected are gone after an
+  aggregation by fingerprint; the positions of the others are joined to them.
+* Extension: from a shared fingerprint, a window goes on to both sides, told by
+  the hash of its lines and the fingerprint's place in them.  All but the
+  earliest of equal extensions (smaller doc_id, null last, then smaller line) are
+  marked, and marked windows that touch or overlap join to one run of any length.
+
+All lines of marked runs go, with the blank lines inside them; what is compared
+is always the input, not what is left.
+
+The earliest window of an extension is a minimum that each task computes for its
+own rows first, so a line or copy that a third of the rows share shuffles one row
+per task; joins to fingerprints and minima split hot keys off.
+
+Cases: a null text counts as empty and stays null; a document that weighs less than
+``MIN_RUN`` keeps everything; rows with equal id and text are the same document,
+and neither removes the other; rows with equal id and other texts are ordered by a
+hash of the text; long texts are hashed a megabyte at a time; other columns are
+kept whatever their names, but n_lines, n_removed and n_runs replaced.
 """
 
 from __future__ import annotations
@@ -26,14 +35,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_CLASS, _SPACE, chain, hash_spans, prepare, slices, store, text_bytes
+from .common import SPACE_CLASS, _SPACE, chain, hash_spans, join_split, prepare, slices, store, text_bytes, unused, word_spans
 
 MIN_RUN = 3
-GRAM = 2
+LINE_WORDS = 25
 
 _LAST = (1 << 63) - 1
 _PLACE = ["d", "th", "at"]
@@ -52,84 +62,114 @@ def line_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return solid[first], solid[last] + 1, doc[first]
 
 
-def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
-    """For each window of ``window`` hashes, the place of its smallest, the last of equals."""
-    n = len(hashes) - window + 1
-    best, at = hashes[:n].copy(), np.arange(n)
-    for k in range(1, window):
-        other = hashes[k : k + n]
-        less = other <= best
-        best[less], at[less] = other[less], np.flatnonzero(less) + k
-    return at
-
-
-def runs(data: np.ndarray, offs: np.ndarray, min_run: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document, line, fingerprint, shift, extension) of each run of ``min_run`` lines."""
+def windows(doc: np.ndarray, weight: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first line, lines) of the shortest runs of ``least`` weight that start or end at each line of a document."""
+    n, found = len(doc), []
+    for step in (1, -1):
+        total, size, inside = weight.copy(), np.where(weight >= least, 1, 0), np.ones(n, bool)
+        for k in range(1, least):
+            other = np.arange(n) + step * k
+            inside &= (other >= 0) & (other < n)
+            other = np.clip(other, 0, n - 1)
+            inside &= doc[other] == doc
+            total = total + np.where(inside, weight[other], 0)
+            size = np.where((size == 0) & inside & (total >= least), k + 1, size)
+        at = np.flatnonzero(size)
+        found.append((at if step > 0 else at - size[at] + 1) * (least + 1) + size[at])
+    both = np.unique(np.concatenate(found))
+    return both // (least + 1), both % (least + 1)
+
+
+def runs(data: np.ndarray, offs: np.ndarray, min_run: int, line_words: int) -> tuple[np.ndarray, ...]:
+    """(document, first line, lines, fingerprint, its place, extension) of each window."""
     s, e, doc = line_spans(data, offs)
-    n = len(s) - min_run + 1
-    if n <= 0:
-        return (np.empty(0, np.int64),) * 5
+    if not len(s):
+        return (np.empty(0, np.int64),) * 6
     line = hash_spans(data, s, e)
-    grams = chain(*[line[k : len(line) - gram + 1 + k] for k in range(gram)])
-    at = winnow(grams, min_run - gram + 1)
-    whole = chain(*[line[k : k + n] for k in range(min_run)])
-    i = np.flatnonzero(doc[:n] == doc[min_run - 1 :])
-    first = np.searchsorted(doc, doc[i], side="left")
-    return doc[i], i - first, grams[at[i]], (at[i] - i), whole[i]
-
-
-def _marked_lines(text: str, starts: list[int], min_run: int) -> tuple[str, int, int, int]:
-    """(kept text, lines with a word, of them removed, removed runs)."""
+    n_words = np.bincount(np.searchsorted(s, word_spans(data, offs)[0], side="right") - 1, minlength=len(s))
+    first, size = windows(doc, 1 + n_words // line_words, min_run)
+    low, place, whole = line[first], np.zeros(len(first), np.int64), size.astype(np.uint64)
+    for k in range(min_run):
+        at = np.minimum(first + k, len(line) - 1)
+        whole = np.where(size > k, chain(whole, line[at]), whole)
+        less = (size > k) & (line[at] < low)
+        low, place = np.where(less, line[at], low), np.where(less, k, place)
+    return doc[first], first - np.searchsorted(doc, doc[first], side="left"), size, low, place, whole
+
+
+def _without(text: str, starts: list[int], sizes: list[int]) -> tuple[str, int, int]:
+    """(kept text, lines with a word that are removed, removed runs)."""
     lines = text.split("\n")
     words = [k for k, line in enumerate(lines) if line.strip(" \t\r\x0b\x0c")]
     gone = np.zeros(len(words) + 1, bool)
-    for s in starts:
-        gone[s : s + min_run] = True
+    for s, n in zip(starts, sizes):
+        gone[s : s + n] = True
     drop = {words[k] for k in np.flatnonzero(gone)}
     for k in np.flatnonzero(gone[:-1] & gone[1:]):
         drop.update(range(words[k], words[k + 1]))
-    kept = "\n".join(line for k, line in enumerate(lines) if k not in drop) if drop else text
-    return kept, len(words), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[0])
+    return "\n".join(line for k, line in enumerate(lines) if k not in drop), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[0])
 
 
-def repeated_runs(docs: DataFrame, min_run: int = MIN_RUN, gram: int = GRAM) -> DataFrame:
-    """d, th, at: the first line of each run of ``min_run`` lines that an earlier place holds too."""
+def repeated_runs(docs: DataFrame, min_run: int = MIN_RUN, line_words: int = LINE_WORDS) -> DataFrame:
+    """d, th, at, size: the windows that an earlier place holds too; ``docs`` has d, th and text."""
+    names = ["d", "th", "at", "size", "fp", "place", "ext"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = text_bytes(batch.column("text"))
             for i, j in slices(offs):
-                doc, at, fp, shift, ext = runs(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], min_run, gram)
+                doc, at, size, fp, place, ext = runs(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], min_run, line_words)
                 rows = pa.array(doc + i)
-                yield pa.RecordBatch.from_arrays([batch.column("d").take(rows), batch.column("th").take(rows), pa.array(at.astype(np.int32)), pa.array(fp.astype(np.uint64).view(np.int64)), pa.array(shift.astype(np.int32)), pa.array(ext.astype(np.uint64).view(np.int64))], names=["d", "th", "at", "fp", "shift", "ext"])
+                small = [pa.array(x.astype(np.int32)) for x in (at, size)]
+                yield pa.RecordBatch.from_arrays([batch.column("d").take(rows), batch.column("th").take(rows), *small, pa.array(fp.astype(np.uint64).view(np.int64)), pa.array(place.astype(np.int32)), pa.array(ext.astype(np.uint64).view(np.int64))], names=names)
 
-    found = docs.select("d", "th", "text").mapInArrow(find, "d long, th long, at int, fp long, shift int, ext long")
-    key = ["fp", "shift", "ext"]
-    first = found.groupBy(*key).agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return found.join(first, key).filter(F.struct(*_PLACE) > F.col("first")).select(*_PLACE).distinct()
+    found = store(docs.select("d", "th", "text").mapInArrow(find, "d long, th long, at int, size int, fp long, place int, ext long"), "lines-windows")
+    position = F.xxhash64("d", "th", F.col("at") + F.col("place"))
+    shared = found.groupBy("fp").agg(F.min(position).alias("a"), F.max(position).alias("b"), F.count("*").alias("n")).filter("a <> b").select("fp", "n")
+    met = store(join_split(found, store(shared, "lines-shared"), ["fp"], found.count()), "lines-met")
+    key, place = ["fp", "place", "ext"], F.struct(*_PLACE)
+    first = store(met.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"), "lines-first")
+    return join_split(met, first, key, met.count()).filter(place > F.col("first")).select(*_PLACE, "size").distinct()
+
+
+def last_id() -> Column:
+    """The id, or the largest long for rows without one."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
 
 
 def identified(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with d, the id (null last), and th, a hash of the text."""
-    return docs.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("th", F.xxhash64(text))
+    return docs.withColumns({"d": last_id(), "th": F.xxhash64(text)})
 
 
-def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, gram: int = GRAM) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, line_words: int = LINE_WORDS) -> DataFrame:
     """``docs`` with ``text`` as it is left, and n_lines, n_removed, n_runs."""
     prepare(docs.sparkSession)
     docs = docs.drop("n_lines", "n_removed", "n_runs")
-    keyed = identified(docs)
-    marks = store(repeated_runs(keyed, min_run, gram).groupBy("d", "th").agg(F.sort_array(F.collect_list("at")).alias("starts")), "lines-marked")
-    joined = keyed.join(marks.hint("merge"), ["d", "th"], "left").drop("d", "th")
+    marks = store(repeated_runs(identified(docs.select("doc_id", "text")), min_run, line_words).groupBy("d", "th").agg(F.collect_list(F.struct("at", "size")).alias("marks")), "lines-marked")
     names = docs.columns
+    d, th, runs_ = unused(docs, "d", "th", "marks")
+    keyed = docs.withColumns({d: last_id(), th: F.xxhash64("text")})
+    joined = keyed.join(marks.select(F.col("d").alias(d), F.col("th").alias(th), F.col("marks").alias(runs_)).hint("merge"), [d, th], "left").select(*names, runs_)
     schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed", "n_runs")]])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [_marked_lines(t or "", s or [], min_run) for t, s in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist())]
-            texts = pa.array([None if t is None else r[0] for t, r in zip(batch.column("text").to_pylist(), out)], pa.string())
-            counts = [pa.array([r[k] for r in out], pa.int64()) for k in (1, 2, 3)]
-            yield pa.RecordBatch.from_arrays([*(texts if c == "text" else batch.column(c) for c in names), *counts], names=[*names, "n_lines", "n_removed", "n_runs"])
+            column, lists = batch.column("text"), batch.column(runs_)
+            data, offs = text_bytes(column)
+            n_lines, removed, n_runs = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for i, j in slices(offs):
+                n_lines[i:j] = np.bincount(line_spans(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])[2], minlength=j - i)
+            marked, texts = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)), []
+            for r in marked.tolist():
+                windows_ = lists[r].as_py()
+                text, removed[r], n_runs[r] = _without(column[r].as_py(), [w["at"] for w in windows_], [w["size"] for w in windows_])
+                texts.append(text)
+            if len(marked):
+                mask = np.zeros(batch.num_rows, bool)
+                mask[marked] = True
+                column = pc.replace_with_mask(column, pa.array(mask), pa.array(texts, column.type))
+            yield pa.RecordBatch.from_arrays([*(column if c == "text" else batch.column(c) for c in names), pa.array(n_lines), pa.array(removed), pa.array(n_runs)], names=[*names, "n_lines", "n_removed", "n_runs"])
 
     return joined.mapInArrow(cut, schema)
 
@@ -152,11 +192,20 @@ WITH l AS (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
            generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
 w AS (
-  SELECT doc_id, i, row_number() OVER o AS s, regexp_replace(line, '^{SPACE_CLASS}+|{SPACE_CLASS}+$', '', 'g') AS a FROM l WHERE solid
+  SELECT doc_id, i, row_number() OVER o AS s, regexp_replace(line, '^{SPACE_CLASS}+|{SPACE_CLASS}+$', '', 'g') AS a,
+    1 + len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) // {LINE_WORDS} AS v FROM l WHERE solid
   WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-g AS (SELECT doc_id, s, [a, lead(a) OVER o, lead(a, 2) OVER o] AS g, lead(a, 2) OVER o IS NOT NULL AS ok FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
-r AS (SELECT doc_id, s FROM g WHERE ok QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, s) > 1),
-c AS (SELECT DISTINCT doc_id, s + k AS s FROM r, (VALUES (0), (1), (2)) AS v(k)),
+g AS (
+  SELECT doc_id, s, CASE WHEN v >= {MIN_RUN} THEN [a] WHEN v + lead(v) OVER o >= {MIN_RUN} THEN [a, lead(a) OVER o]
+      WHEN lead(a, 2) OVER o IS NOT NULL THEN [a, lead(a) OVER o, lead(a, 2) OVER o] END AS g
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY s)
+  UNION
+  SELECT doc_id, s - len(g) + 1, g FROM (
+    SELECT doc_id, s, CASE WHEN v >= {MIN_RUN} THEN [a] WHEN v + lag(v) OVER o >= {MIN_RUN} THEN [lag(a) OVER o, a]
+      WHEN lag(a, 2) OVER o IS NOT NULL THEN [lag(a, 2) OVER o, lag(a) OVER o, a] END AS g
+    FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY s)) WHERE g IS NOT NULL),
+r AS (SELECT doc_id, s, len(g) AS n FROM g WHERE g IS NOT NULL QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, s) > 1),
+c AS (SELECT DISTINCT doc_id, s + k AS s FROM r, (VALUES (0), (1), (2)) AS v(k) WHERE k < n),
 m AS (SELECT w.doc_id, i, w.s, c.s IS NOT NULL AS gone FROM w LEFT JOIN c ON w.doc_id = c.doc_id AND w.s = c.s),
 b AS (
   SELECT l.doc_id, l.i, l.line, l.solid, m.gone,
