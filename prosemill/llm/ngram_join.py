@@ -6,8 +6,9 @@ the columns of a class are cut into blocks: two sets of a class that differ in
 at most ``d`` n-grams, the most that the bound allows, are equal in one of
 ``d + 1`` blocks at least.  Documents that agree in a block are candidates; a
 common passage alone makes no candidates, since the rest of the block differs.
-Every candidate is joined to the smallest of its block only; the components of
-these edges contain all links and tell which rows are multiplied with which.
+Block keys are range-partitioned and sorted, and each candidate is joined to its
+neighbour only; the components of these edges contain all links and tell which
+rows are multiplied with which.
 
 Within such a component the product of the rows with each other is accumulated
 block of columns by block of columns, and a pair is discarded as soon as its
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_lists, chain, discard, hash_spans, join_split, lower_ascii, mix64, prepare, slices, store, text_bytes, unused, word_spans
+from .common import binary_lists, chain, discard, hash_spans, join_split, lower_ascii, mix64, partitions, prepare, slices, store, text_bytes, unused, word_spans
 from .components import connected_components
 
 WIDTH = 3
@@ -59,7 +60,10 @@ STAGE_PERCENT = 80
 
 #: Nodes from here on stand for rows without a doc_id.
 NO_ID = 1 << 63
-NODE = "decimal(20,0)"
+NODE, NODE_TYPE = "decimal(20,0)", pa.decimal128(20, 0)
+
+#: Keys of a sorted bucket, some 100 MB.
+BUCKET_KEYS = 4_000_000
 
 
 def node_id() -> Column:
@@ -252,45 +256,75 @@ def _multiplied(rows: DataFrame, percent: int, tile_rows: int, tile_grams: int)
     return within.unionByName(tiles.groupBy("root", "part", "other").applyInArrow(_tile(percent), kind))
 
 
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A sorted bucket of keys: neighbours with equal keys and other sets, and the bucket's first and last row."""
+    names, last = ["a", "b", "key", "x"], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, x = batch.column("key").to_numpy(), batch.column("x").to_numpy()
+        ends = [] if last is not None else [0]
+        if last is not None:
+            key, x = np.append(last[0], key), np.append(last[1], x)
+        at = np.flatnonzero((key[1:] == key[:-1]) & (x[1:] != x[:-1]))
+        pairs = np.unique(np.stack([x[at], x[at + 1]]), axis=1) if len(at) else np.empty((2, 0), np.int64)
+        none = pa.nulls(pairs.shape[1] + len(ends), pa.int64())
+        edge = [pa.array(np.append(p, np.zeros(len(ends), np.int64)), mask=np.arange(len(none)) >= pairs.shape[1]) for p in pairs]
+        first = [pa.array(np.append(np.zeros(pairs.shape[1], np.int64), v[ends]), mask=np.arange(len(none)) < pairs.shape[1]) for v in (key, x)]
+        yield pa.RecordBatch.from_arrays([*edge, *first], names=names)
+        last = key[-1], x[-1]
+    if last is not None:
+        none = pa.nulls(1, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())], names=names)
+
+
+def candidates(keys: DataFrame) -> DataFrame:
+    """a, b: edges that connect all sets x with a common key; a key that is common is split over buckets."""
+    n = max(partitions(keys.sparkSession), -(-keys.count() // BUCKET_KEYS))
+    chained = store(keys.repartitionByRange(n, "key", "x").sortWithinPartitions("key", "x").mapInArrow(_chained, "a long, b long, key long, x long"), "ngram-chained")
+    ends = chained.filter("key IS NOT NULL").select("key", "x").distinct()
+    across = ends.join(ends.groupBy("key").agg(F.min("x").alias("b")), "key").filter("x <> b").select(F.col("x").alias("a"), "b")
+    return chained.filter("key IS NULL").select("a", "b").unionByName(across)
+
+
 def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tile_rows: int = TILE_ROWS, tile_grams: int = TILE_GRAMS) -> DataFrame:
     """d (see ``node_id``), n (set size) and root (smallest node that links reach), one row per row of ``docs``."""
     prepare(docs.sparkSession)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     texts = docs.select(node_id().alias("d"), F.xxhash64("text").alias("t"), "text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row with n and the set's fingerprint for each document, and a row for each of its block keys."""
         for rows, gram, to in _batches(batches, width):
             n, x, y = np.diff(to), _sums(mix64(gram), to), _sums(mix64(gram ^ np.uint64(0xA5A5A5A5A5A5A5A5)), to)
-            d = rows.column("d")
-            yield pa.RecordBatch.from_arrays([d, pa.nulls(len(d), pa.int64()), rows.column("t"), pa.array(n), pa.array(x), pa.array(y)], names=["d", "key", "t", "n", "x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.array(x), rows.column("d"), rows.column("t"), pa.array(n), pa.array(y)], names=["key", "x", "d", "t", "n", "y"])
             doc, key = block_keys(gram, to, percent)
-            none = pa.nulls(len(doc), pa.int64())
-            yield pa.RecordBatch.from_arrays([d.take(pa.array(doc)), pa.array(key.view(np.int64)), none, none, none, none], names=["d", "key", "t", "n", "x", "y"])
-
-    scanned = store(texts.mapInArrow(scan, f"d {NODE}, key long, t long, n long, x long, y long"), "ngram-scan")
-    keys, sets = scanned.filter("key IS NOT NULL").select("key", "d"), scanned.filter("key IS NULL").drop("key")
-    total, n_keys = sets.count(), keys.count()
-    first = F.min(F.struct("d", "t")).alias("first")
-    equal = store(sets.filter("n > 0").groupBy("n", "x", "y").agg(first, F.count("*").alias("rows")).filter("rows > 1"), "ngram-equal")
-    equal = equal.select("x", "y", F.col("n").alias("size"), F.col("first.d").alias("rep"), F.col("first.t").alias("rep_t"), F.col("rows").alias("n"))
+            for i in range(0, len(doc), 100_000):
+                some = slice(i, i + 100_000)
+                none = pa.nulls(len(doc[some]), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(x[doc[some]]), none.cast(NODE_TYPE), none, none, none], names=["key", "x", "d", "t", "n", "y"])
+
+    scanned = store(texts.mapInArrow(scan, f"key long, x long, d {NODE}, t long, n long, y long"), "ngram-scan")
+    sets = store(scanned.filter("key IS NULL").select("d", "t", "n", "x", "y"), "ngram-sets")
+    edges = candidates(scanned.filter("key IS NOT NULL").select("key", "x"))
+    discard(scanned)
+    coarse = connected_components(edges)
+    members = coarse.select(F.col("node").alias("x"), "root").unionByName(coarse.select(F.col("root").alias("x"), "root")).distinct()
+
+    total = sets.count()
+    different = store(sets.filter("n > 0").groupBy("n", "x", "y").agg(F.min(F.struct("d", "t")).alias("first"), F.count("*").alias("rows")), "ngram-different")
+    equal = different.filter("rows > 1").select("x", "y", F.col("n").alias("size"), F.col("first.d").alias("rep"), F.col("first.t").alias("rep_t"), F.col("rows").alias("n"))
     twins = join_split(sets.withColumnRenamed("n", "size"), equal, ["size", "x", "y"], total).filter("d <> rep OR t <> rep_t")
     copies = store(twins.select("d", "t", "rep").distinct(), "ngram-copies")
     mine = sets.join(copies.select("d").distinct(), "d", "left_semi").join(copies.select("d", "t"), ["d", "t"], "left_anti")
     moved = store(copies.select("d", "rep").unionByName(mine.select("d", F.col("d").alias("rep"))).distinct(), "ngram-moved")
 
-    met = store(keys.groupBy("key").agg(F.min("d").alias("least"), F.max("d").alias("most"), F.count("*").alias("n")).filter("least <> most").drop("most"), "ngram-keys")
-    edges = store(join_split(keys, met, ["key"], n_keys).filter("d <> least").select("d", "least").distinct(), "ngram-met")
-    for end in ("d", "least"):
-        edges = edges.join(moved.select(F.col("d").alias(end), "rep"), end, "left").withColumn(end, F.coalesce("rep", end)).drop("rep")
-    coarse = connected_components(edges.select(F.col("d").alias("a"), F.col("least").alias("b")))
-    members = coarse.select(F.col("node").alias("d"), "root").unionByName(coarse.select(F.col("root").alias("d"), "root")).distinct()
-
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, gram, to in _batches(batches, width):
             yield pa.RecordBatch.from_arrays([rows.column("d"), rows.column("root"), pa.array(np.diff(to)), binary_lists(gram, to)], names=["d", "root", "n", "grams"])
 
-    met_texts = texts.join(members.hint("merge"), "d").join(copies.select("d", "t"), ["d", "t"], "left_anti")
-    rows = store(met_texts.mapInArrow(fetch, f"d {NODE}, root {NODE}, n long, grams binary").filter("n > 0").dropDuplicates(["d", "n", "grams"]), "ngram-rows")
+    wanted = different.join(members, "x").select(F.col("first.d").alias("d"), F.col("first.t").alias("t"), "root")
+    rows = store(texts.join(wanted.hint("merge"), ["d", "t"]).mapInArrow(fetch, f"d {NODE}, root long, n long, grams binary").dropDuplicates(["d", "n", "grams"]), "ngram-rows")
     linked = _multiplied(rows, percent, tile_rows, tile_grams)
 
     place = store(moved.groupBy("d").agg(F.min("rep").alias("least")), "ngram-place")
