@@ -40,10 +40,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_lists, chain, discard, hash_spans, join_split, lower_ascii, mix64, partitions, prepare, slices, store, text_bytes, unused, word_spans
+from .common import BROADCAST_ROWS, binary_lists, chain, discard, hash_spans, join_split, lower_ascii, mix64, partitions, prepare, slices, store, text_bytes, unused, word_spans
 from .components import connected_components
 
 WIDTH = 3
@@ -228,32 +229,35 @@ def _tile(percent: int):
 
 
 def _multiplied(rows: DataFrame, percent: int, tile_rows: int, tile_grams: int) -> DataFrame:
-    """a, b: links that span all that link the rows of a coarse component; ``rows`` has root, d, n, grams."""
+    """a, b: links that span all that link the rows of a coarse component; ``rows``, stored, has root, d, n, grams."""
     kind = f"a {NODE}, b {NODE}"
     size = lambda: F.greatest(F.ceil(F.count("*") / tile_rows), F.ceil(F.sum("n") / tile_grams)).cast("int")
     sizes = store(rows.groupBy("root").agg(size().alias("blocks"), F.min("d").alias("first"), F.count("*").alias("n")), "ngram-sizes")
+    large, none = sizes.filter("blocks > 1"), F.lit(False).alias("lead")
+    n_large = large.count()
+    roots = F.broadcast(large.select("root")) if n_large <= BROADCAST_ROWS else large.select("root")
+    whole = rows.join(roots, "root", "left_anti").select("root", "d", "n", "grams", none).groupBy("root").applyInArrow(_tile(percent), kind)
+    if not n_large:
+        return whole
+
     total = rows.count()
-    large = sizes.filter("blocks > 1").select("root", F.col("first").alias("d"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
-    own = F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int")
-    dealt = join_split(rows, sizes, ["root"], total).withColumn("own", own)
-    if large.isEmpty():
-        return dealt.select("root", "own", "d", "n", "grams", F.lit(False).alias("lead")).groupBy("root", "own").applyInArrow(_tile(percent), kind)
-    dealt = store(dealt, "ngram-dealt")
-    lead = dealt.filter("d = first AND blocks > 1").select("root", "d", "n", "grams").dropDuplicates(["root"])
-    ahead = large.join(lead, ["root", "d"]).select("root", "own", "d", "n", "grams", F.lit(True).alias("lead"))
-    blocks = dealt.select("root", "own", "d", "n", "grams", F.lit(False).alias("lead")).unionByName(ahead)
+    dealt = store(join_split(rows, large, ["root"], total).withColumn("own", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int")), "ngram-dealt")
+    starts = large.select("root", F.col("first").alias("d"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
+    lead = dealt.filter("d = first").select("root", "d", "n", "grams").dropDuplicates(["root"])
+    ahead = starts.join(lead, ["root", "d"]).select("root", "own", "d", "n", "grams", F.lit(True).alias("lead"))
+    blocks = dealt.select("root", "own", "d", "n", "grams", none).unionByName(ahead)
     within = store(blocks.groupBy("root", "own").applyInArrow(_tile(percent), kind), "ngram-within")
 
     reached = within.select(F.col("a").alias("d"), F.col("b").alias("first")).distinct()
-    rest = store(dealt.filter("blocks > 1 AND d <> first").join(reached, ["d", "first"], "left_anti"), "ngram-rest")
+    rest = store(dealt.filter("d <> first").join(reached, ["d", "first"], "left_anti"), "ngram-rest")
     again = rest.groupBy("root").agg(size().alias("parts"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    counted = store(again.join(sizes, "root").select("root", "parts", "n"), "ngram-again")
+    counted = store(again.join(large, "root").select("root", "parts", "n"), "ngram-again")
     part = F.pmod(F.xxhash64("d", F.lit("rest")), F.col("parts")).cast("int")
     left = join_split(rest, counted, ["root"], total).withColumn("part", part).withColumn("other", spread("blocks"))
     right = join_split(dealt, counted, ["root"], total).withColumn("part", spread("parts")).withColumn("other", F.col("own"))
     tiles = left.select("root", "part", "other", "d", "n", "grams").unionByName(right.select("root", "part", "other", "d", "n", "grams")).withColumn("lead", F.lit(False))
-    return within.unionByName(tiles.groupBy("root", "part", "other").applyInArrow(_tile(percent), kind))
+    return whole.unionByName(within).unionByName(tiles.groupBy("root", "part", "other").applyInArrow(_tile(percent), kind))
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,11 +324,19 @@ def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     moved = store(copies.select("d", "rep").unionByName(mine.select("d", F.col("d").alias("rep"))).distinct(), "ngram-moved")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, gram, to in _batches(batches, width):
-            yield pa.RecordBatch.from_arrays([rows.column("d"), rows.column("root"), pa.array(np.diff(to)), binary_lists(gram, to)], names=["d", "root", "n", "grams"])
+        """Sets of the joined texts; rows come sorted by d and t, and of equal ones the first counts."""
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            d, t = batch.column("d"), batch.column("t")
+            same = np.append(last is not None and last == (d[0].as_py(), t[0].as_py()), pc.and_(pc.equal(d[1:], d[:-1]), pc.equal(t[1:], t[:-1])).to_numpy(zero_copy_only=False))
+            last = d[-1].as_py(), t[-1].as_py()
+            for rows, gram, to in _batches(iter([batch.filter(pa.array(~same.astype(bool)))]), width):
+                yield pa.RecordBatch.from_arrays([rows.column("d"), rows.column("root"), pa.array(np.diff(to)), binary_lists(gram, to)], names=["d", "root", "n", "grams"])
 
     wanted = different.join(members, "x").select(F.col("first.d").alias("d"), F.col("first.t").alias("t"), "root")
-    rows = store(texts.join(wanted.hint("merge"), ["d", "t"]).mapInArrow(fetch, f"d {NODE}, root long, n long, grams binary").dropDuplicates(["d", "n", "grams"]), "ngram-rows")
+    rows = store(texts.join(wanted.hint("merge"), ["d", "t"]).mapInArrow(fetch, f"d {NODE}, root long, n long, grams binary"), "ngram-rows")
     linked = _multiplied(rows, percent, tile_rows, tile_grams)
 
     place = store(moved.groupBy("d").agg(F.min("rep").alias("least")), "ngram-place")
