@@ -1,12 +1,16 @@
 """License scans of pages (DataFrame functions only).
 
-A page's markup is dropped; each remaining line with a hint word is a header,
-and a page whose file name says that it is a license file is one unit as a
-whole; but for the query, which follows its SQL, its lines and paragraphs are
-units too.  Units and license templates are sparse TF-IDF vectors; a unit's license
-is the template with the highest cosine, from ``MIN_COSINE`` on.  Document
-frequencies are those of the templates' words over all pages; other words weigh
-like words of no page.
+Tags that break a line cut a page's text into blocks; tags inside a line go
+without a trace, so a link does not cut a notice.  Units are blocks and up to
+``PARAGRAPH`` neighbouring blocks together, and the whole text of a page whose
+file name says that it is a license file.  Units and license templates are sparse
+TF-IDF vectors; a unit's license is the template with the highest cosine, from
+``MIN_COSINE`` on.  Document frequencies are those of the templates' words over all
+pages; other words weigh like words of no page.
+
+Only units that share a rare word with a template become vectors, which loses
+none: a template's rare words are its heaviest ones, as many as it takes that
+the others together are too light for a cosine of ``MIN_COSINE``.
 
 A page without a license of its own inherits from the nearest ancestor
 directory that has one: a directory's license is that of its license files and
@@ -16,8 +20,9 @@ compared pair by pair.  The template table and its vocabulary are constants of
 this module and are broadcast; what grows with the pages never is.
 
 Cases: rows with equal page_id and url count as one page; a null url has no
-path and inherits nothing; null or empty html has no header; ties between
-templates go to the smaller name; other columns are ignored.
+path and inherits nothing; null or empty html has no unit; character references
+count as blanks; ties between templates go to the smaller name; a very long page
+is one row with its words; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,9 +30,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import store
+
 MIN_COSINE = 0.6
 
-#: Short public notices of common licenses.
+#: Public notices of common licenses, short and whole.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
@@ -45,9 +52,15 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
-]
-#: What the full texts of licenses are headed by.
-TITLES = [
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    # What the full texts of licenses are headed by.
     ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
     ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
@@ -63,15 +76,21 @@ TITLES = [
     ("MPL-1.1", "Mozilla Public License Version 1.1"),
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
 ]
-#: Neighbouring lines of a license file that are scored together, at most.
+#: Neighbouring blocks that are scored together, at most.
 PARAGRAPH = 3
-#: Fixed value: a header names a license or grants something.
-HINT = r"(?i)licen[cs]|copyright|permission|redistribut|public domain|creative commons|waived"
 LICENSE_FILE = r"(?i)^(un)?(licen[cs]e|copying|notice)([._-].*)?$"
 INDEX_FILE = r"(?i)^(index\.[a-z]+)?$"
 WORD = "[a-z0-9]+"
 
-_MARKUP = [r"(?is)<script\b[^>]*>.*?</script>", r"(?is)<style\b[^>]*>.*?</style>", r"(?s)<!--.*?-->", "<[^>]*>"]
+#: What stands for each kind of markup; elements that do not break a line leave nothing.
+_MARKUP = [
+    (r"(?is)<script\b[^>]*>.*?</script>", "\n"),
+    (r"(?is)<style\b[^>]*>.*?</style>", "\n"),
+    (r"(?s)<!--.*?-->", ""),
+    (r"(?i)</?(a|abbr|acronym|b|bdi|bdo|big|cite|code|data|del|dfn|em|font|i|ins|kbd|label|mark|q|s|samp|small|span|strike|strong|sub|sup|time|tt|u|var|wbr)(\s[^>]*)?/?>", ""),
+    ("<[^>]*>", "\n"),
+    ("(?i)&(#[0-9]+|#x[0-9a-f]+|[a-z][a-z0-9]*);", " "),
+]
 _PAGE = ["page_id", "url"]
 
 
@@ -86,8 +105,8 @@ def words(text: Column) -> Column:
 def parse(pages: DataFrame) -> DataFrame:
     """page_id, url, directory (host and folders, with the last slash), name, body (text by lines)."""
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    for pattern in _MARKUP:
-        body = F.regexp_replace(body, pattern, "\n")
+    for pattern, instead in _MARKUP:
+        body = F.regexp_replace(body, pattern, instead)
     place = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^?#]*)", 1)
     place = F.when(place.contains("/"), place).when(place != "", F.concat(place, F.lit("/")))
     return pages.select("page_id", "url", place.alias("_place"), body.alias("body")).select(*_PAGE, F.regexp_extract("_place", "^.*/", 0).alias("directory"), F.regexp_extract("_place", "[^/]*$", 0).alias("name"), "body")
@@ -117,40 +136,43 @@ def template_vectors(idf: DataFrame, templates: list[tuple[str, str]] = TEMPLATE
     return weighed.select("token", "template", "license", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template")))).alias("weight"))
 
 
-def headers(parsed: DataFrame, parts: bool = False) -> DataFrame:
-    """page, unit number and text of each header, or of the whole license file; with ``parts`` of its paragraphs too."""
-    lines = F.filter(F.split("body", "\n"), lambda line: line.rlike(HINT))
-    whole = F.array("body")
-    if parts:
-        solid = F.filter(F.split("body", "\n"), lambda line: line.rlike("[A-Za-z0-9]"))
-        span = lambda n: F.transform(solid, lambda _, at: F.array_join(F.slice(solid, at + 1, F.lit(n)), " "))
-        spans = [span(n) for n in range(1, PARAGRAPH + 1)]
-        whole = F.concat(whole, F.filter(F.array_distinct(F.concat(*spans)), lambda text: text.rlike(HINT)))
-    units = F.when(F.col("name").rlike(LICENSE_FILE), whole).otherwise(lines)
-    return parsed.select(*_PAGE, F.posexplode(units).alias("unit", "text"))
+def rare_words(vectors: DataFrame, least: float = MIN_COSINE) -> DataFrame:
+    """One row, ``rare``: each template's heaviest words, until the rest weighs less than ``least``."""
+    order = Window.partitionBy("template").orderBy(F.desc("weight"), "token").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(order), F.lit(0.0))
+    return vectors.withColumn("before", before).filter(F.col("before") <= 1 - least * least + 1e-6).agg(F.collect_set("token").alias("rare"))
+
 
+def headers(parsed: DataFrame, rare: DataFrame) -> DataFrame:
+    """page, unit number and words of each unit that has a rare word; ``rare`` is the row of ``rare_words``."""
+    blocks = F.filter(F.transform(F.split("body", "\n"), words), lambda b: F.size(b) > 0)
+    cut = parsed.select(*_PAGE, "name", blocks.alias("blocks"))
+    span = lambda n: F.transform("blocks", lambda _, at: F.flatten(F.slice("blocks", at + 1, F.lit(n))))
+    near = F.exists("blocks", lambda b: F.arrays_overlap(b, F.col("rare")))
+    hit = lambda unit: F.arrays_overlap(unit, F.col("rare"))
+    whole = F.when(F.col("name").rlike(LICENSE_FILE), F.array(F.flatten("blocks"))).otherwise(F.array())
+    units = F.filter(F.array_distinct(F.concat(whole, *[span(n) for n in range(1, PARAGRAPH + 1)])), hit)
+    return cut.crossJoin(F.broadcast(rare)).filter(near).select(*_PAGE, F.posexplode(units).alias("unit", "words"))
 
-def own_licenses(units: DataFrame, idf: DataFrame, least: float = MIN_COSINE, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """page, license, score: the best template of any unit of the page."""
-    tf = units.select(*_PAGE, "unit", F.explode(words(F.col("text"))).alias("token")).groupBy(*_PAGE, "unit", "token").agg(F.count("*").alias("tf"))
+
+def own_licenses(units: DataFrame, idf: DataFrame, vectors: DataFrame, least: float = MIN_COSINE) -> DataFrame:
+    """page, license, score: the best template of any unit of the page; ``vectors`` are the templates'."""
+    tf = units.select(*_PAGE, "unit", F.explode("words").alias("token")).groupBy(*_PAGE, "unit", "token").agg(F.count("*").alias("tf"))
     rarest = idf.select("rarest").limit(1)
     weighed = tf.join(F.broadcast(idf.select("token", "idf")), "token", "left").crossJoin(F.broadcast(rarest)).withColumn("w", F.col("tf") * F.coalesce("idf", "rarest"))
     hits = F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("token", "w")))
-    vectors = weighed.groupBy(*_PAGE, "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), hits.alias("hits"))
-    matched = vectors.select(*_PAGE, "unit", "length", F.inline("hits")).join(F.broadcast(template_vectors(idf, templates)), "token").groupBy(*_PAGE, "unit", "template", "license").agg(F.round(F.sum(F.col("w") * F.col("weight")) / F.first("length"), 4).alias("score"))
+    each = weighed.groupBy(*_PAGE, "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), hits.alias("hits"))
+    matched = each.select(*_PAGE, "unit", "length", F.inline("hits")).join(F.broadcast(vectors), "token").groupBy(*_PAGE, "unit", "template", "license").agg(F.round(F.sum(F.col("w") * F.col("weight")) / F.first("length"), 4).alias("score"))
     best = F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")
     return matched.filter(F.col("score") >= least).groupBy(*_PAGE).agg(best).select(*_PAGE, F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
 
 
-def scan(pages: DataFrame, least: float = MIN_COSINE, full_texts: bool = True) -> DataFrame:
-    """One row per page: license, how it is known (own, inherited, none), score, from_page, from_directory.
-
-    With ``full_texts`` the titles of full license texts are templates too, and a
-    license file is also scored by each line and up to ``PARAGRAPH`` lines together.
-    """
-    parsed = parse(pages)
-    templates = TEMPLATES + TITLES if full_texts else TEMPLATES
-    own = own_licenses(headers(parsed, full_texts), document_frequencies(parsed, templates), least, templates)
+def scan(pages: DataFrame, least: float = MIN_COSINE, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
+    """One row per page: license, how it is known (own, inherited, none), score, from_page, from_directory."""
+    parsed = store(parse(pages), "license-pages")
+    idf = store(document_frequencies(parsed, templates), "license-words")
+    vectors = template_vectors(idf, templates)
+    own = own_licenses(headers(parsed, rare_words(vectors, least)), idf, vectors, least)
     none = F.lit(None)
     places = parsed.select(*_PAGE, "directory", "name", none.cast("string").alias("license"), none.cast("double").alias("score"))
     merged = places.unionByName(own, allowMissingColumns=True).groupBy(*_PAGE).agg(F.max("directory").alias("directory"), F.max("name").alias("name"), F.max("license").alias("license"), F.max("score").alias("score"))
@@ -168,21 +190,25 @@ def scan(pages: DataFrame, least: float = MIN_COSINE, full_texts: bool = True) -
 
 
 def op6_license(pages: DataFrame) -> DataFrame:
-    """``scan`` as ``OP6_SQL`` defines it: a license file is one unit, without the titles."""
-    return scan(pages, full_texts=False).select("page_id", "url", "license", "relation", "score", "from_page", "from_directory")
+    """All pages with their license, as ``OP6_SQL`` defines it."""
+    return scan(pages).select("page_id", "url", "license", "relation", "score", "from_page", "from_directory")
 
 
 def _values() -> str:
     return ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(TEMPLATES))
 
 
+def _stripped() -> str:
+    body = "coalesce(html, '')"
+    for pattern, instead in _MARKUP:
+        body = f"regexp_replace({body}, '{pattern}', {'chr(10)' if instead == chr(10) else repr(instead)}, 'g')"
+    return body
+
+
 OP6_SQL = f"""
 WITH templates(template, license, text) AS (VALUES {_values()}),
 p AS (
-  SELECT page_id, url,
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
-      '(?is)<script\\b[^>]*>.*?</script>', chr(10), 'g'), '(?is)<style\\b[^>]*>.*?</style>', chr(10), 'g'),
-      '(?s)<!--.*?-->', chr(10), 'g'), '<[^>]*>', chr(10), 'g') AS body,
+  SELECT page_id, url, {_stripped()} AS body,
     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^?#]*)', 1) AS place0 FROM pages),
 q AS (SELECT page_id, url, body, CASE WHEN contains(place0, '/') THEN place0 WHEN place0 <> '' THEN place0 || '/' END AS place FROM p),
 parsed AS (SELECT *, regexp_extract(place, '^.*/') AS directory, regexp_extract(place, '[^/]*$') AS name FROM q),
@@ -193,11 +219,15 @@ total AS (SELECT count(*) AS n_pages FROM parsed),
 idf AS (SELECT v.token, ln((n_pages + 1) / (coalesce(n, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT token FROM ttf) v LEFT JOIN df USING (token), total),
 tw AS (SELECT token, template, license, tf * idf AS w FROM ttf JOIN idf USING (token)),
 tv AS (SELECT token, template, license, w / sqrt(sum(w * w) OVER (PARTITION BY template)) AS weight FROM tw),
+blocks AS (
+  SELECT page_id, url, name, list_filter(list_transform(string_split(body, chr(10)), lambda x: regexp_extract_all(lower(x), '[a-z0-9]+')), lambda x: len(x) > 0) AS b FROM parsed),
+known AS (SELECT list(DISTINCT token) AS k FROM ttf),
 units AS (
-  SELECT page_id, url, unnest(CASE WHEN regexp_matches(name, '{LICENSE_FILE}') THEN [body]
-    ELSE list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '{HINT}')) END) AS text FROM parsed),
+  SELECT page_id, url, unnest(list_filter(list_concat(CASE WHEN regexp_matches(name, '{LICENSE_FILE}') THEN [flatten(b)] ELSE [] END,
+    flatten(list_transform(range(1, {PARAGRAPH} + 1), lambda n: list_transform(range(1, len(b) + 1), lambda i: flatten(b[i:i + n - 1]))))),
+    lambda x: list_has_any(x, k))) AS words FROM blocks, known),
 numbered AS (SELECT *, row_number() OVER () AS unit FROM units),
-uw AS (SELECT page_id, url, unit, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM numbered),
+uw AS (SELECT page_id, url, unit, unnest(words) AS token FROM numbered),
 utf AS (SELECT page_id, url, unit, token, count(*) AS tf FROM uw GROUP BY ALL),
 uv AS (SELECT u.*, idf.idf IS NOT NULL AS hit, tf * coalesce(idf.idf, ln(n_pages + 1) + 1) AS w FROM utf u LEFT JOIN idf USING (token), total),
 len AS (SELECT unit, sqrt(sum(w * w)) AS length FROM uv GROUP BY unit),

@@ -1,3 +1,5 @@
+import random
+
 from prosemill.llm import license_scan
 
 PAGE = "page_id long, url string, html string"
@@ -86,3 +88,40 @@ def test_full_texts_of_license_files(spark):
     rows = [(1, "https://a.org/m/LICENSE", MIT), (2, "https://a.org/m/x/y.html", "plain"), (3, "https://a.org/g3/COPYING", GPL.format("3, 29 June 2007")), (4, "https://a.org/g2/COPYING.txt", GPL.format("2, June 1991")), (5, "https://a.org/n/LICENSE", "All rights reserved. No license is given to anyone.")]
     got = scan(spark, rows)
     assert {k: (v.license, v.relation) for k, v in got.items()} == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("GPL-3.0", "own"), 4: ("GPL-2.0", "own"), 5: (None, "none")}
+
+
+def test_links_and_wrapped_lines(spark):
+    rows = [
+        (1, "https://a.org/1", "<p>Licensed under <a href='x'>CC BY 4.0</a>.</p>"),
+        (2, "https://a.org/2", "<div>Licensed under the <a>Apache License</a>,<span> Version 2.0</span>.</div>"),
+        (3, "https://a.org/3", f"<h1>Some code</h1><pre>{MIT}</pre><p>and more text about it</p>"),
+        (4, "https://a.org/4", "<p>&copy; 2020 Some&nbsp;One.</p><p>Released under the MIT&nbsp;License.</p>"),
+        (5, "https://a.org/5", "<p>This work is<br>licensed under the GNU General<br/>Public License, version&#32;3.</p>"),
+        (6, "https://a.org/6", "<p>The licence of this shop is a matter of copyright law in general.</p>"),
+    ]
+    got = scan(spark, rows)
+    assert {k: v.license for k, v in got.items()} == {1: "CC-BY-4.0", 2: "Apache-2.0", 3: "MIT", 4: "MIT", 5: "GPL-3.0", 6: None}
+
+
+def test_rare_words_lose_no_unit(spark):
+    """Every unit of all pages, without the filter, has the same best template."""
+    rng = random.Random(3)
+    vocabulary = license_scan._vocabulary(license_scan.TEMPLATES) + ["zebra", "quilt", "lamp"]
+    notices = [t for _, t in license_scan.TEMPLATES]
+    rows = []
+    for i in range(60):
+        notice = rng.choice(notices).split()
+        some = [w for w in notice if rng.random() < 0.7]
+        rows.append((i, f"https://h.org/{i % 7}/p{i}", f"<p>{' '.join(rng.choices(vocabulary, k=12))}</p><p>{' '.join(some)}</p><p>{' '.join(rng.choices(vocabulary, k=5))}</p>"))
+    parsed = license_scan.parse(spark.createDataFrame(rows, PAGE)).cache()
+    idf = license_scan.document_frequencies(parsed)
+    vectors = license_scan.template_vectors(idf)
+    every = spark.createDataFrame([(vocabulary,)], "rare array<string>")
+    few, all_ = (sorted((r.page_id, r.license, r.score) for r in license_scan.own_licenses(license_scan.headers(parsed, rare), idf, vectors).collect()) for rare in (license_scan.rare_words(vectors), every))
+    assert few == all_ and len(few) > 30
+
+
+def test_long_page(spark):
+    body = "<p>plain words of a long page</p>" * 60_000
+    got = scan(spark, [(1, "https://a.org/x", body + "<p>Released under the MIT License.</p>" + body), (2, "https://a.org/LICENSE", "word " * 300_000)])
+    assert got[1].license == "MIT" and got[2].license is None
