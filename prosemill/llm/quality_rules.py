@@ -1,9 +1,10 @@
 """Quality rules as a bitmask ledger (DataFrame functions only).
 
-``ledger`` evaluates every rule once per document and stores one bit for each
-failure next to the measurements.  A ``Policy`` is a version name and the mask
-of the rules that it enforces; ``apply_policy`` and ``ablations`` work on the
-stored bits alone, so a new policy never reads the texts again.
+``ledger`` evaluates every rule once per document and gives one bit for each
+failure next to the measurements; ``stored_ledger`` writes it to the shared folder.
+A ``Policy`` is a version name and the mask of the rules that it enforces;
+``apply_policy``, ``ablations`` and ``rule_profile`` work on the stored bits alone, so
+a new policy never reads the texts again.
 
 Null and empty texts have no words: every count is 0 and ``too_few_words``
 fails.  Repeated rows are judged one by one.  Documents of any length work in
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, let
+from .common import SPACE_CLASS, let, prepare, store, unused
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -85,21 +86,22 @@ def _repeat_words(windows: Column) -> Column:
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the measurements of every rule as long columns."""
-    docs = docs.drop(*MEASURES, "_words", "_lines", "_text", "_windows", "_solid")
-    body = F.coalesce(F.col(text), F.lit(""))
-    base = docs.withColumn("_text", body).withColumn("_solid", _dropped(body, _SPACES))
-    split = base.withColumn("_words", F.filter(F.split("_text", SPACE_CLASS + "+"), lambda w: w != "")).withColumn("_lines", F.filter(F.split("_text", "\n"), lambda line: _dropped(line, _SPACES) != ""))
-    hashed = split.withColumn("_windows", F.when(F.size("_words") < 3, F.array().cast("array<bigint>")).otherwise(let(F.transform("_words", lambda w: F.xxhash64(w)), lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2))))))
+    docs = docs.drop(*[m for m in MEASURES if m != text])
+    t, solid, words, lines, windows = unused(docs, "t", "solid", "words", "lines", "windows")
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    base = docs.withColumns({t: body, solid: _dropped(body, _SPACES)})
+    split = base.withColumns({words: F.filter(F.split(t, SPACE_CLASS + "+"), lambda w: w != ""), lines: F.filter(F.split(t, "\n"), lambda line: _dropped(line, _SPACES) != "")})
+    hashed = split.withColumn(windows, F.when(F.size(words) < 3, F.array().cast("array<bigint>")).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2))))))
     return hashed.select(
-        *docs.columns,
-        F.size("_words").cast("long").alias("n_words"),
-        F.length("_solid").cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(_dropped(F.col("_text"), _SYMBOLS))).cast("long").alias("n_symbols"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("_windows")).cast("long").alias("n_repeat_words"),
-        F.regexp_count("_solid", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
-        (F.length("_solid") - F.length(F.regexp_replace("_solid", r"\p{L}+", ""))).cast("long").alias("n_letters"),
+        *[f"`{c}`" for c in docs.columns],
+        F.size(words).cast("long").alias("n_words"),
+        F.length(solid).cast("long").alias("word_chars"),
+        (F.length(t) - F.length(_dropped(F.col(t), _SYMBOLS))).cast("long").alias("n_symbols"),
+        F.size(lines).cast("long").alias("n_lines"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        _repeat_words(F.col(windows)).cast("long").alias("n_repeat_words"),
+        F.regexp_count(solid, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
+        (F.length(solid) - F.length(F.regexp_replace(solid, r"\p{L}+", ""))).cast("long").alias("n_letters"),
     )
 
 
@@ -111,33 +113,57 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     return measure(docs, text).withColumn("failed_bits", bits)
 
 
+def stored_ledger(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The ledger without the texts, written once and read by every policy."""
+    prepare(docs.sparkSession)
+    return store(ledger(docs, text).drop(text), "quality-ledger")
+
+
 def apply_policy(entries: DataFrame, policy: Policy) -> DataFrame:
     """Adds ``policy`` (its version) and ``kept``."""
     return entries.withColumn("policy", F.lit(policy.version)).withColumn("kept", F.col("failed_bits").bitwiseAND(F.lit(policy.mask)) == 0)
 
 
+def rule_profile(entries: DataFrame) -> DataFrame:
+    """Documents and words for each combination of failures; ``bit_or`` of its rows is the rules that fail at all."""
+    return entries.groupBy("failed_bits").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"))
+
+
 def ablations(entries: DataFrame, policy: Policy) -> DataFrame:
     """One row per rule of the policy: documents that it fails, that it alone rejects, and that stay without it.
 
-    One aggregation over the stored bits: no text is read and one row leaves each task.
+    ``shared_bits`` and ``other_bits`` are the rules that all and that any of the documents it fails break besides.
+    The ledger is aggregated to its combinations of bits, 128 at most; the rest is bitwise work on these.
     """
     bits = F.col("failed_bits").bitwiseAND(F.lit(policy.mask))
-    counts = [F.struct(F.lit(r).alias("rule"), F.count_if(bits.bitwiseAND(F.lit(BIT[r])) != 0).alias("n_failed"), F.count_if(bits == BIT[r]).alias("n_only"), F.count_if(bits.bitwiseAND(F.lit(policy.mask & ~BIT[r])) == 0).alias("n_kept_without")) for r in policy.rules]
-    return entries.agg(F.array(*counts).alias("r")).select(F.inline("r")).withColumn("policy", F.lit(policy.version))
-
-
-def rule_profile(entries: DataFrame) -> DataFrame:
-    """Documents for each combination of failures, with the union and intersection of the bits."""
-    return entries.groupBy("failed_bits").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"))
+    combined = rule_profile(entries).groupBy(bits.alias("bits")).agg(F.sum("n_docs").alias("n"))
+    ruled = combined.withColumn("r", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(BIT[r]).cast("long").alias("bit")) for r in policy.rules])))
+    n = F.col("n")
+    own, others = F.col("r.bit"), F.col("bits").bitwiseAND(F.bitwise_not(F.col("r.bit")))
+    fails = F.col("bits").bitwiseAND(own) != 0
+    total = lambda when: F.coalesce(F.sum(F.when(when, n)), F.lit(0))
+    out = ruled.groupBy(F.col("r.rule").alias("rule")).agg(
+        total(fails).alias("n_failed"),
+        total(fails & (others == 0)).alias("n_only"),
+        total(others == 0).alias("n_kept_without"),
+        F.coalesce(F.bit_and(F.when(fails, others)), F.lit(0)).alias("shared_bits"),
+        F.coalesce(F.bit_or(F.when(fails, others)), F.lit(0)).alias("other_bits"),
+    )
+    return out.withColumn("policy", F.lit(policy.version))
 
 
 def op10_quality(docs: DataFrame) -> DataFrame:
-    """The digest of the contract: counts, ``base_failed`` and the verdict of policy v1."""
-    judged = apply_policy(ledger(docs.select("doc_id", "text")), POLICIES["v1"])
+    """The digest of the contract: counts, ``base_failed`` and the verdict of policy v1, from the stored ledger."""
+    judged = apply_policy(stored_ledger(docs.select("doc_id", "text")), POLICIES["v1"])
     base = F.col("failed_bits").bitwiseAND(F.lit(POLICIES["base"].mask)) != 0
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed_bits", "policy")
 
 
+def rule_ablations(docs: DataFrame) -> DataFrame:
+    """Ablations of policy v1 over all documents, from the stored ledger."""
+    return ablations(stored_ledger(docs.select("doc_id", "text")), POLICIES["v1"])
+
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
@@ -165,3 +191,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        failed_bits & 3 <> 0 AS base_failed, failed_bits & 127 = 0 AS kept, failed_bits, 'v1' AS policy
 FROM b
 """
+
+ABLATIONS_SQL = f"""
+WITH j AS ({OP10_SQL}), r(rule, bit) AS (VALUES {", ".join(f"('{r}', {BIT[r]})" for r in POLICIES["v1"].rules)}),
+x AS (SELECT rule, bit, failed_bits & bit <> 0 AS fails, failed_bits & ~bit::BIGINT AS others FROM j, r)
+SELECT rule, 'v1' AS policy, count(*) FILTER (fails) AS n_failed, count(*) FILTER (fails AND others = 0) AS n_only, count(*) FILTER (others = 0) AS n_kept_without,
+  coalesce(bit_and(others) FILTER (fails), 0) AS shared_bits, coalesce(bit_or(others) FILTER (fails), 0) AS other_bits
+FROM x GROUP BY rule
+"""

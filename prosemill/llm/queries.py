@@ -50,6 +50,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op10_quality(read_table(spark, sf_dir, "documents"))
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rule_ablations(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_ngram_join": op9_ngram_join,
         "op10_quality_rules": op10_quality_rules,
+        "rule_ablations": rule_ablations,
     }
 
 
@@ -73,4 +78,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_license_scan": license_scan.OP6_SQL,
         "op9_ngram_join": ngram_join.OP9_SQL,
         "op10_quality_rules": quality_rules.OP10_SQL,
+        "rule_ablations": quality_rules.ABLATIONS_SQL,
     }

@@ -1,3 +1,5 @@
+import functools
+import operator
 import random
 import unicodedata
 
@@ -46,6 +48,8 @@ def test_ledger_policies_and_ablations(spark):
     assert q.apply_policy(entries, policy).filter("kept").count() == sum(b & policy.mask == 0 for b in bits)
     for r in q.ablations(entries, policy).collect():
         bit = q.BIT[r.rule]
+        others = [b & policy.mask & ~bit for b in bits if b & bit]
+        assert (r.shared_bits, r.other_bits) == (functools.reduce(operator.and_, others, -1 if others else 0), functools.reduce(operator.or_, others, 0))
         assert (r.n_failed, r.n_only, r.n_kept_without) == (sum(b & bit != 0 for b in bits), sum(b & policy.mask == bit for b in bits), sum(b & policy.mask & ~bit == 0 for b in bits))
     assert q.rule_profile(entries).agg({"n_docs": "sum"}).first()[0] == len(bits)
 
@@ -53,3 +57,11 @@ def test_ledger_policies_and_ablations(spark):
 def test_no_python_in_the_plan(spark):
     plan = q.op10_quality(docs_table(spark, fixture()))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_clashing_columns_and_long_text(spark):
+    docs = docs_table(spark, [(1, "word " * 600_000), (2, "a b")]).selectExpr("*", "1 AS _words", "2 AS words", "3 AS t", "4 AS solid", "5 AS windows", "6 AS n_lines")
+    got = {r.doc_id: r for r in q.ledger(docs).collect()}
+    assert got[1].n_words == 600_000 and got[1].n_repeat_words == 600_000 and got[2].n_lines == 1
+    assert all((r["_words"], r.words, r.t, r.solid, r.windows) == (1, 2, 3, 4, 5) for r in got.values())
+    assert q.rule_ablations(empty_table(spark)).collect() == []
