@@ -5,16 +5,18 @@ inside the winning family, one-versus-one machines separate the languages.  The
 features are square roots of hashed counts of byte trigrams over the whole
 text, scaled to length 1; letters only, in lower case.
 
-The machines are fitted on the driver on a sample of labelled documents bounded
-by ``MAX_TRAIN_PER_LANG`` and ``MAX_TRAIN_ROWS`` (rows drawn by a hash of the
-id, so every size draws alike); a sample row leaves the executors as a vector of
-fixed size, never as text.  The prediction is one pass without a shuffle, and
+The machines are fitted on the driver on a sample of labelled documents: of the
+``MAX_LANGS`` most frequent labels, the rows with the smallest hashes of id and
+text, ``MAX_TRAIN_PER_LANG`` a label and ``MAX_TRAIN_ROWS`` in all at most, whatever
+repeats; a sample row leaves the executors as a vector of fixed size, never as
+text.  The prediction is one pass without a shuffle, and
 memory is bounded by a slice of texts.
 
 Cases: a null text or one without a letter is ``und`` with score 0; a null id is
 never learned from and not held out; rows are predicted one by one, repeated or
-not; where nothing can be learned every document is ``und``; input columns
-called ``lang_pred`` or ``score`` are replaced.
+not; where nothing can be learned every document is ``und``; a text of any length
+is one row of counts; input columns called ``lang_pred`` or ``score`` are replaced,
+others kept whatever their names.
 """
 
 from __future__ import annotations
@@ -25,14 +27,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, prepare, slices, text_bytes
+from .common import mix64, prepare, slices, text_bytes, unused
 
 MAX_TRAIN_PER_LANG = 800
 MAX_TRAIN_ROWS = 4000
+MAX_LANGS = 200
 BUCKETS = 4096
 MIN_SCORE = 0.3
 UND = "und"
@@ -150,20 +153,23 @@ def family_of(lang: str, families: dict[str, tuple[str, ...]] | None = None) ->
 def fit(docs: DataFrame, families: dict[str, tuple[str, ...]] | None = None, per_lang: int = MAX_TRAIN_PER_LANG, most_rows: int = MAX_TRAIN_ROWS) -> LanguageModel | None:
     """Learn from ``text`` and ``lang`` of a bounded sample of the rows that are not held out."""
     prepare(docs.sparkSession)
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    usable = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(min(MAX_LANGS, most_rows)).collect()}
     if not counts:
         return None
-    cap = max(2, min(per_lang, most_rows // len(counts)))
-    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, int(min(1.0, cap / n) * (1 << 30)))])
-    drawn = usable.filter(F.col("text").rlike(r"\p{L}") & (F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.element_at(share, F.col("lang"))))
+    cap = max(1, min(per_lang, most_rows // len(counts)))
+    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, int(min(1.0, 2 * cap / n) * (1 << 30)))])
+    order = F.xxhash64("doc_id", "text", F.lit("sample"))
+    # About twice the rows that are wanted are drawn; equal ones count once, and the cap is exact.
+    drawn = usable.withColumn("order", order).filter(F.pmod("order", F.lit(1 << 30)) < F.element_at(share, F.col("lang"))).groupBy("lang", "order").agg(F.min("text").alias("text"))
+    drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("order", F.lit(1 << 30)), "order"))).filter(F.col("place") <= cap)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [v.astype(np.float16).tobytes() for block in _blocks(batch.column("text")) for v in block]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(rows, pa.binary())], names=["doc_id", "lang", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("lang"), pa.array(rows, pa.binary())], names=["order", "lang", "x"])
 
-    rows = sorted(((r["lang"], r["doc_id"], bytes(r["x"])) for r in drawn.select("doc_id", "lang", "text").mapInArrow(vectors, "doc_id long, lang string, x binary").collect()), key=lambda r: r[:2])
+    rows = sorted(((r["lang"], r["order"], bytes(r["x"])) for r in drawn.select("order", "lang", "text").mapInArrow(vectors, "order long, lang string, x binary").collect()), key=lambda r: r[:2])
     if not rows:
         return None
     x = np.frombuffer(b"".join(r[2] for r in rows), np.float16).reshape(len(rows), BUCKETS).astype(np.float32)
@@ -184,7 +190,8 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
         return docs.withColumns({"lang_pred": F.lit(UND), "score": F.lit(0.0)})
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     kept, names = docs.columns, schema.names
-    lettered = docs.withColumn("_lettered", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    (flag,) = unused(docs, "lettered")
+    lettered = docs.withColumn(flag, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +201,7 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                 lang, score = model.predict(x)
                 langs += lang
                 scores.append(score)
-            known = batch.column("_lettered").to_numpy(zero_copy_only=False).astype(bool)
+            known = batch.column(flag).to_numpy(zero_copy_only=False).astype(bool)
             named = [lang if k else UND for lang, k in zip(langs, known)]
             score = np.where(known, np.clip(np.concatenate(scores), 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(named, pa.string()), pa.array(score)], names=names)

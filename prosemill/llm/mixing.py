@@ -18,8 +18,12 @@ reruns, retries and other partitionings agree.
 
 Cases: a null text or one without words has size 0 and is taken 0 times; a null
 source is a source of its own, last in order; rows with equal id, source and
-size are one unit and get equal copies; a source without words has target 0;
-an empty table gives an empty result.
+size are one unit, of whose rows as many as possible are rounded as a whole and
+one by the tree, so that their copies differ by one at most and a row that repeats
+often moves its source no further than any other; a source without words has
+target 0; an empty table gives an empty result; texts of any length are counted in
+the JVM; the stage keeps other columns whatever their names.  The source table, one
+row per source, is ranked in one task: sources are taken to be thousands at most.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, discard, join_small, prepare, store
+from .common import WORD_CLASS, discard, join_small, prepare, store, unused
 
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
@@ -40,7 +44,7 @@ GROUP_UNITS = 512
 FAN_IN = 64
 SEED = 7
 
-_LEVEL = "doc_id long, source string, size long, m long, whole int, p double, g long, level int"
+_LEVEL = "doc_id long, source string, size long, m long, whole int, more long, p double, g long, level int"
 
 
 def word_sizes(docs: DataFrame) -> DataFrame:
@@ -100,7 +104,7 @@ def _round(level: int, last: bool, seed: int):
     def group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "m", "doc_id"], ascending=[False, False, True], ignore_index=True)
         source = None if key[0] is None or key[0] != key[0] else key[0]
-        rows["p"] = pivot(rows["p"].tolist(), (rows["size"] * rows["m"]).tolist(), _draws(seed, source, level, int(key[1])), last)
+        rows["p"] = pivot(rows["p"].tolist(), rows["size"].tolist(), _draws(seed, source, level, int(key[1])), last)
         rows["g"], rows["level"] = int(key[1]) // FAN_IN, level
         return rows
 
@@ -108,7 +112,7 @@ def _round(level: int, last: bool, seed: int):
 
 
 def copies(docs: DataFrame, percent: int = SHARE_PERCENT, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_COPIES, seed: int = SEED, group_units: int = GROUP_UNITS) -> DataFrame:
-    """One row per unit: doc_id, source, size, m (equal rows), copies, source_size, target."""
+    """One row per unit: doc_id, source, size, m (equal rows), copies of each, more (rows with one more), source_size, target."""
     prepare(docs.sparkSession)
     units = store(word_sizes(docs).groupBy("doc_id", "source", "size").agg(F.count("*").alias("m")), "mix-units")
     per_source = units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count_if(F.col("size") > 0).alias("n_units"))
@@ -116,10 +120,11 @@ def copies(docs: DataFrame, percent: int = SHARE_PERCENT, weights: tuple[int, ..
     groups = F.greatest(F.lit(1), F.ceil(F.col("n_units") / group_units))
     most_groups = targets.agg(F.max(groups)).first()[0] or 1
     rate = F.when((F.col("size") > 0) & (F.col("source_size") > 0), F.col("target") / F.col("source_size")).otherwise(0.0)
+    part = F.col("m") * (F.col("rate") - F.floor("rate"))
     rows = (
         join_small(units, targets.select("source", "source_size", "target", groups.alias("groups")), ["source"])
         .withColumn("rate", rate)
-        .select("doc_id", "source", "size", "m", F.floor("rate").cast("int").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"), F.pmod(F.xxhash64("doc_id", "size"), "groups").cast("long").alias("g"), F.lit(0).alias("level"))
+        .select("doc_id", "source", "size", "m", F.floor("rate").cast("int").alias("whole"), F.floor(part).alias("more"), (part - F.floor(part)).alias("p"), F.pmod(F.xxhash64("doc_id", "size"), "groups").cast("long").alias("g"), F.lit(0).alias("level"))
     )
     levels, level, last = [], 0, False
     open_ = (F.col("p") > 0) & (F.col("p") < 1)
@@ -132,19 +137,29 @@ def copies(docs: DataFrame, percent: int = SHARE_PERCENT, weights: tuple[int, ..
     for more in levels[1:]:
         out = out.unionByName(more)
     discard(units)
-    out = out.withColumn("copies", F.col("whole") + F.col("p").cast("int"))
-    return join_small(out, targets.select("source", "source_size", "target"), ["source"]).select("doc_id", "source", "size", "m", "copies", "source_size", "target")
+    out = out.withColumns({"copies": F.col("whole"), "more": F.col("more") + F.col("p").cast("int")})
+    return join_small(out, targets.select("source", "source_size", "target"), ["source"]).select("doc_id", "source", "size", "m", "copies", "more", "source_size", "target")
 
 
 def op1_mix(docs: DataFrame) -> DataFrame:
     """The digest of the contract, one row per document."""
-    rows = copies(docs).withColumn("_each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
+    rows = copies(docs).withColumn("each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
+    rows = rows.withColumn("copies", F.col("copies") + F.when(F.col("each") <= F.col("more"), 1).otherwise(0))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")
 
 
 def mix_stage(docs: DataFrame) -> DataFrame:
-    """``docs`` with every row repeated as often as the mix takes it."""
-    plan = copies(docs).filter("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("copies").alias("_c"))
-    sized = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD_CLASS)), F.lit(0)).cast("long"))
-    joined = sized.join(plan, sized["doc_id"].eqNullSafe(plan["_d"]) & sized["source"].eqNullSafe(plan["_s"]) & (sized["_size"] == plan["_n"]))
-    return joined.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_c")))).select(*docs.columns)
+    """``docs`` with every row repeated as often as the mix takes it.
+
+    Rows of a unit that repeats are numbered in the order of a hash of the text to tell which have one more.
+    """
+    names = ["d", "s", "n", "size", "m", "copies", "more", "place"]
+    d, s, n, size, m, each, more, place = unused(docs, *names)
+    plan = copies(docs).filter("copies > 0 OR more > 0").select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(n), F.col("m").alias(m), F.col("copies").alias(each), F.col("more").alias(more))
+    sized = docs.withColumn(size, F.coalesce(F.regexp_count("text", F.lit(WORD_CLASS)), F.lit(0)).cast("long"))
+    joined = sized.join(plan, sized["doc_id"].eqNullSafe(plan[d]) & sized["source"].cast("string").eqNullSafe(plan[s]) & (sized[size] == plan[n]))
+    once, again = joined.filter(F.col(m) == 1).withColumn(place, F.lit(1)), joined.filter(F.col(m) > 1)
+    again = again.withColumn(place, F.row_number().over(Window.partitionBy(d, s, n).orderBy(F.xxhash64("text"))))
+    times = F.col(each) + F.when(F.col(place) <= F.col(more), 1).otherwise(0)
+    every = once.unionByName(again).withColumn(each, times.cast("int")).filter(F.col(each) > 0)
+    return every.withColumn(place, F.explode(F.sequence(F.lit(1), F.col(each)))).select(*[f"`{c}`" for c in docs.columns])

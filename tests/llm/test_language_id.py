@@ -1,9 +1,10 @@
 import random
 import zlib
 
-from helpers import docs_table, empty_table
+from helpers import docs_table, empty_table, words
 
 from prosemill.llm import language_id
+from prosemill.llm.common import read_table
 
 SYLLABLES = {
     "en": "the ing tion and of was th er on is with for".split(),
@@ -53,3 +54,32 @@ def test_stage_drops_what_has_no_language(spark):
     out = language_id.language_stage(docs)
     assert out.columns == docs.columns
     assert {r.doc_id for r in out.collect()} == set(range(150))
+
+
+def test_held_out_accuracy_on_documents(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    got = language_id.op8_language(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").filter("held_out AND lang IS NOT NULL").collect()
+    long = [r for r in got if len(words(r.text)) >= 20]
+    right = sum(r.lang_pred == r.lang for r in long)
+    print(len(got), len(long), right)
+    assert len(long) > 30 and right >= 0.97 * len(long)
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    fit_duels = language_id.fit_duels
+    monkeypatch.setattr(language_id, "fit_duels", lambda x, labels: (seen.append(len(x)), fit_duels(x, labels))[1])
+    rows = corpus(300) + [(7, f"the ing tion and {i} of was", "s", "en") for i in range(500)] + [(0, "der und ein ich", "s", "de")] * 500
+    assert language_id.fit(docs_table(spark, rows), per_lang=20, most_rows=60) is not None
+    assert 30 <= seen[0] <= 60
+    seen.clear()
+    many = [(i, f"the word{i} of it", "s", f"l{i % 90}") for i in range(900)]
+    assert language_id.fit(docs_table(spark, many), most_rows=50).within
+    assert seen[0] <= 50
+
+
+def test_clashing_columns(spark):
+    docs = docs_table(spark, corpus(60)).selectExpr("*", "1 AS _lettered", "2 AS lettered", "3 AS `order`", "4 AS place")
+    out = language_id.language_stage(docs)
+    assert out.columns == docs.columns and {(r["_lettered"], r.lettered, r.order, r.place) for r in out.collect()} == {(1, 2, 3, 4)}
+    assert language_id.language_stage(empty_table(spark)).collect() == []
