@@ -14,19 +14,21 @@ it also starts earlier: in a document with a smaller id, or before in the same.
   whole.  What a bucket cannot tell, since its first and last leading gram may go
   on in the neighbours, is compared across the boundaries by one more join.
 * Local sort.  Where one leading gram stands before different spans, the first
-  suffix of each span brings its bytes.  A bucket sorts the bytes from the
-  suffix on by multikey quicksort, a word of eight bytes at a time and only
-  where suffixes still tie; neighbours' common prefixes and hashes of the bytes
-  to the left then give, for every offset, the classes of equal strings, and
-  all but the earliest string of a class are removed.
-* Common grams.  Up to ``COMMON`` different spans of one gram, about 4 MB, are
-  sorted in one bucket.  The strings of more common grams are compared one by one
-  instead, by an aggregation with partial minima and a join, over all tasks.
+  suffix of each span brings its bytes.  These suffixes are range-partitioned by
+  the bytes from the suffix on, then by place, so that a common gram is split over
+  many buckets.  A bucket sorts the bytes by multikey quicksort, a word of eight
+  bytes at a time and only where suffixes still tie; neighbours' common prefixes
+  and hashes of the bytes to the left then give, for every offset, the classes of
+  equal strings, and all but the earliest string of a class are removed.
+* Across boundaries.  Of the first and the last gram of a bucket, the strings that
+  the bucket has not removed are compared with those of the other buckets, by an
+  aggregation with partial minima and a join.
 
 Cases: a null text counts as empty; texts under ``LENGTH`` bytes keep
 everything; a null id comes last; rows with equal id and text are the same
 document, of which neither removes the other; rows with equal id and other texts
-are ordered by a hash of the text; other columns are ignored.
+are ordered by a hash of the text; a long text is one slice of its own; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,11 +41,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chain, join_small, mix64, partitions, prefix_hash, prepare, slices, span_hash, store, text_bytes
+from .common import chain, discard, join_split, mix64, partitions, prefix_hash, prepare, slices, span_hash, store, text_bytes
 
 LENGTH = 100
 GRAM = 24
-COMMON = 20_000
+
+#: Suffixes of a bucket: of 32 bytes each while spans are compared, of some 200 with their bytes.
+BUCKET_ROWS = 1_000_000
+BUCKET_SPANS = 20_000
 
 _LAST = (1 << 63) - 1
 _ROW = "gram long, span long, d long, th long, own long"
@@ -134,9 +139,11 @@ def multikey_order(words: np.ndarray) -> np.ndarray:
 
 def _matrix(data: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, step: int = 1) -> np.ndarray:
     """Row r holds ``size[r]`` bytes from ``start[r]`` on, forwards or backwards, then zeros."""
-    k = np.arange(width)
-    inside = k < size[:, None]
-    return np.where(inside, data[np.where(inside, start[:, None] + step * k, 0)], 0).astype(np.uint8)
+    k, out = np.arange(width), np.zeros((len(start), width), np.uint8)
+    for i in range(0, len(start), 4096):
+        inside = k < size[i : i + 4096, None]
+        out[i : i + 4096] = np.where(inside, data[np.where(inside, start[i : i + 4096, None] + step * k, 0)], 0)
+    return out
 
 
 def repeated_strings(data: np.ndarray, begin: np.ndarray, place: np.ndarray, left: np.ndarray, more: np.ndarray, length: int, gram: int) -> np.ndarray:
@@ -171,14 +178,14 @@ def repeated_strings(data: np.ndarray, begin: np.ndarray, place: np.ndarray, lef
 
 
 def _compare(length: int, gram: int):
-    """A bucket of suffixes with their bytes: d, th, lo, hi of the removed ranges."""
+    """A bucket of suffixes with their bytes: removed ranges, and the strings for other buckets with gram and hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
         table = pa.Table.from_batches(parts)
-        d, th, own = (table.column(c).to_numpy() for c in ("d", "th", "own"))
+        grams, d, th, own = (table.column(c).to_numpy() for c in ("gram", "d", "th", "own"))
         data, offs = text_bytes(table.column("bytes"))
         at, left, more = _unpack(own)
         order = np.lexsort((own, th, d))
@@ -191,16 +198,29 @@ def _compare(length: int, gram: int):
         edge = np.diff(wide, axis=1)
         row, low = np.nonzero(edge == 1)
         _, high = np.nonzero(edge == -1)
-        yield pa.RecordBatch.from_arrays([pa.array(d[row]), pa.array(th[row]), pa.array(at[row] - high + 1), pa.array(at[row] - low + length)], names=["d", "th", "lo", "hi"])
+        none = pa.nulls(len(row), pa.int64())
+        names = ["gram", "string", "d", "th", "lo", "hi"]
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(d[row]), pa.array(th[row]), pa.array(at[row] - high + 1), pa.array(at[row] - low + length)], names=names)
+
+        acc = prefix_hash(data)
+        ends = np.flatnonzero((grams == grams[0]) | (grams == grams[-1]))
+        for i in range(0, len(ends), 2000):
+            some = ends[i : i + 2000]
+            offset = np.arange(gone.shape[1])
+            row, offset = np.nonzero(~gone[some] & (offset <= left[some, None]) & (offset >= (left - more)[some, None]))
+            row = some[row]
+            start = offs[row] + left[row] - offset
+            string = chain(span_hash(acc, start, start + length), offset.astype(np.uint64)).view(np.int64)
+            lo = at[row] - offset
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (grams[row], string, d[row], th[row], lo, lo + length))], names=names)
 
     return run
 
 
 def _fetch(length: int):
-    """The bytes of each suffix's span, or the hash of each string of a common gram."""
+    """The bytes of each suffix's span, and those from the suffix on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "d", "th", "own", "bytes", "string"]
         for batch in batches:
             data, offs = text_bytes(batch.column("text"))
             lists = batch.column("wanted")
@@ -208,41 +228,30 @@ def _fetch(length: int):
             if not len(wanted):
                 continue
             n = np.asarray(lists.value_lengths())
-            row = np.repeat(np.arange(len(n)), n)
-            gram, own, common = (wanted.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-            at, left, more = _unpack(own)
-            lo = offs[row] + at - left
-            size = more + length
-            base = [pa.array(gram), batch.column("d").take(pa.array(row)), batch.column("th").take(pa.array(row)), pa.array(own)]
-            few = np.flatnonzero(~common)
-            if len(few):
-                to = np.append(0, np.cumsum(size[few]))
-                raw = data[np.arange(to[-1]) - np.repeat(to[:-1], size[few]) + np.repeat(lo[few], size[few])]
-                spans = pa.Array.from_buffers(pa.binary(), len(few), [None, pa.py_buffer(to.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(few)) for c in base), spans, pa.nulls(len(few), pa.int64())], names=names)
-            many = np.flatnonzero(common)
-            if len(many):
-                k = np.repeat(many, more[many] + 1)
-                shift = np.arange(len(k)) - np.repeat(np.cumsum(more[many] + 1) - more[many] - 1, more[many] + 1)
-                hashes = np.empty(len(k), np.uint64)
-                docs = row[k]
-                for r in np.unique(docs):
-                    mine = docs == r
-                    acc = prefix_hash(data[offs[r] : offs[r + 1]])
-                    start = lo[k[mine]] - offs[r] + shift[mine]
-                    hashes[mine] = span_hash(acc, start, start + length)
-                offset = left[k] - shift
-                string = chain(hashes, offset.astype(np.uint64)).view(np.int64)
-                start = at[k] - offset
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(k)) for c in base[:3]), pa.array(start), pa.nulls(len(k), pa.binary()), pa.array(string)], names=names)
+            of = np.repeat(np.arange(len(n)), n)
+            for i in range(0, len(wanted), 20_000):
+                some, row = wanted.slice(i, 20_000), pa.array(of[i : i + 20_000])
+                grams, own = (some.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+                at, left, more = _unpack(own)
+                lo = offs[of[i : i + 20_000]] + at - left
+                size = more + length
+                spans, right = (_raw(data, start, n_) for start, n_ in ((lo, size), (lo + left, size - left)))
+                yield pa.RecordBatch.from_arrays([pa.array(grams), batch.column("d").take(row), batch.column("th").take(row), pa.array(own), spans, right], names=["gram", "d", "th", "own", "bytes", "right"])
 
     return run
 
 
-def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, common: int = COMMON) -> DataFrame:
+def _raw(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    to = np.append(0, np.cumsum(size))
+    raw = data[np.arange(to[-1]) - np.repeat(to[:-1], size) + np.repeat(start, size)]
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(to.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+
+
+def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_spans: int = BUCKET_SPANS) -> DataFrame:
     """d, th, lo, hi: byte ranges to remove; they overlap freely.  ``docs`` has d, th and text."""
     spark = docs.sparkSession
-    n = partitions(spark)
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(partitions(spark), 2 * n_bytes // (length - gram + 2) // BUCKET_ROWS)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,14 +272,17 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, comm
     whole = judged.filter("kind = 0").select("d", "th", "own").unionByName(split.filter("later").select("d", "th", "own"))
     unclear = judged.filter("kind = 1").select("gram", "d", "th", "own").unionByName(split.filter("mixed AND NOT later").select("gram", "d", "th", "own").distinct())
 
-    often = store(unclear.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > common).select("gram", F.lit(True).alias("common")), "suffix-common")
-    wanted = join_small(unclear, often, ["gram"], "left").groupBy("d", "th").agg(F.collect_list(F.struct("gram", "own", F.coalesce("common", F.lit(False)).alias("common"))).alias("wanted"))
-    bytes_ = store(docs.select("d", "th", "text").join(wanted, ["d", "th"]).mapInArrow(_fetch(length), "gram long, d long, th long, own long, bytes binary, string long"), "suffix-bytes")
-
-    few = bytes_.filter("string IS NULL").select("gram", "d", "th", "own", "bytes").repartition(n, "gram").mapInArrow(_compare(length, gram), "d long, th long, lo long, hi long")
-    strings = bytes_.filter("string IS NOT NULL").select("gram", "string", "d", "th", "own")
-    earliest = strings.groupBy("gram", "string").agg(F.min(place).alias("first"), F.max(place).alias("most")).filter("first <> most").drop("most")
-    many = strings.join(earliest, ["gram", "string"]).filter(place > F.col("first")).select("d", "th", F.col("own").alias("lo"), (F.col("own") + length).alias("hi"))
+    wanted = unclear.groupBy("d", "th").agg(F.collect_list(F.struct("gram", "own")).alias("wanted"))
+    bytes_ = store(docs.select("d", "th", "text").join(wanted, ["d", "th"]).mapInArrow(_fetch(length), "gram long, d long, th long, own long, bytes binary, right binary"), "suffix-bytes")
+
+    order = ["gram", "right", "d", "th", "own"]
+    n = max(partitions(spark), -(-bytes_.count() // bucket_spans))
+    compared = store(bytes_.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_compare(length, gram), "gram long, string long, d long, th long, lo long, hi long"), "suffix-compared")
+    discard(bytes_)
+    strings, start = compared.filter("string IS NOT NULL"), F.struct("d", "th", "lo")
+    earliest = store(strings.groupBy("gram", "string").agg(F.min(start).alias("first"), F.max(start).alias("most"), F.count("*").alias("n")).filter("first <> most").drop("most"), "suffix-earliest")
+    many = join_split(strings, earliest, ["gram", "string"], strings.count()).filter(start > F.col("first")).select("d", "th", "lo", "hi")
+    few = compared.filter("string IS NULL").select("d", "th", "lo", "hi")
     lo = F.shiftright("own", 24) - F.shiftright("own", 12).bitwiseAND(F.lit(4095))
     return whole.select("d", "th", lo.alias("lo"), (lo + F.col("own").bitwiseAND(F.lit(4095)) + length).alias("hi")).unionByName(few).unionByName(many)
 
@@ -293,7 +305,7 @@ def covered(ranges: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return out
 
 
-def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, common: int = COMMON, with_text: bool = False) -> DataFrame:
+def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_spans: int = BUCKET_SPANS, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes if ``with_text``.
 
     Kept bytes need not be UTF-8: a cut can fall inside a character.
@@ -301,7 +313,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, common:
     prepare(docs.sparkSession)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     keyed = identified(docs.select("doc_id", "text"))
-    marks = store(removed_ranges(keyed, length, gram, common).groupBy("d", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "suffix-ranges")
+    marks = store(removed_ranges(keyed, length, gram, bucket_spans).groupBy("d", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "suffix-ranges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

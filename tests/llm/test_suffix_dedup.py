@@ -24,17 +24,17 @@ def brute(rows, length):
     return sorted((out[i is None, i or 0, (x or "").encode()] for i, x in rows), key=repr)
 
 
-@pytest.mark.parametrize(("length", "gram", "common"), [(100, 24, 400), (20, 6, 2), (12, 12, 1), (30, 8, 1000)])
-def test_against_brute_force(spark, length, gram, common):
+@pytest.mark.parametrize(("length", "gram", "bucket"), [(100, 24, 400), (20, 6, 40), (12, 12, 25), (30, 8, 100_000)])
+def test_against_brute_force(spark, length, gram, bucket):
     rows = shared_texts()
-    got = suffix_dedup.dedup_bytes(docs_table(spark, rows), length, gram, common)
+    got = suffix_dedup.dedup_bytes(docs_table(spark, rows), length, gram, bucket)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows, length)
 
 
 def test_runs_of_one_letter_and_many_bytes(spark):
     rng = random.Random(8)
     rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randrange(0, 90)))) for i in range(30)] + [(40, "a" * 300), (41, "a" * 200 + "b" * 50), (42, "é" * 80)]
-    got = suffix_dedup.dedup_bytes(docs_table(spark, rows), 10, 4, 3)
+    got = suffix_dedup.dedup_bytes(docs_table(spark, rows), 10, 4, 30)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows, 10)
 
 
@@ -56,3 +56,19 @@ def test_multikey_order():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 3, (200, 5)).astype(np.uint64)
     assert (words[suffix_dedup.multikey_order(words)] == words[np.lexsort(words.T[::-1])]).all()
+
+
+def test_a_common_gram_over_many_buckets(spark):
+    """One passage after and before different texts in all documents: its first and last grams stand in every bucket."""
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(60))
+    rows = [(i, "".join(rng.choice("xyz") for _ in range(rng.randrange(10, 60))) + passage + "".join(rng.choice("uvw") for _ in range(rng.randrange(10, 60)))) for i in range(150)]
+    got = suffix_dedup.dedup_bytes(docs_table(spark, rows), 30, 8, 20)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows, 30)
+
+
+def test_long_text(spark):
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(1_500_000))
+    got = {r.doc_id: r for r in suffix_dedup.op5_bytes(docs_table(spark, [(1, long), (2, "head " + long[400_000:]), (3, "z" * 1_200_000)])).collect()}
+    assert got[1].n_removed == 0 and got[2].n_removed == 1_100_000 and got[3].n_removed == 1_200_000 - 1
