@@ -74,25 +74,28 @@ def bad_labels(corpus: DataFrame, k: int = 5) -> DataFrame:
     return corpus.filter(coerce_label(F.col("label"), kind).isNull()).groupBy(F.col("label").cast("string").alias("label")).count().orderBy(F.desc("count"), "label").limit(k)
 
 
-def staged(corpus: DataFrame, order: Sequence[str], min_words: int = MIN_WORDS) -> DataFrame:
-    """``corpus`` with the key of dedup, and its place among rows of one key that pass the earlier stages.
-
-    One window over the key; the key is a hash, so that texts are not sorted.
-    """
+def staged(corpus: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``corpus`` with what each stage keeps, and ``_digest``, a hash of the collapsed text, for long rows only."""
     keyed = corpus.withColumn("_key", collapsed(F.coalesce("text", F.lit(""))))
     passed = keyed.withColumns({"is_labelled": F.col("label").isNotNull(), "has_text": F.col("label").isNotNull() & (F.col("_key") != ""), "is_long": F.col("label").isNotNull() & (raw_word_count(F.col("_key")) >= min_words)})
-    place = F.row_number().over(Window.partitionBy("_digest", "is_long").orderBy(*order))
-    return passed.withColumn("_digest", F.sha2("_key", 256)).drop("_key").withColumn("is_first", F.col("is_long") & (place == 1)).drop("_digest")
+    return passed.withColumn("_digest", F.when(F.col("is_long"), F.sha2("_key", 256))).drop("_key")
 
 
 def clean(corpus: DataFrame, order: Sequence[str], min_words: int = MIN_WORDS) -> DataFrame:
-    """Labelled rows with text of ``min_words`` or more, the first of each collapsed text; labels do not matter for that."""
-    return staged(corpus, order, min_words).filter("is_first").select(*corpus.columns)
+    """Labelled rows with text of ``min_words`` or more, the first of each collapsed text; labels do not matter for that.
+
+    The first of a text is a partial minimum of ``order``, so copies shuffle one row
+    per task and texts none; of rows that ``order`` does not tell apart, one stays.
+    """
+    rows = staged(corpus, min_words).filter("is_long")
+    first = rows.groupBy("_digest").agg(F.min(F.struct(*order)).alias("_first"))
+    kept = rows.withColumn("_place", F.struct(*order)).join(first.withColumnRenamed("_digest", "_d"), (F.col("_digest") == F.col("_d")) & F.col("_place").eqNullSafe(F.col("_first")), "left_semi")
+    return kept.dropDuplicates(["_digest"]).select(*corpus.columns)
 
 
-def funnel(corpus: DataFrame, order: Sequence[str], min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows after each stage, from one pass of conditional counts."""
-    return staged(corpus, order, min_words).agg(F.count("*").alias("n_raw"), F.count_if("is_labelled").alias("n_labelled"), F.count_if("has_text").alias("n_with_text"), F.count_if("is_long").alias("n_long_enough"), F.count_if("is_first").alias("n_unique"))
+def funnel(corpus: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Rows after each stage, from one pass of conditional counts over digests."""
+    return staged(corpus, min_words).agg(F.count("*").alias("n_raw"), F.count_if("is_labelled").alias("n_labelled"), F.count_if("has_text").alias("n_with_text"), F.count_if("is_long").alias("n_long_enough"), F.countDistinct("_digest").alias("n_unique"))
 
 
 def class_balance(labels: DataFrame, skew: float = TRAIN_SKEW) -> DataFrame:

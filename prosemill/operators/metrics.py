@@ -54,15 +54,19 @@ def accuracy_by_source(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.sum(hit).alias("correct"), F.avg(hit.cast("double")).alias("accuracy"), F.array_join(F.array_sort(F.collect_set(F.col("label").cast("string"))), ",").alias("labels"))
 
 
-def roc_auc(rows: DataFrame) -> DataFrame:
+def roc_auc(rows: DataFrame, ranges: int = 4096) -> DataFrame:
     """Area under the curve from average ranks; null with a single class.
 
     Rows are summed by probability first, so what is ranked is distinct
-    probabilities, and ties need no special case.
+    probabilities, and ties need no special case.  These are ranked in ``ranges``
+    of probability, to which the counts of the ranges below are added.
     """
-    by = rows.groupBy("probability").agg(F.count_if(F.col("label") == 1).cast("double").alias("pos"), F.count_if(F.col("label") == 0).cast("double").alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("probability").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    area = by.withColumn("won", F.col("pos") * (below + F.col("neg") / 2)).agg(F.sum("won").alias("won"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    by = rows.groupBy("probability").agg(F.count_if(F.col("label") == 1).cast("double").alias("pos"), F.count_if(F.col("label") == 0).cast("double").alias("neg")).withColumn("range", F.floor(F.col("probability") * ranges))
+    sums = by.groupBy("range").agg(F.sum("neg").alias("n"))
+    under = sums.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("under"))
+    below = F.coalesce(F.sum("neg").over(Window.partitionBy("range").orderBy("probability").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    met = by.withColumn("below", below).join(under, "range")
+    area = met.withColumn("won", F.col("pos") * (F.col("under") + F.col("below") + F.col("neg") / 2)).agg(F.sum("won").alias("won"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return area.select((F.col("won") / F.when(F.col("p") * F.col("n") > 0, F.col("p") * F.col("n"))).alias("roc_auc"))
 
 

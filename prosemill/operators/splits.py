@@ -32,20 +32,28 @@ def rotate_variants(sample: DataFrame, variants: tuple[str, ...] = VARIANTS) ->
     return sample.withColumn("prompt_variant", F.element_at(F.array(*map(F.lit, variants)), (F.col("position") % len(variants) + 1).cast("int")))
 
 
-def _class_order(key: str, label: str, seed: int) -> Column:
-    return F.row_number().over(Window.partitionBy(label).orderBy(draw(key, seed), key))
+def ranked(rows: DataFrame, key: str, by: str, seed: int) -> DataFrame:
+    """``_rank`` (from 1) in the order of the draw, and ``_n``, within each value of ``by``.
 
+    The draw's first three digits cut a class into 4096 ranges.  Rows are numbered
+    within their range and the counts of the ranges before are added, so that a
+    class with most rows is sorted by many tasks.
+    """
+    drawn = rows.withColumn("_o", draw(key, seed)).withColumn("_range", F.substring("_o", 1, 3))
+    counts = drawn.groupBy(by, "_range").agg(F.count("*").alias("_c"))
+    earlier = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col(by).alias("_by"), F.col("_range").alias("_r"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy(by)).alias("_n"))
+    place = F.row_number().over(Window.partitionBy(by, "_range").orderBy("_o", key))
+    met = drawn.withColumn("_place", place).join(offsets, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_r")))
+    return met.withColumn("_rank", F.col("_before") + F.col("_place")).drop("_o", "_range", "_by", "_r", "_before", "_place")
 
-def stratified_split(rows: DataFrame, key: str, label: str, share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
-    """``is_test``: the first ``share`` of each class, rounded; of all rows, if a class has fewer than two.
 
-    Where a class holds most rows, ``hashed_split`` gives about the same shares without a sort.
-    """
+def stratified_split(rows: DataFrame, key: str, label: str, share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
+    """``is_test``: the first ``share`` of each class, rounded; of all rows, if a class has fewer than two."""
     sizes = rows.groupBy(label).agg(F.count("*").alias("n"))
     strata = F.lit("all") if sizes.filter("n < 2").limit(1).count() else F.col(label).cast("string")
-    layered = rows.withColumn("_s", strata)
-    n = F.count("*").over(Window.partitionBy("_s"))
-    return layered.withColumn("_n", n).withColumn("is_test", _class_order(key, "_s", seed) <= F.round(F.col("_n") * share)).drop("_s", "_n")
+    layered = ranked(rows.withColumn("_s", strata), key, "_s", seed)
+    return layered.withColumn("is_test", F.col("_rank") <= F.round(F.col("_n") * share)).drop("_s", "_n", "_rank")
 
 
 def hashed_split(rows: DataFrame, key: str, share: float = TEST_SHARE, seed: int = SEED, group: str | None = None) -> DataFrame:
@@ -64,7 +72,7 @@ def stratified_folds(rows: DataFrame, key: str, label: str, k: int = FOLDS, seed
     """``fold``: the classes dealt out in turn; by the group's hash if rows of a group must stay together."""
     if group:
         return rows.withColumn("fold", F.pmod(F.conv(F.substring(draw(group, seed), 1, 8), 16, 10).cast("long"), F.lit(k)).cast("int"))
-    return rows.withColumn("fold", ((_class_order(key, label, seed) - 1) % fold_count(rows, label, k)).cast("int"))
+    return ranked(rows, key, label, seed).withColumn("fold", ((F.col("_rank") - 1) % fold_count(rows, label, k)).cast("int")).drop("_rank", "_n")
 
 
 def first_held_out(rows: DataFrame, preference: list[str], source: str, row: str) -> DataFrame:

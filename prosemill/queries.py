@@ -74,7 +74,7 @@ def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.funnel(_corpus(spark, sf_dir), ["doc_id"])
+    return corpus.funnel(_corpus(spark, sf_dir))
 
 
 def corpus_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +152,7 @@ def top_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lm.word_tokens(_documents(spark, sf_dir))
-    return lm.score_words(words, lm.fit_bigrams(words))
+    return lm.score_training_words(words, lm.fit_bigrams(words))
 
 
 def doc_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ def test_clean_and_funnel(spark):
     rows = [(1, long, 1), (2, f"  {long}\n", 0), (3, "short", 1), (4, None, 0), (5, long + "x", None), (6, long + "y", 0), (7, " ", 1)]
     frame = spark.createDataFrame(rows, "n long, text string, label int")
     assert [r.n for r in corpus.clean(frame, ["n"]).orderBy("n").collect()] == [1, 6]
-    assert tuple(corpus.funnel(frame, ["n"]).first()) == (7, 6, 4, 3, 2)
+    assert tuple(corpus.funnel(frame).first()) == (7, 6, 4, 3, 2)
 
 
 def test_balance(spark):
