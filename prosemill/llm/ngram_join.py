@@ -1,14 +1,20 @@
 """Exact Jaccard join of documents' n-gram sets by a blocked sparse matrix product.
 
 Rows of the incidence matrix are documents, columns the 64-bit hashes of their
-n-grams.  Documents whose sizes can reach the bound meet in a size class, and
-the columns of a class are cut into blocks: two sets of a class that differ in
-at most ``d`` n-grams, the most that the bound allows, are equal in one of
-``d + 1`` blocks at least.  Documents that agree in a block are candidates; a
-common passage alone makes no candidates, since the rest of the block differs.
-Block keys are range-partitioned and sorted, and each candidate is joined to its
-neighbour only; the components of these edges contain all links and tell which
-rows are multiplied with which.
+n-grams.  Which rows can reach the bound follows from sizes and column counts: with
+the columns in one order, rarest first, two sets that reach it share one of the
+first ``n - ceil(n * percent / 100) + 1`` columns of either (n is its size).  A
+column that a single row has cannot be shared, so a document with that many
+n-grams of its own meets no other, whatever passages it has in common with them.
+
+The matrix is cut into blocks of columns.  A slice of documents sends each block
+its incidences, 8 bytes each; the block counts its columns and sends back what
+several rows have; the slice picks the first columns of its documents.  The very
+common columns, those of a hundredth of all rows, are told beforehand from the
+slices in which they are common, come last in the order and stay in their slice.
+Rows that share a first column are range-partitioned and sorted by it and each is
+joined to its neighbour only; the components of these edges contain all links and
+tell which rows are multiplied with which.
 
 Within such a component the product of the rows with each other is accumulated
 block of columns by block of columns, and a pair is discarded as soon as its
@@ -41,16 +47,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, binary_lists, chain, discard, hash_spans, join_split, lower_ascii, mix64, partitions, prepare, slices, store, text_bytes, unused, word_spans
+from .common import BROADCAST_ROWS, SLICE_BYTES, binary_lists, chain, hash_spans, join_split, lower_ascii, mix64, partitions, prepare, slices, store, text_bytes, unused, word_spans
 from .components import connected_components
 
 WIDTH = 3
 PERCENT = 90
-GROWTH = 1.5
-SPARE_BLOCKS = 3
+HOT_SHARE = 100
+BLOCK_GRAMS = 4_000_000
+SLICE = 2 << 20
 TILE_ROWS = 1024
 TILE_GRAMS = 1 << 20
 COLUMN_BLOCK = 2048
@@ -103,60 +111,11 @@ def gram_sets(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarra
     return gram, np.searchsorted(owner, np.arange(len(offs)))
 
 
-class SizeClasses:
-    """Classes of set sizes and the number of column blocks of each."""
-
-    def __init__(self, percent: int, largest: int) -> None:
-        self.percent, bounds = percent, [1]
-        while bounds[-1] <= largest:
-            bounds.append(max(bounds[-1] + 1, int(bounds[-1] * GROWTH)))
-        self.starts = np.array(bounds, np.int64)
-        top = self.starts[1:] - 1
-        differ = (top + top * 100 // percent) * (100 - percent) // (100 + percent)
-        self.blocks = np.where(differ > 0, differ + 1 + SPARE_BLOCKS, 0)
-
-    def of(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, class): each set's own class, and those below down to the smallest possible partner."""
-        own = np.searchsorted(self.starts, n, side="right") - 1
-        lowest = np.searchsorted(self.starts, np.maximum(-(-n * self.percent // 100), 1), side="right") - 1
-        count = own - lowest + 1
-        row = np.repeat(np.arange(len(n)), count)
-        cls = own[row] - (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
-        keep = self.blocks[cls] > 0
-        return row[keep], cls[keep]
-
-
-def block_keys(gram: np.ndarray, offs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, key): one key for each column block of each document's classes."""
-    sizes = np.diff(offs)
-    filled = np.flatnonzero(sizes)
-    if not len(filled):
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    classes = SizeClasses(percent, int(sizes.max()))
-    row, cls = classes.of(sizes[filled])
-    doc, n_blocks = filled[row], classes.blocks[cls]
-    n = sizes[doc]
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(offs[doc], n)
-    member = np.repeat(np.arange(len(doc)), n)
-    block = ((gram[at] >> np.uint64(32)) * n_blocks[member].astype(np.uint64)) >> np.uint64(32)
-    new = np.ones(len(at), bool)
-    new[1:] = (member[1:] != member[:-1]) | (block[1:] != block[:-1])
-    heads = np.flatnonzero(new)
-    if not len(heads):
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    content, of, b = np.add.reduceat(mix64(gram[at]), heads), member[heads], block[heads]
-    empty = n_blocks - np.bincount(of, minlength=len(doc))
-    for m in np.flatnonzero(empty > SPARE_BLOCKS):
-        bare = np.setdiff1d(np.arange(n_blocks[m], dtype=np.uint64), b[of == m])
-        content, of, b = np.concatenate([content, np.zeros(len(bare), np.uint64)]), np.append(of, np.full(len(bare), m)), np.append(b, bare)
-    return doc[of], chain(content, cls[of].astype(np.uint64), b)
-
-
-def _batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def _batches(batches: Iterator[pa.RecordBatch], width: int, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows with their sets, a slice of texts at a time."""
     for batch in batches:
         data, offs = text_bytes(batch.column("text"))
-        for i, j in slices(offs):
+        for i, j in slices(offs, size):
             gram, to = gram_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width)
             yield batch.slice(i, j - i), gram, to
 
@@ -260,6 +219,91 @@ def _multiplied(rows: DataFrame, percent: int, tile_rows: int, tile_grams: int)
     return whole.unionByName(within).unionByName(tiles.groupBy("root", "part", "other").applyInArrow(_tile(percent), kind))
 
 
+def _common(gram: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns (48 bits) that a part of a slice's documents has, ``1 / HOT_SHARE`` and four at least, and their counts."""
+    column, count = np.unique(gram >> np.uint64(16), return_counts=True)
+    often = (count * HOT_SHARE >= n_docs) & (count >= 4)
+    return column[often], count[often]
+
+
+def _spread(width: int, n_blocks: int, hot: np.ndarray):
+    """A slice's incidences by block of columns, (column << 16 | place in the slice); and a row with its documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 32
+        names = ["block", "slice", "body", "extra", "hot"]
+        for rows, gram, to in _batches(batches, width, SLICE):
+            n = np.diff(to)
+            column = gram >> np.uint64(16)
+            cell = column << np.uint64(16) | np.repeat(np.arange(len(n), dtype=np.uint64), n)
+            common = np.isin(column, hot)
+            docs = [x.tobytes() for x in (_sums(mix64(gram), to), n.astype(np.int32), np.sort(cell[common]))]
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - at % n_blocks], pa.int32()), pa.array([at], pa.int64()), *(pa.array([x], pa.binary()) for x in docs)], names=names)
+            cell = np.sort(cell[~common])
+            block = ((cell >> np.uint64(32)) * np.uint64(n_blocks) >> np.uint64(32)).astype(np.int64)
+            ends = np.searchsorted(block, np.arange(n_blocks + 1))
+            full = np.flatnonzero(np.diff(ends))
+            none = pa.nulls(len(full), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([at] * len(full), pa.int64()), pa.array([cell[ends[b] : ends[b + 1]].tobytes() for b in full], pa.binary()), none, none], names=names)
+            at += 1
+
+    return run
+
+
+def _cells(column: pa.ChunkedArray, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """Packed numbers of binary rows end to end, and how many each row has."""
+    data, offs = text_bytes(column)
+    return data.view(dtype), np.diff(offs) // np.dtype(dtype).itemsize
+
+
+def _counted(key: tuple, table: pa.Table) -> pa.Table:
+    """A block: the incidences of columns that several rows have, back to their slices with the columns' counts."""
+    if key[0].as_py() < 0:
+        return table.select(["slice", "body", "extra", "hot"])
+    cell, size = _cells(table.column("body"), np.uint64)
+    row = np.repeat(np.arange(len(size)), size)
+    order = np.argsort(cell >> np.uint64(16), kind="stable")
+    column = (cell >> np.uint64(16))[order]
+    first = np.flatnonzero(np.append(True, column[1:] != column[:-1]))
+    run = np.diff(np.append(first, len(column)))
+    count = np.empty(len(column), np.int64)
+    count[order] = np.repeat(run, run)
+    shared = count > 1
+    ends = np.append(0, np.cumsum(np.bincount(row[shared], minlength=len(size))))
+    cell, count = cell[shared], np.minimum(count[shared], 65535).astype(np.uint16)
+    bodies = [[x[a:b].tobytes() for a, b in zip(ends, ends[1:])] for x in (cell, count)]
+    return pa.table({"slice": table.column("slice"), "body": pa.array(bodies[0], pa.binary()), "extra": pa.array(bodies[1], pa.binary()), "hot": pa.nulls(len(size), pa.binary())})
+
+
+def _first_columns(percent: int):
+    """A slice with what came back: key and x for the first columns of each document that others have too."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own = pc.is_valid(table.column("hot"))
+        docs, back = table.filter(own), table.filter(pc.invert(own))
+        (x, _), (n, _), (hot, _) = (_cells(docs.column(c), t) for c, t in (("body", np.int64), ("extra", np.int32), ("hot", np.uint64)))
+        (cell, _), (count, _) = _cells(back.column("body"), np.uint64), _cells(back.column("extra"), np.uint16)
+        cell, count = np.append(cell, hot), np.append(count.astype(np.int64), np.full(len(hot), 1 << 20))
+        place = (cell & np.uint64(65535)).astype(np.int64)
+        order = np.lexsort((cell, count, place))
+        place, column = place[order], cell[order] >> np.uint64(16)
+        shared = np.bincount(place, minlength=len(n))
+        take = n - -(-percent * n.astype(np.int64) // 100) + 1 - (n - shared)
+        rank = np.arange(len(place)) - np.searchsorted(place, place)
+        keep = rank < take[place]
+        return pa.table({"key": pa.array(column[keep].astype(np.int64)), "x": pa.array(x[place[keep]])})
+
+    return run
+
+
+def first_columns(texts: DataFrame, width: int, percent: int, n_grams: int, hot: np.ndarray) -> DataFrame:
+    """key, x: the first columns of each set, where others have them; sets that can reach the bound share one."""
+    n_blocks = max(partitions(texts.sparkSession), -(-n_grams // BLOCK_GRAMS))
+    spread = texts.select("text").mapInArrow(_spread(width, n_blocks, hot), "block int, slice long, body binary, extra binary, hot binary")
+    counted = spread.groupBy("block").applyInArrow(_counted, "slice long, body binary, extra binary, hot binary")
+    return store(counted.groupBy("slice").applyInArrow(_first_columns(percent), "key long, x long"), "ngram-keys")
+
+
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A sorted bucket of keys: neighbours with equal keys and other sets, and the bucket's first and last row."""
     names, last = ["a", "b", "key", "x"], None
@@ -298,24 +342,24 @@ def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     texts = docs.select(node_id().alias("d"), F.xxhash64("text").alias("t"), "text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row with n and the set's fingerprint for each document, and a row for each of its block keys."""
+        """n and the fingerprint of each document's set; and, without n, columns that are common in the slice."""
         for rows, gram, to in _batches(batches, width):
             n, x, y = np.diff(to), _sums(mix64(gram), to), _sums(mix64(gram ^ np.uint64(0xA5A5A5A5A5A5A5A5)), to)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.array(x), rows.column("d"), rows.column("t"), pa.array(n), pa.array(y)], names=["key", "x", "d", "t", "n", "y"])
-            doc, key = block_keys(gram, to, percent)
-            for i in range(0, len(doc), 100_000):
-                some = slice(i, i + 100_000)
-                none = pa.nulls(len(doc[some]), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(x[doc[some]]), none.cast(NODE_TYPE), none, none, none], names=["key", "x", "d", "t", "n", "y"])
-
-    scanned = store(texts.mapInArrow(scan, f"key long, x long, d {NODE}, t long, n long, y long"), "ngram-scan")
-    sets = store(scanned.filter("key IS NULL").select("d", "t", "n", "x", "y"), "ngram-sets")
-    edges = candidates(scanned.filter("key IS NOT NULL").select("key", "x"))
-    discard(scanned)
+            yield pa.RecordBatch.from_arrays([rows.column("d"), rows.column("t"), pa.array(n), pa.array(x), pa.array(y)], names=["d", "t", "n", "x", "y"])
+            column, count = _common(gram, len(n))
+            none = pa.nulls(len(column), pa.int64())
+            yield pa.RecordBatch.from_arrays([none.cast(NODE_TYPE), none, none, pa.array(column.astype(np.int64)), pa.array(count)], names=["d", "t", "n", "x", "y"])
+
+    scanned = store(texts.mapInArrow(scan, f"d {NODE}, t long, n long, x long, y long"), "ngram-sets")
+    sets = scanned.filter("n IS NOT NULL")
+    total, n_grams = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # There are no more such columns than HOT_SHARE times the mean size of a set.
+    common = scanned.filter("n IS NULL").groupBy("x").agg(F.sum("y").alias("y")).filter(F.col("y") * HOT_SHARE >= total)
+    hot = np.array([r["x"] for r in common.collect()], np.uint64)
+    edges = candidates(first_columns(texts, width, percent, n_grams, hot))
     coarse = connected_components(edges)
     members = coarse.select(F.col("node").alias("x"), "root").unionByName(coarse.select(F.col("root").alias("x"), "root")).distinct()
 
-    total = sets.count()
     different = store(sets.filter("n > 0").groupBy("n", "x", "y").agg(F.min(F.struct("d", "t")).alias("first"), F.count("*").alias("rows")), "ngram-different")
     equal = different.filter("rows > 1").select("x", "y", F.col("n").alias("size"), F.col("first.d").alias("rep"), F.col("first.t").alias("rep_t"), F.col("rows").alias("n"))
     twins = join_split(sets.withColumnRenamed("n", "size"), equal, ["size", "x", "y"], total).filter("d <> rep OR t <> rep_t")

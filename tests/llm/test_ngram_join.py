@@ -128,28 +128,37 @@ def test_stage_keeps_one(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted({r[2] for r in brute(rows, 5, 80)})
 
 
-def test_every_pair_in_reach_shares_a_block():
-    rng = np.random.default_rng(0)
-    for size in (5, 12, 19, 20, 47, 90, 300):
-        base = rng.integers(0, 1 << 63, size).astype(np.uint64)
-        for lost in range(0, size // 9):
-            other = np.concatenate([base[lost:], rng.integers(0, 1 << 63, max(0, size // 19 - lost)).astype(np.uint64)])
-            if 100 * (size - lost) < 90 * (len(other) + lost):
-                continue
-            a, b = np.unique(base), np.unique(other)
-            doc, key = ngram_join.block_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 90)
-            same = len(a) == len(b) and (a == b).all()
-            assert same or set(key[doc == 0]) & set(key[doc == 1])
-
-
-@pytest.mark.parametrize("percent", [50, 60, 66, 80])
-def test_partners_several_classes_below_share_a_block(percent):
-    rng = np.random.default_rng(1)
-    for size in range(2, 120):
-        base = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
-        small = np.sort(rng.choice(base, -(-percent * len(base) // 100), replace=False))
-        doc, key = ngram_join.block_keys(np.concatenate([small, base]), np.array([0, len(small), len(small) + len(base)]), percent)
-        assert len(small) == len(base) or set(key[doc == 0]) & set(key[doc == 1])
+@pytest.mark.parametrize(("percent", "hot_share"), [(50, 100), (80, 100), (80, 3), (90, 2)])
+def test_every_pair_in_reach_shares_a_first_column(spark, monkeypatch, percent, hot_share):
+    """Sets that share passages and are near to each other; documents of mostly own words have no key at all."""
+    monkeypatch.setattr(ngram_join, "HOT_SHARE", hot_share)
+    rng = random.Random(percent)
+    passages = [prose(rng, 40, 10**6) for _ in range(6)]
+    rows = [(i, f"{passages[i % 6]} {passages[i % 5]} {prose(rng, rng.randrange(60), 10**6)}") for i in range(60)] + near(percent, 60, 90)
+    texts = docs_table(spark, rows).select(ngram_join.node_id().alias("d"), "text")
+    sets = {ngram_join.gram_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), 3)[0].tobytes() for _, t in rows}
+    sets = [np.frombuffer(b, np.uint64) for b in sets]
+    names = {int(ngram_join._sums(ngram_join.mix64(g), np.array([0, len(g)]))[0]): set(g.tolist()) for g in sets}
+    column, count = np.unique(np.concatenate(sets) >> np.uint64(16), return_counts=True)
+    hot = column[count * hot_share >= len(rows)]
+    keys = {}
+    for r in ngram_join.first_columns(texts, 3, percent, 10_000, hot).collect():
+        keys.setdefault(r.x, set()).add(r.key)
+    for a in names:
+        for b in names:
+            if a < b and 100 * len(names[a] & names[b]) >= percent * len(names[a] | names[b]):
+                assert keys[a] & keys[b]
+    assert len(keys) < len(names) or percent == 50
+
+
+def test_common_passages_make_no_large_component(spark):
+    """A third of each text is shared with many others, but none is near to another: no row is multiplied."""
+    rng = random.Random(12)
+    passages = [prose(rng, 60, 10**6) for _ in range(8)]
+    rows = [(i, f"{rng.choice(passages)} {prose(rng, 100, 10**6)} {rng.choice(passages)}") for i in range(200)]
+    texts = docs_table(spark, rows).select(ngram_join.node_id().alias("d"), "text")
+    assert ngram_join.first_columns(texts, 5, 80, 50_000, np.empty(0, np.uint64)).count() == 0
+    assert got(ngram_join.join_components(docs_table(spark, rows), 5, 80).select("d", "n", "root")) == brute(rows, 5, 80)
 
 
 def test_low_bound_against_brute_force(spark):
