@@ -11,13 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import more_queries
 from .functions.lexicon import ABBREVIATIONS, DISCOURSE_MARKERS, STOPWORDS
-from .functions.text import discourse_markers_in, raw_word_count, word_count
+from .functions.text import raw_word_count, word_count
 from .operators import corpus, explain, limiter, metrics, model, splits
 from .operators import language_model as lm
 from .operators.sentences import split_sentences, split_with_offsets
 from .operators.signals import rhythm_features, style_features, token_features
 from .plans import pipelines
+from .sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,10 +67,6 @@ def signals_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     return style_features(_documents(spark, sf_dir)).select("doc_id", *map(_r, ("contraction_ratio", "uppercase_ratio", "digit_ratio")))
 
 
-def discourse_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir, "lang").select("lang", F.explode(discourse_markers_in(F.col("text"))).alias("marker")).groupBy("lang", "marker").agg(F.count("*").alias("n"))
-
-
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).join(_labels(spark, sf_dir), "doc_id", "left")
 
@@ -99,10 +97,6 @@ def distinct_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.distinct_count(table(spark, sf_dir, "documents").select("source"), "source")
 
 
-def semi_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.present_in(_documents(spark, sf_dir), "text", table(spark, sf_dir, "benchmark"), "text").agg(F.count("*").alias("n_present"))
-
-
 def pending_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.pending(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
 
@@ -221,33 +215,38 @@ def rate_limit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limiter.limiter_summary(limiter.rate_limit(_hits(spark, sf_dir), HITS, SECONDS)).select("key", "n_hits", "n_allowed")
 
 
-def _trained(spark: SparkSession, sf_dir: str) -> tuple[model.ModelBundle, DataFrame]:
-    rows, _ = pipelines.training_rows(_documents(spark, sf_dir, "source"), _labels(spark, sf_dir))
-    return pipelines.train(rows.persist())
+def _bigrams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    seen, contexts = lm.fit_bigrams(lm.word_tokens(_documents(spark, sf_dir)))
+    return tables.stored(seen), tables.stored(contexts)
+
+
+def _trained(spark: SparkSession, sf_dir: str, bigrams: tuple[DataFrame, DataFrame]) -> tuple[model.ModelBundle, DataFrame]:
+    rows, _ = pipelines.training_rows(_documents(spark, sf_dir, "source"), _labels(spark, sf_dir), bigrams)
+    return pipelines.train(tables.stored(rows))
 
 
 def logistic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, held = _trained(spark, sf_dir)
+    _, held = _trained(spark, sf_dir, _bigrams(spark, sf_dir))
     return held.select("doc_id", "label", _r("probability"), "predicted")
 
 
 def essay_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bundle, _ = _trained(spark, sf_dir)
-    docs = _documents(spark, sf_dir)
-    answers = pipelines.analyze(docs, bundle, lm.fit_bigrams(lm.word_tokens(docs)))
+    bigrams = _bigrams(spark, sf_dir)
+    bundle, _ = _trained(spark, sf_dir, bigrams)
+    answers = pipelines.analyze(_documents(spark, sf_dir), bundle, bigrams)
     return answers.select("doc_id", F.col("status").cast("long").alias("status"), "error", "overall_probability", "confidence_label", "label", "confidence", F.to_json("signals").alias("signals"), F.to_json("sentences").alias("sentences"), "flagged_sentence_count", F.to_json("top_features").alias("top_features"))
 
 
 QUERIES: tuple[Query, ...] = (
-    doc_words, doc_sentences, signals_rhythm, signals_style, signals_surface, discourse_usage, corpus_funnel, corpus_clean, class_balance, length_stats_by_source,
-    label_counts, distinct_sources, semi_benchmark_overlap, pending_anti, md5_split, md5_folds, sample_and_rotate, confusion_report, accuracy_by_source, roc_auc_rank,
+    doc_words, doc_sentences, signals_rhythm, signals_style, signals_surface, corpus_funnel, corpus_clean, class_balance, length_stats_by_source,
+    label_counts, distinct_sources, pending_anti, md5_split, md5_folds, sample_and_rotate, confusion_report, accuracy_by_source, roc_auc_rank,
     fold_accuracy, source_gap, top_failures, doc_perplexity, sentence_perplexity, pooled_calibration, window_plan, sentence_deviation, sentence_flags, essay_gate,
     length_states, score_labels, rate_limit, rate_limit_summary, logistic_scores, essay_report,
 )
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in QUERIES}
+    return {q.__name__: q for q in (*QUERIES, *more_queries.QUERIES)}
 
 
 def _in(names: tuple[str, ...]) -> str:
@@ -336,7 +335,7 @@ def oracle_sql() -> dict[str, str]:
     contractions = r"len(regexp_extract_all(t, '(?i)[\pL\pN_]+[''’](?:t|s|re|ve|ll|d|m)(?:[^\pL\pN_]|$)'))"
     digits, tokens = r"len(regexp_extract_all(t, '\p{Nd}'))", r"regexp_extract_all(t, '\S+')"
     guard = lambda top, bottom="n": f"round(CASE WHEN n = 0 THEN 0 ELSE {top} / {bottom} END, 6)"
-    return {
+    known = {
         "doc_words": r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z''’-]*')) AS n_words, len(regexp_extract_all(coalesce(text, ''), '\S+')) AS n_tokens FROM documents",
         "doc_sentences": f"WITH {_SENTENCES} SELECT doc_id, sid, start_char::BIGINT AS start_char, (start_char + length(t))::BIGINT AS end_char, word_count, md5(t) AS text_md5 FROM sent",
         "signals_rhythm": f"""WITH {_SENTENCES},
@@ -354,7 +353,6 @@ FROM style LEFT JOIN k USING (doc_id)""",
 SELECT doc_id, {guard(contractions)} AS contraction_ratio,
   {guard(f"len(list_filter({tokens}, lambda x: x = upper(x) AND x <> lower(x) AND length(x) > 1))", f"greatest(len({tokens}), 1)")} AS uppercase_ratio,
   {guard(digits, "greatest(length(t), 1)")} AS digit_ratio FROM style""",
-        "discourse_usage": f"SELECT lang, marker, count(*) AS n FROM (SELECT lang, lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z''’-]*'))) AS marker FROM documents) WHERE marker IN ({_in(DISCOURSE_MARKERS)}) GROUP BY ALL",
         "corpus_funnel": f"WITH {_STAGED} SELECT count(*) AS n_raw, count(*) FILTER (labelled) AS n_labelled, count(*) FILTER (has_text) AS n_with_text, count(*) FILTER (long) AS n_long_enough, count(*) FILTER (first) AS n_unique FROM g",
         "corpus_clean": f"WITH {_STAGED} SELECT doc_id, label, md5(text) AS text_md5 FROM g WHERE first",
         "class_balance": """WITH n AS (SELECT count(*) FILTER (quality = 0) AS h, count(*) FILTER (quality = 1) AS a FROM labels)
@@ -365,7 +363,6 @@ SELECT h AS n_human, a AS n_ai, round(100.0 * h / (h + a), 6) AS pct_human, roun
 SELECT source, count(*) AS n_docs, min(n) AS min_words, round(quantile_cont(n::DOUBLE, 0.5), 6) AS median_words, round(avg(n), 6) AS mean_words, max(n) AS max_words FROM c GROUP BY source""",
         "label_counts": "SELECT source, quality AS label, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL",
         "distinct_sources": "SELECT count(DISTINCT source) AS n_distinct FROM documents",
-        "semi_benchmark_overlap": r"SELECT count(*) AS n_present FROM documents WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') IN (SELECT regexp_replace(text, '^\s+|\s+$', '', 'g') FROM benchmark)",
         "pending_anti": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
         "md5_split": """SELECT doc_id, quality AS label, row_number() OVER (PARTITION BY quality ORDER BY md5('42:' || doc_id), doc_id) <= round(count(*) OVER (PARTITION BY quality) * 0.2) AS is_test FROM labels""",
         "md5_folds": f"WITH {_SCORED} SELECT doc_id, label, fold FROM folds",
@@ -406,3 +403,4 @@ SELECT doc_id, round(probability, 6) AS probability, CASE WHEN probability >= 0.
         "rate_limit": f"WITH {_LIMITED} SELECT event_id, allowed, remaining::BIGINT AS remaining, round(wait, 3) AS retry_after, CASE WHEN NOT allowed THEN greatest(floor(wait + 0.999), 1)::BIGINT END AS retry_header FROM r",
         "rate_limit_summary": f"WITH {_LIMITED} SELECT key, count(*) AS n_hits, count(*) FILTER (allowed) AS n_allowed FROM r GROUP BY key",
     }
+    return known | more_queries.oracle_sql(known, _STYLE, _SENTENCES, _SENTENCE_SCORES, _in(DISCOURSE_MARKERS))

@@ -5,6 +5,8 @@ Everything goes through Spark's own readers and writers, so any store works.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -57,9 +59,25 @@ def source_of(path: str) -> str:
     return path.rsplit("/", 1)[-1].removesuffix(".csv").replace("_essays", "")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path below the session's shared folder; a local one only where driver and executors are one process."""
+    conf = spark.sparkContext.getConf()
+    root = conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not conf.get("spark.master", "").startswith("local[") and conf.get("spark.master", "") != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="prosemill-")
+    return f"{root.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
 def read_jsonl(spark: SparkSession, path: str, key: str = "index", schema: str = POLISH_CACHE) -> tuple[DataFrame, DataFrame]:
-    """The last row of each key, and the number of malformed lines; blank lines are skipped."""
-    lines = spark.read.text(path).filter(F.trim("value") != "").withColumn("_n", F.monotonically_increasing_id())
+    """The last row of each key, and the number of malformed lines; blank lines are skipped.
+
+    Last is what was written last: by time and name of the file, then by place in
+    it; splits are read in no particular order.
+    """
+    place = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    lines = spark.read.text(path).select("value", place.alias("_n")).filter(F.trim("value") != "")
     parsed = lines.select("_n", F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
     good = parsed.filter(F.col("r._bad").isNull() & F.col(f"r.{key}").isNotNull())
     last = good.withColumn("_o", F.row_number().over(Window.partitionBy(f"r.{key}").orderBy(F.desc("_n")))).filter("_o = 1").select("r.*").drop("_bad")
@@ -71,7 +89,8 @@ def append_jsonl(rows: DataFrame, path: str) -> None:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path)
+    """With a header; texts keep the white space at their ends."""
+    rows.write.mode("overwrite").options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_features(rows: DataFrame, path: str) -> None:
@@ -80,3 +99,10 @@ def write_features(rows: DataFrame, path: str) -> None:
 
 def append_failures(spark: SparkSession, rows: list[tuple[str, int, str, str]], path: str) -> None:
     spark.createDataFrame(rows, FAILURE).write.mode("append").option("sep", "\t").csv(path)
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """``rows`` written below the shared folder and reread: computed once, whatever reads them and whatever is lost."""
+    path = scratch(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
