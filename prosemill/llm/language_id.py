@@ -15,8 +15,8 @@ memory is bounded by a slice of texts.
 Cases: a null text or one without a letter is ``und`` with score 0; a null id is
 never learned from and not held out; rows are predicted one by one, repeated or
 not; where nothing can be learned every document is ``und``; a text of any length
-is one row of counts; input columns called ``lang_pred`` or ``score`` are replaced,
-others kept whatever their names.
+is one row of counts; ``predict`` replaces input columns called ``lang_pred`` or
+``score``, the stage keeps all, whatever their names.
 """
 
 from __future__ import annotations
@@ -183,12 +183,12 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+def predict(docs: DataFrame, model: LanguageModel | None, lang_pred: str = "lang_pred", score_name: str = "score") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; only the text is looked at."""
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(lang_pred, score_name)
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UND), "score": F.lit(0.0)})
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+        return docs.withColumns({lang_pred: F.lit(UND), score_name: F.lit(0.0)})
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang_pred, T.StringType()), T.StructField(score_name, T.DoubleType())])
     kept, names = docs.columns, schema.names
     (flag,) = unused(docs, "lettered")
     lettered = docs.withColumn(flag, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
@@ -217,4 +217,5 @@ def op8_language(docs: DataFrame) -> DataFrame:
 
 def language_stage(docs: DataFrame, least: float = MIN_SCORE) -> DataFrame:
     """``docs`` without those that have no language or a score below ``least``."""
-    return predict(docs, fit(docs)).filter((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(*docs.columns)
+    lang, score = unused(docs, "lang_pred", "score")
+    return predict(docs, fit(docs), lang, score).filter((F.col(lang) != UND) & (F.col(score) >= least)).select(*[f"`{c}`" for c in docs.columns])

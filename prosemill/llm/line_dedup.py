@@ -26,12 +26,13 @@ Cases: a null text counts as empty and stays null; a document that weighs less t
 ``MIN_RUN`` keeps everything; rows with equal id and text are the same document,
 and neither removes the other; rows with equal id and other texts are ordered by a
 hash of the text; long texts are hashed a megabyte at a time; other columns are
-kept whatever their names, but n_lines, n_removed and n_runs replaced.
+kept whatever their names, but ``dedup_lines`` replaces those called like its counts
+(the stage does not).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,7 @@ from .common import SPACE_CLASS, _SPACE, chain, hash_spans, join_split, prepare,
 
 MIN_RUN = 3
 LINE_WORDS = 25
+COUNTS = ("n_lines", "n_removed", "n_runs")
 
 _LAST = (1 << 63) - 1
 _PLACE = ["d", "th", "at"]
@@ -142,16 +144,16 @@ def identified(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumns({"d": last_id(), "th": F.xxhash64(text)})
 
 
-def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, line_words: int = LINE_WORDS) -> DataFrame:
-    """``docs`` with ``text`` as it is left, and n_lines, n_removed, n_runs."""
+def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, line_words: int = LINE_WORDS, counts: Sequence[str] = COUNTS) -> DataFrame:
+    """``docs`` with ``text`` as it is left, and ``counts``: lines with a word, those removed, and removed runs."""
     prepare(docs.sparkSession)
-    docs = docs.drop("n_lines", "n_removed", "n_runs")
+    docs = docs.drop(*counts)
     marks = store(repeated_runs(identified(docs.select("doc_id", "text")), min_run, line_words).groupBy("d", "th").agg(F.collect_list(F.struct("at", "size")).alias("marks")), "lines-marked")
     names = docs.columns
     d, th, runs_ = unused(docs, "d", "th", "marks")
     keyed = docs.withColumns({d: last_id(), th: F.xxhash64("text")})
     joined = keyed.join(marks.select(F.col("d").alias(d), F.col("th").alias(th), F.col("marks").alias(runs_)).hint("merge"), [d, th], "left").select(*names, runs_)
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed", "n_runs")]])
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in counts]])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +171,7 @@ def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, line_words: int = LINE_
                 mask = np.zeros(batch.num_rows, bool)
                 mask[marked] = True
                 column = pc.replace_with_mask(column, pa.array(mask), pa.array(texts, column.type))
-            yield pa.RecordBatch.from_arrays([*(column if c == "text" else batch.column(c) for c in names), pa.array(n_lines), pa.array(removed), pa.array(n_runs)], names=[*names, "n_lines", "n_removed", "n_runs"])
+            yield pa.RecordBatch.from_arrays([*(column if c == "text" else batch.column(c) for c in names), pa.array(n_lines), pa.array(removed), pa.array(n_runs)], names=[*names, *counts])
 
     return joined.mapInArrow(cut, schema)
 
@@ -182,7 +184,8 @@ def op4_lines(docs: DataFrame) -> DataFrame:
 
 def line_stage(docs: DataFrame) -> DataFrame:
     """``docs`` without repeated runs; a document with no word left goes, ``n_chars`` follows the text."""
-    left = dedup_lines(docs).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))).select(*docs.columns)
+    counts = n_lines, n_removed, _ = unused(docs, *COUNTS)
+    left = dedup_lines(docs, counts=counts).filter((F.col(n_removed) == 0) | (F.col(n_removed) < F.col(n_lines))).select(*[f"`{c}`" for c in docs.columns])
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 

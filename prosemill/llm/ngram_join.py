@@ -404,7 +404,7 @@ def join_stage(docs: DataFrame) -> DataFrame:
     best = join_components(docs, STAGE_WIDTH, STAGE_PERCENT).filter("d = root").select(F.col("d").alias(keep)).distinct()
     orderable = [F.col(f"`{c}`") for c, kind in docs.dtypes if not re.search("map<|variant|interval", kind)]
     first = Window.partitionBy(keep).orderBy(*orderable)
-    return docs.withColumn(keep, node_id()).join(best, keep, "left_semi").withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1).select(*docs.columns)
+    return docs.withColumn(keep, node_id()).join(best, keep, "left_semi").withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1).select(*[f"`{c}`" for c in docs.columns])
 
 
 OP9_SQL = r"""
