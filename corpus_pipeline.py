@@ -4,6 +4,13 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run``
 writes as Parquet to the shared folder and rereads as the next one's ``docs``.
 All but the last return the columns of ``documents``.
 
+Cases, in every stage: documents with null or empty texts, or without a letter, go
+in the first one, which knows no language for them; rows that repeat go on as rows
+of the same document until the join keeps one of each group; null ids and sources
+are ids and sources of their own, last in order; texts of any length are read
+whole; extra columns, whatever their names, go through all stages but the last; an
+empty table gives an empty result.
+
 The stages learn, sample at random by hash, and pack by a tokenizer, which SQL
 cannot express: ``ORACLE_SQL`` is None, and the tests hold the pipeline against
 a brute-force version.
