@@ -13,10 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Settings
+
 DECISION = "key string, ts double, event_id long, allowed boolean, remaining int, retry_after double"
 
 
-def client_key(forwarded: Column, host: Column, trusted: bool = False) -> Column:
+def client_key(forwarded: Column, host: Column, trusted: bool = Settings.trust_forwarded_for) -> Column:
     """The first forwarded address if it is trusted, else the host, else ``unknown``."""
     first = F.trim(F.split_part(forwarded, F.lit(","), F.lit(1)))
     return F.coalesce(*([F.when(first != "", first)] if trusted else []), F.when(host != "", host), F.lit("unknown"))
@@ -35,12 +37,13 @@ def admit(hits: list[float], ts: float, limit: int, window: float) -> tuple[list
     return [*hits, ts], True, limit - len(hits) - 1, 0.0
 
 
-def rate_limit(events: DataFrame, limit: int = 10, window: float = 60.0) -> DataFrame:
+def rate_limit(events: DataFrame, limit: int = Settings.rate_limit_requests, window: float = Settings.rate_limit_window_seconds) -> DataFrame:
     """Decisions for events (key, ts, event_id), by time within each key, events of one time by id.
 
     Keys are partitioned and sorted by Spark and streamed through in Arrow
     batches; the state is one key's admitted hits in the window, ``limit`` at
     most, so a key with a third of all events needs no more memory than another.
+    Its events are one task's work all the same, as each decision hangs on the last.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

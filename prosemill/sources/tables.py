@@ -88,9 +88,9 @@ def append_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """With a header; texts keep the white space at their ends."""
-    rows.write.mode("overwrite").options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+def write_csv(rows: DataFrame, path: str, order: Sequence[str] = ()) -> None:
+    """With a header, sorted over all files if ``order`` is given; texts keep the white space at their ends."""
+    (rows.orderBy(*order) if order else rows).write.mode("overwrite").options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_features(rows: DataFrame, path: str) -> None:

@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..config import Settings
 from ..operators.limiter import DECISION, admit
 
 
-def rate_limit_stream(events: DataFrame, limit: int = 10, window: float = 60.0, watermark: str | None = None) -> DataFrame:
+def rate_limit_stream(events: DataFrame, limit: int = Settings.rate_limit_requests, window: float = Settings.rate_limit_window_seconds, watermark: str | None = None) -> DataFrame:
     """Decisions for a stream of (key, ts double, event_id); rows of a batch are taken by time within the key.
 
     A key's state is its admitted hits of one window: ``limit`` numbers at most.
