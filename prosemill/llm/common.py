@@ -182,7 +182,7 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def _stretches(data: np.ndarray) -> Iterator[tuple[int, int]]:
+def stretches(data: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of about ``SLICE_BYTES`` that end before white space; a longer word is one range."""
     a, n = 0, len(data)
     while a < n:
@@ -203,7 +203,7 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if n == 0:
         return (np.empty(0, np.int64),) * 3
     if n > 4 * SLICE_BYTES and len(offs) == 2:
-        parts = [[x + a for x in word_spans(data[a:b], np.array([0, b - a]))[:2]] for a, b in _stretches(data)]
+        parts = [[x + a for x in word_spans(data[a:b], np.array([0, b - a]))[:2]] for a, b in stretches(data)]
         s, e = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
         return s, e, np.zeros(len(s), np.int64)
     word = ~_SPACE[data]

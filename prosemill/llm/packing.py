@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, _stretches, hash_spans, join_small, lower_ascii, prepare, slices, store, text_bytes, word_spans
+from .common import SLICE_BYTES, stretches, hash_spans, join_small, lower_ascii, prepare, slices, store, text_bytes, word_spans
 
 WINDOW = 4096
 TURN = 256
@@ -238,7 +238,7 @@ class Encoder:
         for i, j in slices(offs):
             part, to = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
             if len(part) > 2 * SLICE_BYTES:
-                yield b"".join(x for a, b in _stretches(part) for x in self._slice(part[a:b], np.array([0, b - a])))
+                yield b"".join(x for a, b in stretches(part) for x in self._slice(part[a:b], np.array([0, b - a])))
             else:
                 yield from self._slice(part, to)
 
