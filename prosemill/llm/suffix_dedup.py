@@ -14,15 +14,18 @@ it also starts earlier: in a document with a smaller id, or before in the same.
   whole.  What a bucket cannot tell, since its first and last leading gram may go
   on in the neighbours, is compared across the boundaries by one more join.
 * Local sort.  Where one leading gram stands before different spans, the first
-  suffix of each span brings its bytes.  These suffixes are range-partitioned by
-  the bytes from the suffix on, then by place, so that a common gram is split over
-  many buckets.  A bucket sorts the bytes by multikey quicksort, a word of eight
-  bytes at a time and only where suffixes still tie; neighbours' common prefixes
-  and hashes of the bytes to the left then give, for every offset, the classes of
-  equal strings, and all but the earliest string of a class are removed.
-* Across boundaries.  Of the first and the last gram of a bucket, the strings that
-  the bucket has not removed are compared with those of the other buckets, by an
-  aggregation with partial minima and a join.
+  suffix of each span brings its bytes: once for its strings that start close
+  before it, ordered by the bytes from the suffix on and then by those to the left,
+  and once for the others, ordered the other way round.  These are range-partitioned
+  in that order, so that a common gram is split over many buckets.  A bucket sorts
+  the bytes by multikey quicksort, a word of eight bytes at a time and only where
+  suffixes still tie; neighbours' common prefixes and hashes of the bytes to the
+  left then give, for every offset, the classes of equal strings, and all but the
+  earliest string of a class are removed.
+* Across boundaries.  A class of equal strings shares a leading part of the order's
+  key, so it goes on in another bucket only if the bucket's first or last suffix
+  shares that part too.  The strings of these classes that are left are compared
+  across all buckets, by an aggregation with partial minima and a join.
 
 Cases: a null text counts as empty; texts under ``LENGTH`` bytes keep
 everything; a null id comes last; rows with equal id and text are the same
@@ -178,7 +181,7 @@ def repeated_strings(data: np.ndarray, begin: np.ndarray, place: np.ndarray, lef
 
 
 def _compare(length: int, gram: int):
-    """A bucket of suffixes with their bytes: removed ranges, and the strings for other buckets with gram and hash."""
+    """A sorted bucket of suffixes with their bytes: removed ranges, and the strings for other buckets with gram and hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
@@ -203,11 +206,20 @@ def _compare(length: int, gram: int):
         yield pa.RecordBatch.from_arrays([none, none, pa.array(d[row]), pa.array(th[row]), pa.array(at[row] - high + 1), pa.array(at[row] - low + length)], names=names)
 
         acc = prefix_hash(data)
-        ends = np.flatnonzero((grams == grams[0]) | (grams == grams[-1]))
+        part, (keys, to) = table.column("part").to_numpy(), text_bytes(table.column("key"))
+        near = np.full(len(own), -1)
+        for end in {0, len(own) - 1}:
+            some = np.flatnonzero((grams == grams[end]) & (part == part[end]))
+            bound = keys[to[end] : to[end + 1]]
+            size = np.minimum(np.diff(to)[some], len(bound))
+            same = (_matrix(keys, to[some], size, len(bound)) == bound) & (np.arange(len(bound)) < size[:, None])
+            near[some] = np.maximum(near[some], np.where(same.all(axis=1), len(bound), (~same).argmax(axis=1)) if len(bound) else 0)
+        half = (length - gram) // 2
+        ends = np.flatnonzero(near >= 0)
         for i in range(0, len(ends), 2000):
-            some = ends[i : i + 2000]
-            offset = np.arange(gone.shape[1])
-            row, offset = np.nonzero(~gone[some] & (offset <= left[some, None]) & (offset >= (left - more)[some, None]))
+            some, offset = ends[i : i + 2000], np.arange(gone.shape[1])
+            shared = np.where(part[some, None] == 0, length - half + offset, half + 1 + length - offset)
+            row, offset = np.nonzero(~gone[some] & (offset <= left[some, None]) & (offset >= (left - more)[some, None]) & (near[some, None] >= shared))
             row = some[row]
             start = offs[row] + left[row] - offset
             string = chain(span_hash(acc, start, start + length), offset.astype(np.uint64)).view(np.int64)
@@ -217,8 +229,9 @@ def _compare(length: int, gram: int):
     return run
 
 
-def _fetch(length: int):
-    """The bytes of each suffix's span, and those from the suffix on."""
+def _fetch(length: int, gram: int):
+    """Each suffix's bytes: part 0 for its strings of few bytes before it, part 1 for the others; and the key to sort by."""
+    half = (length - gram) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,18 +242,34 @@ def _fetch(length: int):
                 continue
             n = np.asarray(lists.value_lengths())
             of = np.repeat(np.arange(len(n)), n)
-            for i in range(0, len(wanted), 20_000):
-                some, row = wanted.slice(i, 20_000), pa.array(of[i : i + 20_000])
-                grams, own = (some.field(k).to_numpy(zero_copy_only=False) for k in range(2))
-                at, left, more = _unpack(own)
-                lo = offs[of[i : i + 20_000]] + at - left
-                size = more + length
-                spans, right = (_raw(data, start, n_) for start, n_ in ((lo, size), (lo + left, size - left)))
-                yield pa.RecordBatch.from_arrays([pa.array(grams), batch.column("d").take(row), batch.column("th").take(row), pa.array(own), spans, right], names=["gram", "d", "th", "own", "bytes", "right"])
+            grams, own = (wanted.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+            at, left, more = _unpack(own)
+            least = left - more
+            for part, some, first, last in ((0, np.flatnonzero(least <= half), least, np.minimum(left, half)), (1, np.flatnonzero(left > half), np.maximum(least, half + 1), left)):
+                for i in range(0, len(some), 20_000):
+                    k = some[i : i + 20_000]
+                    lo, hi, place = first[k], last[k], offs[of[k]] + at[k]
+                    sides = [(place, np.minimum(length - lo, length - half if part == 0 else length), 1), (place - 1, np.minimum(hi, half if part == 0 else half + 1), -1)]
+                    key = _joined(data, *(sides if part == 0 else sides[::-1]))
+                    rows = pa.array(of[k])
+                    yield pa.RecordBatch.from_arrays([pa.array(grams[k]), pa.array(np.full(len(k), part, np.int32)), key, batch.column("d").take(rows), batch.column("th").take(rows), pa.array(_pack(at[k], hi, hi - lo)), _raw(data, place - hi, length + hi - lo)], names=["gram", "part", "key", "d", "th", "own", "bytes"])
 
     return run
 
 
+def _joined(data: np.ndarray, *sides: tuple[np.ndarray, np.ndarray, int]) -> pa.Array:
+    """Binary values of two stretches each: from ``start`` on, ``size`` bytes, forwards or backwards."""
+    total = sum(size for _, size, _ in sides)
+    to = np.append(0, np.cumsum(total))
+    raw, begin = np.empty(to[-1], np.uint8), to[:-1]
+    for start, size, step in sides:
+        ends = np.cumsum(size)
+        k = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
+        raw[k + np.repeat(begin, size)] = data[np.repeat(start, size) + step * k]
+        begin = begin + size
+    return pa.Array.from_buffers(pa.binary(), len(total), [None, pa.py_buffer(to.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+
+
 def _raw(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     to = np.append(0, np.cumsum(size))
     raw = data[np.arange(to[-1]) - np.repeat(to[:-1], size) + np.repeat(start, size)]
@@ -273,9 +302,9 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     unclear = judged.filter("kind = 1").select("gram", "d", "th", "own").unionByName(split.filter("mixed AND NOT later").select("gram", "d", "th", "own").distinct())
 
     wanted = unclear.groupBy("d", "th").agg(F.collect_list(F.struct("gram", "own")).alias("wanted"))
-    bytes_ = store(docs.select("d", "th", "text").join(wanted, ["d", "th"]).mapInArrow(_fetch(length), "gram long, d long, th long, own long, bytes binary, right binary"), "suffix-bytes")
+    bytes_ = store(docs.select("d", "th", "text").join(wanted, ["d", "th"]).mapInArrow(_fetch(length, gram), "gram long, part int, key binary, d long, th long, own long, bytes binary"), "suffix-bytes")
 
-    order = ["gram", "right", "d", "th", "own"]
+    order = ["gram", "part", "key", "d", "th", "own"]
     n = max(partitions(spark), -(-bytes_.count() // bucket_spans))
     compared = store(bytes_.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_compare(length, gram), "gram long, string long, d long, th long, lo long, hi long"), "suffix-compared")
     discard(bytes_)
