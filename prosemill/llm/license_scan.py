@@ -9,8 +9,8 @@ TF-IDF vectors; a unit's license is the template with the highest cosine, from
 pages; other words weigh like words of no page.
 
 Only units that share a rare word with a template become vectors, which loses
-none: a template's rare words are its heaviest ones, as many as it takes that
-the others together are too light for a cosine of ``MIN_COSINE``.
+none: a template's rare words are those of the fewest pages, as many as it takes
+that the others together are too light for a cosine of ``MIN_COSINE``.
 
 A page without a license of its own inherits from the nearest ancestor
 directory that has one: a directory's license is that of its license files and
@@ -136,11 +136,12 @@ def template_vectors(idf: DataFrame, templates: list[tuple[str, str]] = TEMPLATE
     return weighed.select("token", "template", "license", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template")))).alias("weight"))
 
 
-def rare_words(vectors: DataFrame, least: float = MIN_COSINE) -> DataFrame:
-    """One row, ``rare``: each template's heaviest words, until the rest weighs less than ``least``."""
-    order = Window.partitionBy("template").orderBy(F.desc("weight"), "token").rowsBetween(Window.unboundedPreceding, -1)
+def rare_words(vectors: DataFrame, idf: DataFrame, least: float = MIN_COSINE) -> DataFrame:
+    """One row, ``rare``: each template's rarest words, until the rest weighs less than ``least``."""
+    order = Window.partitionBy("template").orderBy(F.desc("idf"), "token").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(order), F.lit(0.0))
-    return vectors.withColumn("before", before).filter(F.col("before") <= 1 - least * least + 1e-6).agg(F.collect_set("token").alias("rare"))
+    ranked = vectors.join(F.broadcast(idf.select("token", "idf")), "token").withColumn("before", before)
+    return ranked.filter(F.col("before") <= 1 - least * least + 1e-6).agg(F.collect_set("token").alias("rare"))
 
 
 def headers(parsed: DataFrame, rare: DataFrame) -> DataFrame:
@@ -172,7 +173,7 @@ def scan(pages: DataFrame, least: float = MIN_COSINE, templates: list[tuple[str,
     parsed = store(parse(pages), "license-pages")
     idf = store(document_frequencies(parsed, templates), "license-words")
     vectors = template_vectors(idf, templates)
-    own = own_licenses(headers(parsed, rare_words(vectors, least)), idf, vectors, least)
+    own = own_licenses(headers(parsed, rare_words(vectors, idf, least)), idf, vectors, least)
     none = F.lit(None)
     places = parsed.select(*_PAGE, "directory", "name", none.cast("string").alias("license"), none.cast("double").alias("score"))
     merged = places.unionByName(own, allowMissingColumns=True).groupBy(*_PAGE).agg(F.max("directory").alias("directory"), F.max("name").alias("name"), F.max("license").alias("license"), F.max("score").alias("score"))

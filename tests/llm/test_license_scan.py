@@ -117,8 +117,9 @@ def test_rare_words_lose_no_unit(spark):
     idf = license_scan.document_frequencies(parsed)
     vectors = license_scan.template_vectors(idf)
     every = spark.createDataFrame([(vocabulary,)], "rare array<string>")
-    few, all_ = (sorted((r.page_id, r.license, r.score) for r in license_scan.own_licenses(license_scan.headers(parsed, rare), idf, vectors).collect()) for rare in (license_scan.rare_words(vectors), every))
+    few, all_ = (sorted((r.page_id, r.license, r.score) for r in license_scan.own_licenses(license_scan.headers(parsed, rare), idf, vectors).collect()) for rare in (license_scan.rare_words(vectors, idf), every))
     assert few == all_ and len(few) > 30
+    assert not {"zebra", "quilt", "lamp"} & set(license_scan.rare_words(vectors, idf).first().rare)
 
 
 def test_long_page(spark):
