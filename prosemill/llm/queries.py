@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import importance_resampling, language_id, license_scan, line_dedup, mixing, ngram_join, packing, passage_dedup, quality_rules, suffix_dedup, topk_search
+from . import embedding_dedup, importance_resampling, language_id, license_scan, line_dedup, mixing, ngram_join, packing, passage_dedup, prefix_trie, quality_rules, suffix_dedup, topk_search
 from .common import read_table
 
 
@@ -50,6 +50,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op10_quality(read_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.op11_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.op12_near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resampling.op13_resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -70,6 +78,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_ngram_join": op9_ngram_join,
         "op10_quality_rules": op10_quality_rules,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_embedding_dedup": op12_embedding_dedup,
         "op13_importance_resampling": op13_importance_resampling,
         "rule_ablations": rule_ablations,
     }
@@ -83,6 +93,8 @@ def oracle_sql() -> dict[str, str]:
         "op6_license_scan": license_scan.OP6_SQL,
         "op9_ngram_join": ngram_join.OP9_SQL,
         "op10_quality_rules": quality_rules.OP10_SQL,
+        "op11_prefix_trie": prefix_trie.OP11_SQL,
+        "op12_embedding_dedup": embedding_dedup.OP12_SQL,
         "op13_importance_resampling": importance_resampling.OP13_SQL,
         "rule_ablations": quality_rules.ABLATIONS_SQL,
     }
