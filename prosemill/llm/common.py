@@ -115,7 +115,7 @@ def join_small(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inn
             on = match if on is None else on & match
         return df.join(right, on, how).drop(*[f"_k_{k}" for k in keys])
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-    right = small.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in small.columns if c not in keys]).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    right = small.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in small.columns if c not in keys]).withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     on = salted["_salt"] == right["_s"]
     for k in keys:
         on = on & salted[k].eqNullSafe(right[f"_k_{k}"])

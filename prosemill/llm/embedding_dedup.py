@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, join_small, join_split, prepare, store
+from .common import join_split, prepare, store
 from .components import connected_components
 
 THRESHOLD = 0.98
@@ -231,8 +231,8 @@ def _coded(directions: np.ndarray, width: float):
     return run
 
 
-def _tiles(coded: DataFrame, block: int) -> DataFrame:
-    """The rows of ``coded`` once for each tile that they are in."""
+def _tiles(coded: DataFrame, n: int, block: int) -> DataFrame:
+    """The ``n`` rows of ``coded`` once for each tile that they are in."""
     # Labels of one block are one cell; of others, each cell meets itself and its neighbours.
     counted = coded.groupBy("label", "x", "y").count().withColumn("all", F.sum("count").over(Window.partitionBy("label")))
     place = lambda c: F.when(F.col("all") <= block, 0).otherwise(F.col(c))
@@ -242,8 +242,8 @@ def _tiles(coded: DataFrame, block: int) -> DataFrame:
     step = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
     around = cells.withColumn("d", step).select("label", (F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"), F.struct("cell", "blocks").alias("met"))
     met = cells.join(around, ["label", "cx", "cy"]).groupBy("label", "cx", "cy", "cell", "blocks").agg(F.collect_list("met").alias("met"))
-    where = store(places.join(met, ["label", "cx", "cy"]).select("label", "x", "y", "cell", "blocks", "met"), "embedding-where")
-    rows = join_small(coded, where, ["label", "x", "y"])
+    where = store(places.join(met, ["label", "cx", "cy"]).select("label", "x", "y", F.col("count").alias("n"), "cell", "blocks", "met"), "embedding-where")
+    rows = join_split(coded, where, ["label", "x", "y"], n)
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.select("node", "size", "codes", "scale", "error", "cell", "own", F.explode("met").alias("met"))
     rows = rows.select("*", F.col("met.cell").alias("to"), F.explode(F.sequence(F.lit(0), F.col("met.blocks") - 1)).alias("other"))
@@ -269,7 +269,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     code_kind = f"node long, label {vectors.schema['label'].dataType.simpleString()}, size long, codes binary, scale double, error double, x int, y int"
     coded = store(classes.select("node", "label", "size", "v").mapInArrow(_coded(_directions(classes), width), code_kind), "embedding-codes")
     found_kind = "node long, links long, other long"
-    tiles = _tiles(coded, block)
+    tiles = _tiles(coded, n_classes, block)
     first = store(tiles.groupBy(*_TILE).applyInArrow(_first(threshold), f"{_TILE_KIND}, is_left boolean, {found_kind}"), "embedding-first")
     again = first.filter("is_left IS NOT NULL").drop("links", "other").join(coded.select("node", "size", "codes", "scale", "error").join(classes.select("node", "v"), "node"), "node")
     second = store(again.groupBy(*_TILE).applyInArrow(_second(threshold), found_kind), "embedding-second")
@@ -277,11 +277,14 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     roots = connected_components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.select("digest", "node", "size", "least").join(links, "node", "left").join(roots, "node", "left")
-    named = store(named.select("digest", "least", F.coalesce("root", "node").alias("root"), F.col("size").alias("n"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")), "embedding-named")
-    least = store(named.groupBy("root").agg(F.min("least").alias("component_id")), "embedding-least")
-    classed = join_small(named, least, ["root"]).select("digest", "n", "n_links", "component_id")
+    joined = F.col("links").isNotNull()
+    named = store(named.select("digest", "least", F.when(joined, F.coalesce("root", "node")).alias("root"), "size", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")), "embedding-named")
+    several = named.filter("root IS NOT NULL")
+    least = several.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    out = ["digest", "n_links", "component_id", F.col("size").alias("n")]
+    alone = named.filter("root IS NULL").withColumn("component_id", F.col("least"))
+    classed = alone.select(*out).unionByName(join_split(several, least, ["root"], several.count()).select(*out))
     linked = join_split(rows.filter("digest IS NOT NULL").select("vec_id", "digest"), store(classed, "embedding-classed"), ["digest"], n)
-    discard(coded)
     kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))
     return linked.select("vec_id", "n_links", "component_id", kept.alias("kept")).unionByName(unlinked)
 
