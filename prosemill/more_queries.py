@@ -80,7 +80,9 @@ def fixed_model_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fixed_model_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.weight_table(spark, FIXED_MODEL)
+    """The model's weights by what they do to the documents' values."""
+    rows = model.weighted_effects(_features(spark, sf_dir), FIXED_MODEL)
+    return rows.select(F.col("place").cast("long").alias("place"), "name", "weight", F.round("effect", 6).alias("effect"))
 
 
 def sentence_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +99,7 @@ def token_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = docs.filter(n > 0).select("doc_id", n.alias("n"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / TOKEN_CHARS).cast("int"))).alias("i"))
     start = F.col("i") * TOKEN_CHARS
     tokens = places.select("doc_id", F.col("i").alias("tok_idx"), start.alias("start_char"), F.least(start + TOKEN_CHARS, "n").alias("end_char"), (-0.25 * (1 + F.col("i") % 7)).alias("logprob"))
-    scores = lm.attribute_tokens(split_with_offsets(docs), tokens)
+    scores = lm.attribute_tokens(split_with_offsets(docs).drop("text"), tokens)
     return scores.select("doc_id", F.col("sid").cast("long").alias("sid"), "token_count", F.round("mean_logprob", 6).alias("mean_logprob"), F.round("perplexity", 6).alias("perplexity"))
 
 
@@ -127,8 +129,14 @@ def excerpt_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.excerpt_source(cache, docs, ["doc_id"]).select("cache_id", F.col("essay.doc_id").alias("doc_id"))
 
 
+def _damaged() -> Column:
+    """Some texts empty, some without a sentence, some without a word."""
+    place = F.col("doc_id") % 11
+    return F.when(place == 1, "").when(place == 2, " \n ").when(place.isin(3, 4), "12 34. 5!").otherwise(F.col("text"))
+
+
 def failure_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir)
+    docs = _documents(spark, sf_dir).withColumn("text", _damaged())
     known = text_features(docs).withColumnRenamed("n_words", "word_count")
     rest = [f for f in model.FEATURE_NAMES if f not in known.columns]
     full = known.join(docs, "doc_id").withColumns({f: F.when(F.col("doc_id") % 17 == 0, F.lit(float("nan"))).otherwise(0.0) for f in rest})
@@ -137,7 +145,7 @@ def failure_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def held_out_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).join(_documents(spark, sf_dir, "source").drop("text"), "doc_id")
-    return splits.first_held_out(splits.stratified_split(rows, "doc_id", "label"), ["src07", "src03"], "source", "doc_id").select("doc_id", "source")
+    return splits.first_held_out(splits.stratified_split(rows, "doc_id", "label"), ["src7", "src3"], "source", "doc_id").select("doc_id", "source")
 
 
 def variant_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +205,7 @@ SELECT count(*) AS n_present FROM a WHERE regexp_replace(text, '^\s+|\s+$', '',
         "fixed_model_contributions": f"""WITH {features}, c AS ({' UNION ALL '.join(f"SELECT doc_id, {i} AS i, '{n}' AS name, {n} AS value, {t} AS c FROM f" for i, (n, t) in enumerate(zip(m.feature_names, terms)))}),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY abs(c) DESC, i) AS place FROM c)
 SELECT doc_id, place, name, round_even(value, 6) AS value, round_even(c, 6) + 0.0::DOUBLE AS contribution FROM r WHERE place <= 5""",
-        "fixed_model_weights": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {w!r}::DOUBLE)" for n, w in [*zip(m.feature_names, m.weights), ("(intercept)", m.intercept)]) + ") AS v(name, weight)",
+        "fixed_model_weights": f"WITH {features}, e AS ({' UNION ALL '.join(f"SELECT '{n}' AS name, {w!r}::DOUBLE AS weight, {w!r}::DOUBLE * stddev_pop({n}) / {c!r}::DOUBLE AS effect FROM f" for n, w, c in zip(m.feature_names, m.weights, m.scales))}) SELECT row_number() OVER (ORDER BY abs(effect) DESC, name) AS place, name, weight, round(effect, 6) AS effect FROM e",
         "sentence_spread": f"""WITH {sentence_scores}, g AS (SELECT doc_id, avg(perplexity) AS m, coalesce(stddev_samp(perplexity), 0) AS s FROM ss WHERE token_count > 0 GROUP BY doc_id)
 SELECT doc_id, round(m, 6) AS sentence_perplexity_mean, round(s, 6) AS sentence_perplexity_std, round(CASE WHEN m = 0 THEN 0 ELSE s / m END, 6) AS perplexity_burstiness FROM g""",
         "token_ranges": f"""WITH {sentences},
@@ -213,11 +221,12 @@ SELECT doc_id, sid, token_count, round(coalesce(m, 0), 6) AS mean_logprob, round
 k AS (SELECT doc_id AS cache_id, substring({collapse.replace("coalesce(text, '')", "substring(text, 1, 400)")}, 1, 120) AS h FROM h),
 f AS (SELECT h, min(doc_id) AS doc_id FROM h GROUP BY h)
 SELECT cache_id, doc_id FROM k LEFT JOIN f USING (h)""",
-        "failure_reasons": f"""WITH {style}, {sentences}, k AS (SELECT doc_id, count(*) AS sents FROM sent GROUP BY doc_id),
+        "failure_reasons": f"""WITH damaged AS (SELECT doc_id, CASE doc_id % 11 WHEN 1 THEN '' WHEN 2 THEN ' ' || chr(10) || ' ' WHEN 3 THEN '12 34. 5!' WHEN 4 THEN '12 34. 5!' ELSE text END AS text FROM documents),
+{style.replace("FROM documents", "FROM damaged")}, {sentences.replace("FROM documents", "FROM damaged")}, k AS (SELECT doc_id, count(*) AS sents FROM sent GROUP BY doc_id),
 r AS (SELECT CASE WHEN length(t) = 0 THEN 'empty text' WHEN sents IS NULL THEN 'no scoreable sentences' WHEN n = 0 THEN 'no words' WHEN doc_id % 17 = 0 THEN 'non-finite feature' END AS fail_reason FROM style LEFT JOIN k USING (doc_id))
 SELECT fail_reason, count(*) AS n FROM r WHERE fail_reason IS NOT NULL GROUP BY fail_reason""",
         "held_out_row": f"""WITH s AS ({known['md5_split']}) SELECT doc_id, source FROM s JOIN documents USING (doc_id) WHERE is_test
-ORDER BY CASE source WHEN 'src07' THEN 0 WHEN 'src03' THEN 1 ELSE 2 END, doc_id LIMIT 1""",
+ORDER BY CASE source WHEN 'src7' THEN 0 WHEN 'src3' THEN 1 ELSE 2 END, doc_id LIMIT 1""",
         "variant_tally": f"SELECT prompt_variant, count(*) AS n FROM ({known['sample_and_rotate']}) GROUP BY prompt_variant",
         "corpus_files": rf"""WITH d AS (SELECT doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') AS text FROM documents WHERE text <> ''),
 r AS (SELECT 'even_essays.csv' AS source, ({coerced(spelled)}) AS label, text FROM d WHERE doc_id % 2 = 0 UNION ALL SELECT 'odd.csv', CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 END, text FROM d WHERE doc_id % 2 = 1)

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import FEATURE_NAMES
 from ..functions.numbers import let, mean_sd, perplexity, ratio
-from ..functions.text import contraction_count, digit_count, markers_among, punctuation_count, raw_tokens, sentences, stopwords_in, tokenize_words, upper_tokens, word_count
+from ..functions.text import contraction_count, digit_count, markers_among, punctuation_count, raw_tokens, stopwords_in, upper_tokens
+from .sentences import units
 
 
 def _hapax(words: Column) -> Column:
@@ -22,12 +23,6 @@ def _hapax(words: Column) -> Column:
     return let(F.sort_array(words), lambda s: F.size(alone(s)))
 
 
-def with_units(docs: DataFrame) -> DataFrame:
-    """``docs`` with its words and sentences as arrays."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", text.alias("text"), tokenize_words(text).alias("words"), sentences(text).alias("sentences"))
-
-
 def _rate(x: Column) -> Column:
     return F.when(F.col("n_words") == 0, 0.0).otherwise(x)
 
@@ -56,8 +51,9 @@ def _style() -> list[Column]:
 
 
 def _measured(docs: DataFrame) -> DataFrame:
-    lengths = F.filter(F.transform("sentences", lambda s: word_count(s).cast("double")), lambda n: n > 0)
-    return with_units(docs).select("doc_id", "text", "words", F.size("words").cast("long").alias("n_words"), F.size("sentences").alias("sentence_count"), mean_sd(lengths).alias("lengths"))
+    lengths = F.filter(F.transform("_words", lambda w: F.size(w).cast("double")), lambda n: n > 0)
+    flat = units(docs).select("doc_id", "text", F.flatten("_words").alias("words"), F.size("_sentences").alias("sentence_count"), mean_sd(lengths).alias("lengths"))
+    return flat.withColumn("n_words", F.size("words").cast("long"))
 
 
 def rhythm_features(docs: DataFrame) -> DataFrame:

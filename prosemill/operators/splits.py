@@ -6,6 +6,10 @@ and run.  (A library's pseudo-random order is not reproducible here.)
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,12 +73,59 @@ def fold_count(rows: DataFrame, label: str, k: int = FOLDS) -> int:
 
 
 def stratified_folds(rows: DataFrame, key: str, label: str, k: int = FOLDS, seed: int = SEED, group: str | None = None) -> DataFrame:
-    """``fold``: the classes dealt out in turn; by the group's hash if rows of a group must stay together."""
+    """``fold``: the classes dealt out in turn; whole groups by ``grouped_folds`` if rows of a group must stay together."""
     if group:
-        return rows.withColumn("fold", F.pmod(F.conv(F.substring(draw(group, seed), 1, 8), 16, 10).cast("long"), F.lit(k)).cast("int"))
+        return rows.join(grouped_folds(rows, label, group, k, seed).withColumnRenamed(group, "_group"), F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
     return ranked(rows, key, label, seed).withColumn("fold", ((F.col("_rank") - 1) % fold_count(rows, label, k)).cast("int")).drop("_rank", "_n")
 
 
+def dealt_greedily(folds: int, weights: dict[str, int]) -> Callable[[dict[str, int]], int]:
+    """A dealer that puts each group, given by its rows of each class, where rows of its classes are fewest.
+
+    That is the fold for which the sum of squares of all counts, weighted by class,
+    grows least; of equal ones the fold with fewest rows, then the first.
+    """
+    held: list[dict[str, int]] = [{} for _ in range(folds)]
+
+    def deal(group: dict[str, int]) -> int:
+        cost = lambda f: (sum(n * held[f].get(c, 0) * weights[c] for c, n in group.items()), sum(held[f].values()), f)
+        best = min(range(folds), key=cost)
+        for c, n in group.items():
+            held[best][c] = held[best].get(c, 0) + n
+        return best
+
+    return deal
+
+
+def grouped_folds(rows: DataFrame, label: str, group: str, k: int = FOLDS, seed: int = SEED) -> DataFrame:
+    """``group`` and its ``fold``: every group whole, the classes as even over the folds as greedy dealing makes them.
+
+    Groups with the same rows of each class are alike: of every kind as many as go into
+    all folds evenly are dealt out by the order of the draw.  What is left, fewer than k of
+    a kind, is dealt greedily, the largest first.  So what goes one by one through one task
+    is kinds of groups, not groups or rows, and a hundred or so bytes each.
+    """
+    label_ = F.coalesce(F.col(label).cast("string"), F.lit("null"))
+    counts = rows.groupBy(group, label_.alias("_c")).agg(F.count("*").alias("_n"))
+    kinds = counts.groupBy(group).agg(F.sum("_n").alias("_size"), F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_c", "_n"))))).alias("_kind"))
+    totals = {r["_c"]: r["n"] for r in counts.groupBy("_c").agg(F.sum("_n").alias("n")).collect()}
+    weights = {c: sum(totals.values()) // n for c, n in totals.items()}
+    # A kind with very many groups is numbered in ranges, as ``ranked`` does it.
+    numbered = ranked(kinds, group, "_kind", seed)
+    even = F.col("_n") - F.col("_n") % k
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        to = dealt_greedily(k, weights)
+        for batch in batches:
+            yield pd.DataFrame({"_kind": batch["_kind"], "_rank": batch["_rank"], "_fold": [to(json.loads(x)) for x in batch["_kind"]]})
+
+    left = numbered.filter(F.col("_rank") > even).select("_size", "_kind", "_rank")
+    dealt = left.coalesce(1).sortWithinPartitions(F.desc("_size"), "_kind", "_rank").mapInPandas(deal, "_kind string, _rank long, _fold int")
+    dealt = dealt.select(F.col("_kind").alias("_k"), F.col("_rank").alias("_r"), "_fold")
+    met = numbered.join(dealt, (F.col("_kind") == F.col("_k")) & (F.col("_rank") == F.col("_r")), "left")
+    return met.select(group, F.coalesce("_fold", ((F.col("_rank") - 1) % k).cast("int")).alias("fold"))
+
+
 def first_held_out(rows: DataFrame, preference: list[str], source: str, row: str) -> DataFrame:
     """The held-out row of the most preferred source, the first in order."""
     rank = F.coalesce(*[F.when(F.col(source) == s, i) for i, s in enumerate(preference)], F.lit(len(preference)))

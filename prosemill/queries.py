@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import more_queries
-from .functions.lexicon import ABBREVIATIONS, DISCOURSE_MARKERS, STOPWORDS
+from . import model_queries, more_queries
+from .functions.lexicon import ABBREVIATIONS, DISCOURSE_MARKERS, FEATURE_NAMES, STOPWORDS
 from .functions.text import raw_word_count, word_count
 from .operators import corpus, explain, limiter, metrics, model, splits
 from .operators import language_model as lm
@@ -145,8 +145,8 @@ def top_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = lm.word_tokens(_documents(spark, sf_dir))
-    return lm.score_training_words(words, lm.fit_bigrams(words))
+    words = tables.stored(lm.word_tokens(_documents(spark, sf_dir)))
+    return lm.score_training_words(words, pipelines.stored_bigrams(words))
 
 
 def doc_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,13 +216,13 @@ def rate_limit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bigrams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    seen, contexts = lm.fit_bigrams(lm.word_tokens(_documents(spark, sf_dir)))
-    return tables.stored(seen), tables.stored(contexts)
+    return pipelines.stored_bigrams(tables.stored(lm.word_tokens(_documents(spark, sf_dir))))
 
 
 def _trained(spark: SparkSession, sf_dir: str, bigrams: tuple[DataFrame, DataFrame]) -> tuple[model.ModelBundle, DataFrame]:
+    """A model of all features, each to six digits."""
     rows, _ = pipelines.training_rows(_documents(spark, sf_dir, "source"), _labels(spark, sf_dir), bigrams)
-    return pipelines.train(tables.stored(rows))
+    return pipelines.train(tables.stored(rows.withColumns({f: F.round(f, 6) for f in FEATURE_NAMES})))
 
 
 def logistic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,7 +246,7 @@ QUERIES: tuple[Query, ...] = (
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (*QUERIES, *more_queries.QUERIES)}
+    return {q.__name__: q for q in (*QUERIES, *more_queries.QUERIES, *model_queries.QUERIES)}
 
 
 def _in(names: tuple[str, ...]) -> str:
@@ -403,4 +403,6 @@ SELECT doc_id, round(probability, 6) AS probability, CASE WHEN probability >= 0.
         "rate_limit": f"WITH {_LIMITED} SELECT event_id, allowed, remaining::BIGINT AS remaining, round(wait, 3) AS retry_after, CASE WHEN NOT allowed THEN greatest(floor(wait + 0.999), 1)::BIGINT END AS retry_header FROM r",
         "rate_limit_summary": f"WITH {_LIMITED} SELECT key, count(*) AS n_hits, count(*) FILTER (allowed) AS n_allowed FROM r GROUP BY key",
     }
-    return known | more_queries.oracle_sql(known, _STYLE, _SENTENCES, _SENTENCE_SCORES, _in(DISCOURSE_MARKERS))
+    known |= more_queries.oracle_sql(known, _STYLE, _SENTENCES, _SENTENCE_SCORES, _in(DISCOURSE_MARKERS))
+    features = f"f AS MATERIALIZED (SELECT * FROM ({known['signals_style']}) JOIN ({known['signals_surface']}) USING (doc_id))"
+    return known | model_queries.oracle_sql(known, {"features": features, "sentences": _SENTENCES, "sentence_scores": _SENTENCE_SCORES})

@@ -5,17 +5,24 @@ Everything goes through Spark's own readers and writers, so any store works.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.corpus import CorpusError, admit
 from ..schemas import FAILURE, POLISH_CACHE
 
+#: Paths below the shared folder that this driver has made.
+_SCRATCH: dict[str, SparkSession] = {}
+
 _CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 
 
@@ -32,14 +39,18 @@ def read_columns(spark: SparkSession, path: str, columns: Sequence[str]) -> Data
 
 
 def list_files(spark: SparkSession, folder: str, suffix: str = ".csv", without: Sequence[str] = ()) -> list[str]:
-    """Sorted paths below ``folder`` by suffix, less the names in ``without``."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
-    names = sorted(p.toString() for p in found if p.getName().endswith(suffix) and p.getName() not in without)
+    """Sorted paths below ``folder`` by suffix, less the names in ``without``; a table of several files is one path."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    except AnalysisException:
+        raise CorpusError(f"no folder {folder}") from None
+    root = folder.rstrip("/")
+    inside = re.sub("^[A-Za-z0-9]+:/*", "/", root) + "/"
+    name = F.split_part(F.split_part("path", F.lit(inside), F.lit(2)), F.lit("/"), F.lit(1))
+    names = sorted(r[0] for r in files.select(name).distinct().collect() if r[0].endswith(suffix) and r[0] not in without)
     if not names:
         raise CorpusError(f"no {suffix} file in {folder}")
-    return names
+    return [f"{root}/{n}" for n in names]
 
 
 def read_corpus(spark: SparkSession, paths: Sequence[str], text: str | None = None, label: str | None = None) -> DataFrame:
@@ -67,27 +78,79 @@ def scratch(spark: SparkSession) -> str:
         if not conf.get("spark.master", "").startswith("local[") and conf.get("spark.master", "") != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="prosemill-")
-    return f"{root.rstrip('/')}/files-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/files-{uuid.uuid4().hex}"
+    _SCRATCH[path] = spark
+    return path
 
 
-def read_jsonl(spark: SparkSession, path: str, key: str = "index", schema: str = POLISH_CACHE) -> tuple[DataFrame, DataFrame]:
-    """The last row of each key, and the number of malformed lines; blank lines are skipped.
+def read_jsonl(spark: SparkSession, path: str, key: str = "index", schema: str = POLISH_CACHE) -> tuple[DataFrame, Observation]:
+    """The last row of each key, and an observation of ``n_lines`` and ``n_skipped``; blank lines are skipped.
 
-    Last is what was written last: by time and name of the file, then by place in
-    it; splits are read in no particular order.
+    The counts are made in the pass that reads the rows: ``get`` waits for an action on
+    them.  Skipped are lines that are no JSON, and those without a key.  Last is what
+    was written last: by time and name of the file, then by place in it; splits are read
+    in no particular order.
     """
     place = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
     lines = spark.read.text(path).select("value", place.alias("_n")).filter(F.trim("value") != "")
     parsed = lines.select("_n", F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    good = parsed.filter(F.col("r._bad").isNull() & F.col(f"r.{key}").isNotNull())
-    last = good.withColumn("_o", F.row_number().over(Window.partitionBy(f"r.{key}").orderBy(F.desc("_n")))).filter("_o = 1").select("r.*").drop("_bad")
-    return last, parsed.agg(F.count_if(F.col("r._bad").isNotNull() | F.col(f"r.{key}").isNull()).alias("n_skipped"))
+    bad = F.col("r._bad").isNotNull() | F.col(f"r.{key}").isNull()
+    seen = Observation()
+    counted = parsed.observe(seen, F.count("*").alias("n_lines"), F.count_if(bad).alias("n_skipped"))
+    # The latest row of a key as a partial maximum: a key with many lines sends one per task.
+    last = counted.filter(~bad).groupBy(f"r.{key}").agg(F.max_by("r", "_n").alias("r")).select("r.*").drop("_bad")
+    return last, seen
 
 
 def append_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+class CommittedLines:
+    """JSON lines appended batch by batch, each batch once whatever is run again.
+
+    A batch has a folder of its own, which a replay writes anew, and counts from the
+    moment its commit is written: a commit is a file of the log, which a store
+    shows whole or not at all.  Readers take the committed batches alone, so a
+    writer may be lost at any time.  Only one writer may write a batch at a time.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.path, self.log = path.rstrip("/"), f"{path.rstrip('/')}/_log"
+
+    def committed(self, spark: SparkSession) -> DataFrame:
+        """batch and n_lines of each commit."""
+        try:
+            return spark.read.schema("batch long, n_lines long").json(f"{self.log}/*")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], "batch long, n_lines long")
+
+    def write(self, rows: DataFrame, batch: int) -> int:
+        """The lines of a batch, not committed yet; what an earlier try wrote of it goes."""
+        at = f"{self.path}/batch={batch}"
+        seen = Observation()
+        rows.observe(seen, F.count("*").alias("n")).write.mode("overwrite").json(at)
+        return seen.get["n"]
+
+    def commit(self, spark: SparkSession, batch: int, lines: int) -> None:
+        spark.range(1).select(F.lit(batch).alias("batch"), F.lit(lines).alias("n_lines")).coalesce(1).write.mode("overwrite").json(f"{self.log}/{batch}")
+
+    def append(self, rows: DataFrame, batch: int) -> None:
+        """Write and commit a batch; nothing happens if it is committed already."""
+        spark = rows.sparkSession
+        if self.committed(spark).filter(F.col("batch") == batch).isEmpty():
+            self.commit(spark, batch, self.write(rows, batch))
+
+    def read(self, spark: SparkSession, schema: str) -> DataFrame:
+        """The lines of all committed batches, and ``batch``; a batch that was aborted is not read."""
+        done = sorted(r["batch"] for r in self.committed(spark).filter("n_lines > 0").select("batch").collect())
+        if not done:
+            return spark.createDataFrame([], f"{schema}, batch long")
+        return spark.read.schema(f"{schema}, batch long").option("basePath", self.path).json([f"{self.path}/batch={b}" for b in done])
+
+
 def write_csv(rows: DataFrame, path: str, order: Sequence[str] = ()) -> None:
     """With a header, sorted over all files if ``order`` is given; texts keep the white space at their ends."""
     (rows.orderBy(*order) if order else rows).write.mode("overwrite").options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
@@ -97,8 +160,14 @@ def write_features(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
 
-def append_failures(spark: SparkSession, rows: list[tuple[str, int, str, str]], path: str) -> None:
-    spark.createDataFrame(rows, FAILURE).write.mode("append").option("sep", "\t").csv(path)
+def append_failures(spark: SparkSession, rows: list[tuple[str, int, str, str]] | DataFrame, path: str) -> None:
+    """Tab-separated lines of time, index, variant and reason."""
+    table = rows if isinstance(rows, DataFrame) else spark.createDataFrame(rows, FAILURE)
+    table.select(*[F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(FAILURE)]).write.mode("append").option("sep", "\t").csv(path)
+
+
+def read_failures(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(FAILURE).option("sep", "\t").csv(path)
 
 
 def stored(rows: DataFrame) -> DataFrame:
@@ -106,3 +175,12 @@ def stored(rows: DataFrame) -> DataFrame:
     path = scratch(rows.sparkSession)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+@atexit.register
+def _delete_scratch() -> None:
+    """What ``scratch`` named goes when the driver ends; results may be read until then."""
+    for path, spark in _SCRATCH.items():
+        with contextlib.suppress(Exception):  # the session may have ended before
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

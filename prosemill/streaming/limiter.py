@@ -13,9 +13,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import Settings
 from ..operators.limiter import DECISION, admit
+from ..sources.tables import CommittedLines
+
+#: Keys that the table of ``rate_limit_evicting`` holds, idle ones included, and the buckets that share it.
+MOST_KEYS = 10_000
+BUCKETS = 64
 
 
 def rate_limit_stream(events: DataFrame, limit: int = Settings.rate_limit_requests, window: float = Settings.rate_limit_window_seconds, watermark: str | None = None) -> DataFrame:
@@ -46,10 +52,62 @@ def rate_limit_stream(events: DataFrame, limit: int = Settings.rate_limit_reques
     return keyed.groupBy("key").applyInPandasWithState(run, DECISION, "hits array<double>", "append", timeout)
 
 
-def resumable(jobs: DataFrame, work: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str):
-    """Run ``work`` on each micro-batch and append JSON lines; a restart goes on after the last commit."""
+class _KeyTable(StatefulProcessor):
+    """The admitted hits of the keys of one bucket; idle keys go when the table is full, or by a timer."""
+
+    def __init__(self, limit: int, window: float, most: int) -> None:
+        self.limit, self.window, self.most = limit, window, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.hits = handle.getMapState("hits", "key string", "at array<double>")
+        self.size = handle.getValueState("size", "n long, newest double")
+
+    def _sweep(self, now: float, n: int) -> int:
+        """Drop the keys without a hit in the window before ``now``: the only ones whose state says nothing."""
+        idle = [k[0] for k, v in self.hits.iterator() if not v[0] or max(v[0]) <= now - self.window]
+        for key in idle:
+            self.hits.removeKey((key,))
+        return n - len(idle)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, newest = self.size.get() if self.size.exists() else (0, float("-inf"))
+        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        out = []
+        for name, group in batch.groupby("key", sort=False):
+            known = self.hits.containsKey((name,))
+            hits, n = list(self.hits.getValue((name,))[0]) if known else [], n + (not known)
+            for ts, event in zip(group["ts"], group["event_id"]):
+                hits, *decision = admit(hits, ts, self.limit, self.window)
+                out.append((name, ts, event, *decision))
+            self.hits.updateValue((name,), (hits,))
+        newest = max(newest, float(batch["ts"].max()))
+        if n > self.most:
+            n = self._sweep(newest, n)
+        self.size.update((n, newest))
+        yield pd.DataFrame(out, columns=["key", "ts", "event_id", "allowed", "remaining", "retry_after"])
 
-    def append(batch: DataFrame, _: int) -> None:
-        work(batch).write.mode("append").json(sink)
 
-    return jobs.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def rate_limit_evicting(events: DataFrame, limit: int = Settings.rate_limit_requests, window: float = Settings.rate_limit_window_seconds, most_keys: int = MOST_KEYS, buckets: int = BUCKETS) -> DataFrame:
+    """As ``rate_limit_stream``, with a bounded table of keys for any number of clients.
+
+    Keys are dealt into ``buckets``, each of which keeps ``most_keys / buckets``.  A bucket
+    that has more drops its idle keys, those without a hit in the window, whose next hit
+    finds an empty window with their state or without: no decision changes.  Live keys
+    stay, however many.  A micro-batch should hold the hits of a moment, as it is taken
+    by time within each key.  Needs the RocksDB state store.
+    """
+    keyed = events.select(F.coalesce(F.col("key").cast("string"), F.lit("unknown")).alias("key"), F.col("ts").cast("double").alias("ts"), "event_id").filter("ts IS NOT NULL")
+    table = _KeyTable(limit, window, max(1, most_keys // buckets))
+    return keyed.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").transformWithStateInPandas(table, DECISION, "Append", "None")
+
+
+def resumable(jobs: DataFrame, work: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str):
+    """Run ``work`` on each micro-batch and append its lines; a restart goes on after the last commit.
+
+    A micro-batch that was written and not committed, or committed and not noted in the
+    stream's checkpoint, is run again under its own number: its lines count once.
+    ``CommittedLines`` reads them.
+    """
+    lines = CommittedLines(sink)
+    return jobs.writeStream.foreachBatch(lambda batch, n: lines.append(work(batch), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from prosemill.operators import corpus, splits
+from prosemill.operators import corpus, model, splits
 from prosemill.operators.corpus import CorpusError
 from prosemill.plans import pipelines
 from prosemill.sources import reports, tables
@@ -86,8 +88,8 @@ def test_files(spark, tmp_path):
     with pytest.raises(CorpusError):
         tables.list_files(spark, str(tmp_path), ".tsv")
     (tmp_path / "cache.jsonl").write_text('{"index": 1, "text": "old"}\n\n{bad\n{"index": 1, "text": "new"}\n{"index": 2, "text": "z"}\n')
-    last, skipped = tables.read_jsonl(spark, str(tmp_path / "cache.jsonl"))
-    assert {(r["index"], r.text) for r in last.collect()} == {(1, "new"), (2, "z")} and skipped.first()[0] == 1
+    last, seen = tables.read_jsonl(spark, str(tmp_path / "cache.jsonl"))
+    assert {(r["index"], r.text) for r in last.collect()} == {(1, "new"), (2, "z")} and seen.get == {"n_lines": 4, "n_skipped": 1}
     tables.append_jsonl(last, str(tmp_path / "out"))
     tables.append_jsonl(last, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 4
@@ -103,3 +105,60 @@ def test_reports(spark):
     out = reports.evaluation_report(frame, frame, frame, frame, frame, old)
     assert "| a | 0.5000 |" in out and "-->kept<!--" in out
     assert "## Balance" in reports.dataset_report(frame, frame, frame)
+
+
+def test_grouped_folds(spark):
+    """Whole groups, and each fold's part of a class within one group of a k-th, whatever the sizes."""
+    rng = random.Random(8)
+    groups = {g: [rng.choice([0, 0, 1]) for _ in range(rng.choice([1, 1, 2, 3, 9]) if g < 300 else 40)] for g in range(306)}
+    rows = [(g, y) for g, ys in groups.items() for y in ys] + [(None, 0), (None, 1)]
+    frame = spark.createDataFrame([(i, g, y) for i, (g, y) in enumerate(rows)], "i long, g long, y int").repartition(5)
+    for k in (2, 5):
+        folds = {r.g: r.fold for r in splits.grouped_folds(frame, "y", "g", k).collect()}
+        assert set(folds) == {*groups, None} and set(folds.values()) == set(range(k))
+        for y in (0, 1):
+            held = [sum(c == y and folds[g] == f for g, c in rows) for f in range(k)]
+            largest = max(ys.count(y) for ys in groups.values())
+            assert max(abs(n - sum(held) / k) for n in held) <= largest
+        dealt = splits.stratified_folds(frame, "i", "y", k, group="g")
+        assert {(r.g, r.fold) for r in dealt.select("g", "fold").distinct().collect()} == set(folds.items()) and dealt.count() == len(rows)
+    # Groups of one kind alone are dealt out evenly.
+    same = spark.createDataFrame([(i // 2, i % 2) for i in range(2000)], "g long, y int")
+    assert {r["count"] for r in splits.grouped_folds(same, "y", "g").groupBy("fold").count().collect()} == {200}
+    assert splits.grouped_folds(frame.limit(0), "y", "g").collect() == []
+
+
+def test_greedy_dealer():
+    deal = splits.dealt_greedily(3, {"0": 1, "1": 4})
+    assert [deal(g) for g in ({"0": 8, "1": 1}, {"0": 8}, {"0": 6, "1": 1}, {"1": 2}, {"0": 1})] == [0, 1, 2, 1, 2]
+
+
+def test_lines_are_committed_once(spark, tmp_path):
+    """A writer lost between lines and commit, and replays of what is committed."""
+    lines = tables.CommittedLines(str(tmp_path / "lines"))
+    rows = spark.range(10).selectExpr("id", "'x' AS v")
+    assert lines.read(spark, "id long, v string").collect() == []
+    assert lines.write(rows, 0) == 10  # lost here
+    assert lines.read(spark, "id long, v string").collect() == []
+    for _ in range(3):
+        lines.append(rows, 0)
+    lines.append(rows.limit(0), 1)
+    lines.append(rows.selectExpr("id + 10 AS id", "v"), 2)
+    lines.append(rows.selectExpr("id + 99 AS id", "v"), 2)  # committed before: a replay adds nothing
+    assert sorted((r.id, r.batch) for r in lines.read(spark, "id long, v string").collect()) == [(i, 0 if i < 10 else 2) for i in range(20)]
+    assert {(r.batch, r.n_lines) for r in lines.committed(spark).collect()} == {(0, 10), (1, 0), (2, 10)}
+
+
+def test_model_files_of_any_layout(spark):
+    names = ["a", "b"]
+    bodies = ['{"feature_weights": {"b": 2, "x": 5}, "weights": [7, 7], "intercept": 1}', '{"feature_names": ["b", "a"], "weights": [1, "3.5"]}', '{"weights": [4, 5]}', '{"weights": [4]}', '{"model": {"coef": [[1, 2]], "intercept": [0.5]}}', '{"model": {"coef": [3, 4], "intercept": 2}}', "{}", "[1, 2]", "nope", None]
+    got = {}
+    for r in model.model_weights(spark.createDataFrame(list(enumerate(bodies)), "model_id long, body string"), names).orderBy("model_id", "position").collect():
+        got.setdefault(r.model_id, [r.layout, r.intercept]).append(r.weight)
+    assert got == {
+        0: ["by name", 1, 0, 2], 1: ["in order", 0, 3.5, 1], 2: ["in order", 0, 4, 5], 3: ["none", 0, 0, 0], 4: ["in order", 0.5, 1, 2], 5: ["in order", 2, 3, 4],
+        6: ["none", 0, 0, 0], 7: ["none", 0, 0, 0], 8: ["unreadable", 0, 0, 0], 9: ["unreadable", 0, 0, 0],
+    }
+    features = spark.createDataFrame([(1, 0.5, 2.0)], "doc_id long, a double, b double")
+    scored = model.score_with(features, model.model_weights(spark.createDataFrame([(0, bodies[0])], "model_id long, body string"), names), "doc_id").first()
+    assert abs(scored.probability - 1 / (1 + 2.718281828459045**-5)) < 1e-9

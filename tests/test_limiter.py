@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from prosemill.operators import limiter
-from prosemill.streaming.limiter import rate_limit_stream, resumable
+from prosemill.sources.tables import CommittedLines
+from prosemill.streaming.limiter import rate_limit_evicting, rate_limit_stream, resumable
 
 EVENT = "key string, ts double, event_id long"
 
@@ -70,4 +71,34 @@ def test_resumable(spark, tmp_path):
         spark.range(3).withColumn("n", F.lit(i)).write.mode("append").json(str(tmp_path / "jobs"))
         source = spark.readStream.schema("id long, n int").json(str(tmp_path / "jobs"))
         resumable(source, lambda b: b.withColumn("done", F.lit(True)), str(tmp_path / "done"), str(tmp_path / "check")).awaitTermination()
-        assert spark.read.json(str(tmp_path / "done")).count() == 3 * (i + 1)
+        assert CommittedLines(str(tmp_path / "done")).read(spark, "id long, n int, done boolean").count() == 3 * (i + 1)
+
+
+def test_idle_keys_are_evicted(spark, tmp_path):
+    """Far more keys than the table holds: live ones stay in the state, idle ones go, and no decision changes."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own.conf.set("spark.sql.shuffle.partitions", "2")
+    rng = random.Random(5)
+    data = sorted((1e6 + 500 * b + rng.randrange(400), f"k{rng.choice([0, 1, 2, 3 + b * 40 + rng.randrange(40)])}", 100 * b + i) for b in range(3) for i in range(100))
+    for b in range(3):
+        before = set((tmp_path / "in").glob("*.parquet"))
+        spark.createDataFrame([(k, t, e) for t, k, e in data[100 * b : 100 * b + 100]], EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for new in set((tmp_path / "in").glob("*.parquet")) - before:
+            os.utime(new, (1_700_000_000 + b, 1_700_000_000 + b))
+    source = own.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = rate_limit_evicting(source, 3, 60.0, 4, 2).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    assert query.awaitTermination(240)
+    rows = [(k, t, e) for t, k, e in data]
+    assert decisions(spark.read.parquet(str(tmp_path / "out"))) == brute(rows, 3, 60.0)
+    kept = own.read.format("statestore").option("stateVarName", "hits").load(str(tmp_path / "check")).selectExpr("key.bucket AS b", "user_map_key.key AS k").collect()
+    by_bucket, newest = {}, {}
+    for r in kept:
+        by_bucket.setdefault(r.b, set()).add(r.k)
+    bucket = {r.key: r.b for r in spark.createDataFrame([(k,) for k in {r[0] for r in rows}], "key string").select("key", F.pmod(F.xxhash64("key"), F.lit(2)).alias("b")).collect()}
+    for k, t, _ in rows:
+        newest[bucket[k]] = max(newest.get(bucket[k], 0), t)
+    for k, t, e in rows:
+        if t > newest[bucket[k]] - 60.0 and brute(rows, 3, 60.0)[e][0]:
+            assert k in by_bucket[bucket[k]]
+    assert len(kept) < len(bucket) / 2
