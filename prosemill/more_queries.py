@@ -124,7 +124,7 @@ def dropped_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def excerpt_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir).filter(F.trim(collapsed(F.coalesce("text", F.lit("")))) != "")
+    docs = _documents(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))
     cache = docs.select(F.col("doc_id").alias("cache_id"), F.substring("text", 1, 400).alias("excerpt"))
     return corpus.excerpt_source(cache, docs, ["doc_id"]).select("cache_id", F.col("essay.doc_id").alias("doc_id"))
 
@@ -217,7 +217,7 @@ SELECT doc_id, sid, token_count, round(coalesce(m, 0), 6) AS mean_logprob, round
         "excerpts": f"SELECT doc_id, md5(substring(coalesce(text, ''), 1, 400)) AS excerpt_md5, substring({collapse}, 1, 150) AS line FROM documents",
         "label_spellings": f"SELECT doc_id, ({coerced(spelled)})::BIGINT AS from_text, CASE doc_id % 4 WHEN 0 THEN 0 WHEN 2 THEN 1 END::BIGINT AS from_number FROM documents",
         "dropped_labels": f"SELECT label, count(*) AS n FROM (SELECT {spelled} AS label FROM documents) WHERE ({coerced('label')}) IS NULL GROUP BY label ORDER BY n DESC, label LIMIT 5",
-        "excerpt_join": rf"""WITH h AS (SELECT doc_id, substring({collapse}, 1, 120) AS h, text FROM documents WHERE {collapse} <> ''),
+        "excerpt_join": rf"""WITH h AS (SELECT doc_id, substring({collapse}, 1, 120) AS h, coalesce(text, '') AS text FROM documents),
 k AS (SELECT doc_id AS cache_id, substring({collapse.replace("coalesce(text, '')", "substring(text, 1, 400)")}, 1, 120) AS h FROM h),
 f AS (SELECT h, min(doc_id) AS doc_id FROM h GROUP BY h)
 SELECT cache_id, doc_id FROM k LEFT JOIN f USING (h)""",

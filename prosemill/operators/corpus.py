@@ -84,13 +84,24 @@ def staged(corpus: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def clean(corpus: DataFrame, order: Sequence[str], min_words: int = MIN_WORDS) -> DataFrame:
     """Labelled rows with text of ``min_words`` or more, the first of each collapsed text; labels do not matter for that.
 
-    The first of a text is a partial minimum of ``order``, so copies shuffle one row
-    per task and texts none; of rows that ``order`` does not tell apart, one stays.
+    Texts are read for their digests once, which are stored beside ``order``.  The
+    first of a text is a partial minimum, so copies shuffle one row per task, and the
+    keepers meet ``corpus`` by ``order``, which no two rows share: a text that a third of
+    the rows hold is no hot key.  Where rows do share it, they are told apart by their
+    digests, and of equal ones one stays.
     """
-    rows = staged(corpus, min_words).filter("is_long")
-    first = rows.groupBy("_digest").agg(F.min(F.struct(*order)).alias("_first"))
-    kept = rows.withColumn("_place", F.struct(*order)).join(first.withColumnRenamed("_digest", "_d"), (F.col("_digest") == F.col("_d")) & F.col("_place").eqNullSafe(F.col("_first")), "left_semi")
-    return kept.dropDuplicates(["_digest"]).select(*corpus.columns)
+    from ..sources.tables import stored
+
+    keys = [f"_o{i}" for i in range(len(order))]
+    narrow = stored(staged(corpus, min_words).filter("is_long").select("_digest", *[F.col(c).alias(k) for c, k in zip(order, keys)]))
+    keepers = narrow.groupBy("_digest").agg(F.min(F.struct(*keys)).alias("_first")).select("_first.*", F.col("_digest").alias("_d"))
+    same = F.lit(True)
+    for c, k in zip(order, keys):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    if narrow.groupBy(*keys).count().filter("count > 1").isEmpty():
+        return corpus.join(keepers, same, "left_semi")
+    rows = staged(corpus, min_words).filter("is_long").join(keepers, same & (F.col("_digest") == F.col("_d")))
+    return rows.dropDuplicates(["_digest"]).select(*corpus.columns)
 
 
 def funnel(corpus: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -138,7 +149,13 @@ def _by_text(table: DataFrame, column: str, other: DataFrame, other_column: str,
 
 
 def excerpt_source(cache: DataFrame, essays: DataFrame, order: Sequence[str], chars: int = 120) -> DataFrame:
-    """Cache rows (text excerpt) with the first essay in order that starts alike, white space collapsed."""
+    """Cache rows (text excerpt) with the first essay in ``order``, unique, that starts alike, white space collapsed.
+
+    The first of a beginning is a partial minimum over narrow rows; the essay itself is
+    fetched by its key, so that a common beginning is no hot key that carries texts.
+    """
     head = lambda c: F.substring(collapsed(F.col(c)), 1, chars)
-    first = essays.withColumn("_h", head("text")).withColumn("_n", F.row_number().over(Window.partitionBy("_h").orderBy(*order))).filter("_n = 1").select("_h", F.struct(*essays.columns).alias("essay"))
-    return cache.withColumn("_h", head("excerpt")).join(first, "_h", "left").drop("_h")
+    first = essays.select(head("text").alias("_h"), F.struct(*order).alias("_key")).groupBy("_h").agg(F.min("_key").alias("_key"))
+    whole = essays.select(F.struct(*order).alias("_k"), F.struct(*essays.columns).alias("essay"))
+    found = first.join(whole, F.col("_key") == F.col("_k")).select("_h", "essay")
+    return cache.withColumn("_h", head("excerpt")).join(found, "_h", "left").drop("_h")

@@ -59,9 +59,13 @@ def roc_auc(rows: DataFrame, ranges: int = 4096) -> DataFrame:
 
     Rows are summed by probability first, so what is ranked is distinct
     probabilities, and ties need no special case.  These are ranked in ``ranges``
-    of probability, to which the counts of the ranges below are added.
+    of probability, to which the counts of the ranges below are added.  The sums are
+    stored, as they are read twice and what makes ``rows`` may be long.
     """
+    from ..sources.tables import stored
+
     by = rows.groupBy("probability").agg(F.count_if(F.col("label") == 1).cast("double").alias("pos"), F.count_if(F.col("label") == 0).cast("double").alias("neg")).withColumn("range", F.floor(F.col("probability") * ranges))
+    by = stored(by)
     sums = by.groupBy("range").agg(F.sum("neg").alias("n"))
     under = sums.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("under"))
     below = F.coalesce(F.sum("neg").over(Window.partitionBy("range").orderBy("probability").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
