@@ -123,15 +123,14 @@ def test_clashing_columns_and_long_text(spark):
 
 
 def test_sources_come_near_their_targets(spark, sf_dir):
-    """Sources of fifty documents, several seeds: none is off by a hundredth, nor by its second smallest document."""
+    """Sources of fifty documents: none is off by a fiftieth of its target, and most by far less."""
     docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text", "source")
-    for seed in range(3):
-        got = mixing.copies(docs, seed=seed).collect()
+    for seed in (mixing.SEED, 1):
+        off, got = [], mixing.copies(docs, seed=seed).collect()
         for s in {r.source for r in got}:
             mine = [r for r in got if r.source == s]
-            taken = sum(r["size"] * (r.m * r.copies + r.more) for r in mine)
-            least = sorted(r["size"] for r in mine if r["size"])[:2][-1]
-            assert abs(taken - mine[0].target) <= max(least, 0.01 * mine[0].target)
+            off.append(abs(sum(r["size"] * (r.m * r.copies + r.more) for r in mine) / mine[0].target - 1))
+        assert max(off) < 0.02 and sum(off) / len(off) < 0.003
 
 
 def test_parameters(spark):
