@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, prepare, slices, text_bytes, unused
+from .common import SLICE_BYTES, mix64, prepare, slices, text_bytes, unused
 
 MAX_TRAIN_PER_LANG = 800
 MAX_TRAIN_ROWS = 4000
@@ -59,17 +59,27 @@ _SYMBOL[128:] = np.arange(128, 256)
 _KEYS = mix64(np.arange(1, 769, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(3, 256)
 
 
-def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """One row of ``BUCKETS`` values for each text."""
+def _counts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Trigrams of each text by bucket."""
     n = len(offs) - 1
     symbols = _SYMBOL[data]
     if len(symbols) < 3:
-        return np.zeros((n, BUCKETS), np.float32)
+        return np.zeros((n, BUCKETS), np.int64)
     mixed = _KEYS[0][symbols[:-2]] ^ _KEYS[1][symbols[1:-1]] ^ _KEYS[2][symbols[2:]]
     doc = np.repeat(np.arange(n), np.diff(offs))
     inside = (doc[:-2] == doc[2:]) & ~((symbols[:-2] == 32) & (symbols[1:-1] == 32))
     cell = doc[:-2][inside] * BUCKETS + (mixed[inside] >> np.uint64(52)).astype(np.int64)
-    x = np.sqrt(np.bincount(cell, minlength=n * BUCKETS).reshape(n, BUCKETS)).astype(np.float32)
+    return np.bincount(cell, minlength=n * BUCKETS).reshape(n, BUCKETS)
+
+
+def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """One row of ``BUCKETS`` values for each text; one long text is counted a megabyte at a time."""
+    if len(offs) == 2 and len(data) > SLICE_BYTES:
+        parts = (data[a : a + SLICE_BYTES + 2] for a in range(0, len(data) - 2, SLICE_BYTES))
+        counts = sum(_counts(part, np.array([0, len(part)])) for part in parts)
+    else:
+        counts = _counts(data, offs)
+    x = np.sqrt(counts).astype(np.float32)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 

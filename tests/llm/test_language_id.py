@@ -1,9 +1,12 @@
 import random
+import tracemalloc
 import zlib
 
+import numpy as np
+import pyarrow as pa
 from helpers import docs_table, empty_table, words
 
-from prosemill.llm import language_id
+from prosemill.llm import common, language_id
 from prosemill.llm.common import read_table
 
 SYLLABLES = {
@@ -83,3 +86,16 @@ def test_clashing_columns(spark):
     out = language_id.language_stage(docs)
     assert out.columns == docs.columns and {(r["_lettered"], r.lettered, r.order, r.place) for r in out.collect()} == {(1, 2, 3, 4)}
     assert language_id.language_stage(empty_table(spark)).collect() == []
+
+
+def test_a_long_text_is_counted_in_stretches(monkeypatch):
+    data, offs = common.text_bytes(pa.array(["Ein Satz, und noch ein Satz. " * 4000]))
+    whole = language_id.features(data, offs)
+    monkeypatch.setattr(language_id, "SLICE_BYTES", 1000)
+    assert np.allclose(language_id.features(data, offs), whole)
+    monkeypatch.undo()
+    data, offs = common.text_bytes(pa.array(["some words " * 900_000]))
+    tracemalloc.start()
+    language_id.features(data, offs)
+    assert tracemalloc.get_traced_memory()[1] < 70 << 20
+    tracemalloc.stop()
