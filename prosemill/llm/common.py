@@ -203,7 +203,13 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if n == 0:
         return (np.empty(0, np.int64),) * 3
     if n > 4 * SLICE_BYTES and len(offs) == 2:
-        parts = [[x + a for x in word_spans(data[a:b], np.array([0, b - a]))[:2]] for a, b in stretches(data)]
+        parts = []
+        for a, b in stretches(data):
+            m = min(b - a, SLICE_BYTES)
+            s, e, _ = word_spans(data[a : a + m], np.array([0, m]))
+            if m < b - a:  # the rest is one word, or the end of one
+                s, e = (s, np.append(e[:-1], b - a)) if len(e) and e[-1] == m else (np.append(s, m), np.append(e, b - a))
+            parts.append((s + a, e + a))
         s, e = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
         return s, e, np.zeros(len(s), np.int64)
     word = ~_SPACE[data]
@@ -261,9 +267,14 @@ def span_hash(acc: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
 
 
 def hash_spans(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """``span_hash`` of spans in order that do not overlap; memory is that of a megabyte or of the longest span."""
+    """Hashes of spans in order that do not overlap, a megabyte at a time: ``span_hash``, and for longer spans a chain of those of their megabytes."""
     out, i = np.empty(len(s), np.uint64), 0
     while i < len(s):
+        if e[i] - s[i] > SLICE_BYTES:
+            cuts = [*range(int(s[i]), int(e[i]), SLICE_BYTES), int(e[i])]
+            out[i] = chain(*(hash_spans(data, np.array([a]), np.array([b])) for a, b in zip(cuts, cuts[1:])))[0]
+            i += 1
+            continue
         j = max(i + 1, int(np.searchsorted(e, s[i] + SLICE_BYTES, side="right")))
         out[i:j] = span_hash(prefix_hash(data[s[i] : e[j - 1]]), s[i:j] - s[i], e[i:j] - s[i])
         i = j

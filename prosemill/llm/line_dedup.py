@@ -7,13 +7,14 @@ weighs ``MIN_RUN``: three short lines, or one of 50 words.  Every repeated run o
 that weight is a union of windows.
 
 * Winnowing: a window selects its line with the smallest hash, so equal windows
-  select the same line, and each repeated run has a fingerprint for sure.
-* Join: fingerprints that only one position selected are gone after an
-  aggregation by fingerprint; the positions of the others are joined to them.
-* Extension: from a shared fingerprint, a window goes on to both sides, told by
-  the hash of its lines and the fingerprint's place in them.  All but the
-  earliest of equal extensions (smaller doc_id, null last, then smaller line) are
-  marked, and marked windows that touch or overlap join to one run of any length.
+  select the same line, and each repeated run has a fingerprint for sure.  A position
+  that several windows select is one row, with the hashes of the lines around it.
+* Join: fingerprints that only one position has are gone after an aggregation by
+  fingerprint; the positions of the others are joined to them.
+* Extension: from a shared fingerprint, each window that selected it is gone along
+  to both sides, line by line.  All but the earliest of equal extensions (smaller
+  doc_id, null last, then smaller line) are marked, and marked windows that touch or
+  overlap join to one run of any length.
 
 All lines of marked runs go, with the blank lines inside them; what is compared
 is always the input, not what is left.
@@ -25,7 +26,7 @@ per task; joins to fingerprints and minima split hot keys off.
 Cases: a null text counts as empty and stays null; a document that weighs less than
 ``MIN_RUN`` keeps everything; rows with equal id and text are the same document,
 and neither removes the other; rows with equal id and other texts are ordered by a
-hash of the text; long texts are hashed a megabyte at a time; other columns are
+hash of the text; long texts and long lines are read a megabyte at a time; other columns are
 kept whatever their names, but ``dedup_lines`` replaces those called like its counts
 (the stage does not).
 """
@@ -41,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_CLASS, _SPACE, chain, hash_spans, join_split, prepare, slices, store, text_bytes, unused, word_spans
+from .common import SLICE_BYTES, SPACE_CLASS, _SPACE, binary_lists, chain, discard, hash_spans, join_split, prepare, slices, store, stretches, text_bytes, unused, word_spans
 
 MIN_RUN = 3
 LINE_WORDS = 25
@@ -51,8 +52,39 @@ _LAST = (1 << 63) - 1
 _PLACE = ["d", "th", "at"]
 
 
+def _line_stretches(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``SLICE_BYTES`` that end after a line; a longer line is one range."""
+    a, n = 0, len(data)
+    while a < n:
+        ends = np.flatnonzero(data[a : a + SLICE_BYTES] == 10)
+        b = a + int(ends[-1]) + 1 if len(ends) else min(n, a + SLICE_BYTES)
+        while not len(ends) and b < n:
+            ends = np.flatnonzero(data[b : b + SLICE_BYTES] == 10)
+            b = b + int(ends[0]) + 1 if len(ends) else min(n, b + SLICE_BYTES)
+        yield a, b
+        a = b
+
+
+def _trimmed(data: np.ndarray) -> tuple[int, int]:
+    """Start and end of what is not white space, looked for from both ends; equal if there is nothing."""
+    n = len(data)
+    start = next((k + int(f[0]) for k in range(0, n, 65536) if len(f := np.flatnonzero(~_SPACE[data[k : k + 65536]]))), n)
+    end = next((max(0, k - 65536) + int(f[-1]) + 1 for k in range(n, 0, -65536) if len(f := np.flatnonzero(~_SPACE[data[max(0, k - 65536) : k]]))), start)
+    return start, end
+
+
 def line_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document of each line that holds a word, white space at its ends left out."""
+    if len(offs) == 2 and len(data) > 2 * SLICE_BYTES:
+        found = []
+        for a, b in _line_stretches(data):
+            if b - a > SLICE_BYTES:
+                start, end = _trimmed(data[a:b])
+                found.append(np.array([[a + start], [a + end]])[:, : int(end > start)])
+            else:
+                found.append(np.array(line_spans(data[a:b], np.array([0, b - a]))[:2]) + a)
+        s, e = np.concatenate(found, axis=1)
+        return s, e, np.zeros(len(s), np.int64)
     solid = np.flatnonzero(~_SPACE[data])
     if not len(solid):
         return (np.empty(0, np.int64),) * 3
@@ -64,6 +96,15 @@ def line_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return solid[first], solid[last] + 1, doc[first]
 
 
+def _words_of(data: np.ndarray, offs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Words of each line."""
+    out = np.zeros(len(starts), np.int64)
+    for a, b in stretches(data) if len(offs) == 2 else [(0, len(data))]:
+        at = word_spans(data[a:b], np.clip(offs - a, 0, b - a))[0] + a
+        out += np.bincount(np.searchsorted(starts, at, side="right") - 1, minlength=len(starts))
+    return out
+
+
 def windows(doc: np.ndarray, weight: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(first line, lines) of the shortest runs of ``least`` weight that start or end at each line of a document."""
     n, found = len(doc), []
@@ -82,21 +123,42 @@ def windows(doc: np.ndarray, weight: np.ndarray, least: int) -> tuple[np.ndarray
     return both // (least + 1), both % (least + 1)
 
 
-def runs(data: np.ndarray, offs: np.ndarray, min_run: int, line_words: int) -> tuple[np.ndarray, ...]:
-    """(document, first line, lines, fingerprint, its place, extension) of each window."""
+def positions(data: np.ndarray, offs: np.ndarray, min_run: int, line_words: int) -> tuple[np.ndarray, ...]:
+    """The lines that windows select: (document, line, fingerprint, hashes of the lines around, windows).
+
+    Each line is there once.  The lines around are ``min_run - 1`` before and as many
+    behind it, 0 where the document has none; bit ``place * min_run + size - 1`` tells a
+    window of ``size`` lines that has the fingerprint in that place.
+    """
     s, e, doc = line_spans(data, offs)
     if not len(s):
-        return (np.empty(0, np.int64),) * 6
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty((0, 2 * min_run - 2), np.uint64), np.empty(0, np.int64)
     line = hash_spans(data, s, e)
-    n_words = np.bincount(np.searchsorted(s, word_spans(data, offs)[0], side="right") - 1, minlength=len(s))
-    first, size = windows(doc, 1 + n_words // line_words, min_run)
-    low, place, whole = line[first], np.zeros(len(first), np.int64), size.astype(np.uint64)
-    for k in range(min_run):
+    first, size = windows(doc, 1 + _words_of(data, offs, s) // line_words, min_run)
+    low, place = line[first], np.zeros(len(first), np.int64)
+    for k in range(1, min_run):
         at = np.minimum(first + k, len(line) - 1)
-        whole = np.where(size > k, chain(whole, line[at]), whole)
         less = (size > k) & (line[at] < low)
         low, place = np.where(less, line[at], low), np.where(less, k, place)
-    return doc[first], first - np.searchsorted(doc, doc[first], side="left"), size, low, place, whole
+    chosen, of = np.unique(first + place, return_inverse=True)
+    held = np.zeros(len(chosen), np.int64)
+    np.bitwise_or.at(held, of, np.int64(1) << (place * min_run + size - 1))
+    near = np.zeros((len(chosen), 2 * min_run - 2), np.uint64)
+    for c, step in enumerate([*range(1 - min_run, 0), *range(1, min_run)]):
+        at = np.clip(chosen + step, 0, len(line) - 1)
+        near[:, c] = np.where((at == chosen + step) & (doc[at] == doc[chosen]), line[at], 0)
+    return doc[chosen], chosen - np.searchsorted(doc, doc[chosen], side="left"), line[chosen], near, held
+
+
+def extended(fp: np.ndarray, near: np.ndarray, held: np.ndarray, min_run: int) -> Iterator[tuple[np.ndarray, int, int, np.ndarray]]:
+    """(row, place, size, hash of the lines in order) of the windows that selected each row's fingerprint, from it to both sides."""
+    for place in range(min_run):
+        for size in range(place + 1, min_run + 1):
+            rows = np.flatnonzero(held >> np.int64(place * min_run + size - 1) & 1)
+            if len(rows):
+                around = lambda step: fp[rows] if not step else near[rows, step + min_run - 1 - (step > 0)]  # noqa: B023, E731
+                back = chain(*[around(-k) for k in range(place + 1)])
+                yield rows, place, size, chain(np.full(len(rows), np.uint64(size)), back, *[around(k) for k in range(1, size - place)])
 
 
 def _without(text: str, starts: list[int], sizes: list[int]) -> tuple[str, int, int]:
@@ -114,21 +176,32 @@ def _without(text: str, starts: list[int], sizes: list[int]) -> tuple[str, int,
 
 def repeated_runs(docs: DataFrame, min_run: int = MIN_RUN, line_words: int = LINE_WORDS) -> DataFrame:
     """d, th, at, size: the windows that an earlier place holds too; ``docs`` has d, th and text."""
-    names = ["d", "th", "at", "size", "fp", "place", "ext"]
+    ids, whole = ["d", "th"], "d long, th long"
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = text_bytes(batch.column("text"))
             for i, j in slices(offs):
-                doc, at, size, fp, place, ext = runs(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], min_run, line_words)
-                rows = pa.array(doc + i)
-                small = [pa.array(x.astype(np.int32)) for x in (at, size)]
-                yield pa.RecordBatch.from_arrays([batch.column("d").take(rows), batch.column("th").take(rows), *small, pa.array(fp.astype(np.uint64).view(np.int64)), pa.array(place.astype(np.int32)), pa.array(ext.astype(np.uint64).view(np.int64))], names=names)
+                doc, at, fp, near, held = positions(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], min_run, line_words)
+                lists = binary_lists(near.ravel(), np.arange(len(doc) + 1) * near.shape[1])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(doc + i)) for c in ids), pa.array(at.astype(np.int32)), pa.array(fp.view(np.int64)), lists, pa.array(held)], names=[*ids, "at", "fp", "near", "held"])
 
-    found = store(docs.select("d", "th", "text").mapInArrow(find, "d long, th long, at int, size int, fp long, place int, ext long"), "lines-windows")
-    position = F.xxhash64("d", "th", F.col("at") + F.col("place"))
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, held = (batch.column(c).to_numpy() for c in ("at", "held"))
+            fp, raw = batch.column("fp").to_numpy().view(np.uint64), batch.column("near").to_pylist()
+            near = np.frombuffer(b"".join(raw), np.uint64).reshape(len(raw), 2 * min_run - 2)
+            for rows, place, size, ext in extended(fp, near, held, min_run):
+                same = [pa.array(np.full(len(rows), x, np.int32)) for x in (size, place)]
+                taken = [batch.column(c).take(pa.array(rows)) for c in (*ids, "fp")]
+                yield pa.RecordBatch.from_arrays([*taken, pa.array((at[rows] - place).astype(np.int32)), *same, pa.array(ext.view(np.int64))], names=[*ids, "fp", "at", "size", "place", "ext"])
+
+    found = store(docs.select(*ids, "text").mapInArrow(find, f"{whole}, at int, fp long, near binary, held long"), "lines-positions")
+    position = F.xxhash64(*ids, "at")
     shared = found.groupBy("fp").agg(F.min(position).alias("a"), F.max(position).alias("b"), F.count("*").alias("n")).filter("a <> b").select("fp", "n")
-    met = store(join_split(found, store(shared, "lines-shared"), ["fp"], found.count()), "lines-met")
+    joined = join_split(found, store(shared, "lines-shared"), ["fp"], found.count())
+    met = store(joined.select(*ids, "at", "fp", "near", "held").mapInArrow(extend, f"{whole}, fp long, at int, size int, place int, ext long"), "lines-met")
+    discard(found)
     key, place = ["fp", "place", "ext"], F.struct(*_PLACE)
     first = store(met.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"), "lines-first")
     return join_split(met, first, key, met.count()).filter(place > F.col("first")).select(*_PLACE, "size").distinct()

@@ -1,3 +1,8 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+
 from prosemill.llm import common
 
 
@@ -17,3 +22,24 @@ def test_join_split(spark):
     counted = left.groupBy("k").count().withColumnRenamed("count", "n").selectExpr("k", "n", "k * 2 AS v")
     for rows in (300, 10**6):
         assert {(r.i, r.v) for r in common.join_split(left, counted, ["k"], rows).collect()} == {(i, 2 * (i % 7 if i % 3 else 0)) for i in range(300)}
+
+
+def test_words_of_very_long_texts(monkeypatch):
+    """Texts cut into stretches have the same words, also where one word is many stretches long."""
+    rng = random.Random(1)
+    for text in ("x" * 900, " " * 300 + "x" * 900 + " yy ", " ".join("z" * rng.choice([1, 3, 70, 400]) for _ in range(60)), " " * 700, "a" * 31 + " " + "b" * 500):
+        data, offs = common.text_bytes(pa.array([text]))
+        want = common.word_spans(data, offs)
+        monkeypatch.setattr(common, "SLICE_BYTES", 32)
+        got = common.word_spans(data, offs)
+        monkeypatch.undo()
+        assert all((x == y).all() for x, y in zip(got, want)) and len(want[0]) == len(text.split())
+
+
+def test_hashes_of_long_spans(monkeypatch):
+    """Longer than a slice, a span's hash still depends on its bytes alone."""
+    monkeypatch.setattr(common, "SLICE_BYTES", 16)
+    data, _ = common.text_bytes(pa.array(["0123456789" * 9 + "-" + "0123456789" * 9 + "0123456789" * 8 + "012345678x"]))
+    s, e = np.array([0, 91, 181]), np.array([90, 181, 271])
+    a, b, c = common.hash_spans(data, s, e)
+    assert a == b != c

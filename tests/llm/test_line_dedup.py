@@ -1,10 +1,12 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from helpers import docs_table, empty_table, prose, words
 
-from prosemill.llm import line_dedup
+from prosemill.llm import common, line_dedup
 
 BLANK = " \t\r\x0b\x0c"
 
@@ -92,3 +94,27 @@ def test_clashing_columns(spark):
     got = {(r.doc_id, r.n_lines, r.fp, r["at"], r.d, r.th, r.marks, r["_d"], r.starts) for r in line_dedup.dedup_lines(docs).collect()}
     assert got == {(k, n, "t", 1, 2, 3, "q", 4, 5) for k, n in ((1, 3), (2, 4))}
     assert line_dedup.line_stage(docs).columns == docs.columns
+
+
+def test_positions_are_thinned_and_bounded(monkeypatch):
+    """Half of short lines are selected, once each; a text read in stretches gives the same."""
+    rng = random.Random(5)
+    text = "\n".join(" ".join(f"w{rng.randrange(9**6)}" for _ in range(rng.randrange(1, 9))) for _ in range(4000))
+    data, offs = common.text_bytes(pa.array([text]))
+    doc, at, fp, near, held = line_dedup.positions(data, offs, 3, 25)
+    assert len(set(at.tolist())) == len(at) < 0.55 * 4000
+    monkeypatch.setattr(line_dedup, "SLICE_BYTES", 500)
+    assert all((x == y).all() for x, y in zip(line_dedup.positions(data, offs, 3, 25), (doc, at, fp, near, held)))
+    rows = sorted((int(at[r]) - place, size) for rows, place, size, _ in line_dedup.extended(fp, near, held, 3) for r in rows)
+    first, size = line_dedup.windows(np.zeros(4000, np.int64), np.ones(4000, np.int64), 3)
+    assert rows == sorted(zip(first.tolist(), size.tolist()))
+
+
+def test_memory_of_a_long_text():
+    for text in ("some words in a line here\n" * 300_000, "some words " * 800_000, "x" * 9_000_000):
+        data, offs = common.text_bytes(pa.array([text]))
+        tracemalloc.start()
+        line_dedup.positions(data, offs, 3, 25)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 8 * len(data) + (40 << 20)
