@@ -53,10 +53,10 @@ def rate_limit_stream(events: DataFrame, limit: int = Settings.rate_limit_reques
 
 
 class _KeyTable(StatefulProcessor):
-    """The admitted hits of the keys of one bucket; idle keys go when the table is full, or by a timer."""
+    """The admitted hits of the keys of one bucket; idle keys go when the table is full and, with a watermark, by timers."""
 
-    def __init__(self, limit: int, window: float, most: int) -> None:
-        self.limit, self.window, self.most = limit, window, most
+    def __init__(self, limit: int, window: float, most: int, timed: bool) -> None:
+        self.limit, self.window, self.most, self.timed = limit, window, most, timed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -85,21 +85,35 @@ class _KeyTable(StatefulProcessor):
         if n > self.most:
             n = self._sweep(newest, n)
         self.size.update((n, newest))
+        if self.timed:
+            self.handle.registerTimer(max(int((newest + self.window) * 1000) + 1, timerValues.getCurrentWatermarkInMs() + 1))
         yield pd.DataFrame(out, columns=["key", "ts", "event_id", "allowed", "remaining", "retry_after"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The watermark is a window past the newest hit of then: what is idle by it stays idle."""
+        n, newest = self.size.get()
+        self.size.update((self._sweep(timerValues.getCurrentWatermarkInMs() / 1000, n), newest))
+        yield from ()
 
-def rate_limit_evicting(events: DataFrame, limit: int = Settings.rate_limit_requests, window: float = Settings.rate_limit_window_seconds, most_keys: int = MOST_KEYS, buckets: int = BUCKETS) -> DataFrame:
+
+def rate_limit_evicting(events: DataFrame, limit: int = Settings.rate_limit_requests, window: float = Settings.rate_limit_window_seconds, most_keys: int = MOST_KEYS, buckets: int = BUCKETS, watermark: str | None = None) -> DataFrame:
     """As ``rate_limit_stream``, with a bounded table of keys for any number of clients.
 
     Keys are dealt into ``buckets``, each of which keeps ``most_keys / buckets``.  A bucket
     that has more drops its idle keys, those without a hit in the window, whose next hit
     finds an empty window with their state or without: no decision changes.  Live keys
     stay, however many.  A micro-batch should hold the hits of a moment, as it is taken
-    by time within each key.  Needs the RocksDB state store.
+    by time within each key.  With a ``watermark``, a timer drops a bucket's idle keys a
+    window after its newest hit, full or not, and later rows are left out.  There is no
+    time to live by the clock: a stream that is behind would lose live keys to it.
+    Needs the RocksDB state store.
     """
     keyed = events.select(F.coalesce(F.col("key").cast("string"), F.lit("unknown")).alias("key"), F.col("ts").cast("double").alias("ts"), "event_id").filter("ts IS NOT NULL")
-    table = _KeyTable(limit, window, max(1, most_keys // buckets))
-    return keyed.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").transformWithStateInPandas(table, DECISION, "Append", "None")
+    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    if watermark:
+        keyed = keyed.withColumn("_time", F.timestamp_micros((F.col("ts") * 1_000_000).cast("long"))).withWatermark("_time", watermark)
+    table = _KeyTable(limit, window, max(1, most_keys // buckets), watermark is not None)
+    return keyed.groupBy("bucket").transformWithStateInPandas(table, DECISION, "Append", "EventTime" if watermark else "None")
 
 
 def resumable(jobs: DataFrame, work: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str):

@@ -74,8 +74,9 @@ def test_resumable(spark, tmp_path):
         assert CommittedLines(str(tmp_path / "done")).read(spark, "id long, n int, done boolean").count() == 3 * (i + 1)
 
 
-def test_idle_keys_are_evicted(spark, tmp_path):
-    """Far more keys than the table holds: live ones stay in the state, idle ones go, and no decision changes."""
+@pytest.mark.parametrize(("most", "watermark"), [(4, None), (1000, "0 seconds")])
+def test_idle_keys_are_evicted(spark, tmp_path, most, watermark):
+    """Far more keys than the table holds, or a watermark past them: live ones stay in the state, idle ones go, and no decision changes."""
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     own.conf.set("spark.sql.shuffle.partitions", "2")
@@ -87,7 +88,7 @@ def test_idle_keys_are_evicted(spark, tmp_path):
         for new in set((tmp_path / "in").glob("*.parquet")) - before:
             os.utime(new, (1_700_000_000 + b, 1_700_000_000 + b))
     source = own.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = rate_limit_evicting(source, 3, 60.0, 4, 2).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query = rate_limit_evicting(source, 3, 60.0, most, 2, watermark).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
     assert query.awaitTermination(240)
     rows = [(k, t, e) for t, k, e in data]
     assert decisions(spark.read.parquet(str(tmp_path / "out"))) == brute(rows, 3, 60.0)
