@@ -30,7 +30,7 @@ it also starts earlier: in a document with a smaller id, or before in the same.
 Cases: a null text counts as empty; texts under ``LENGTH`` bytes keep
 everything; a null id comes last; rows with equal id and text are the same
 document, of which neither removes the other; rows with equal id and other texts
-are ordered by a hash of the text; a long text is one slice of its own; other
+are ordered by a hash of the text; a long text is read a megabyte at a time; other
 columns are ignored.
 """
 
@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chain, discard, join_split, mix64, partitions, prefix_hash, prepare, slices, span_hash, store, text_bytes
+from .common import SLICE_BYTES, chain, discard, join_split, mix64, partitions, prefix_hash, prepare, slices, span_hash, store, text_bytes
 
 LENGTH = 100
 GRAM = 24
@@ -76,8 +76,22 @@ def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def suffixes(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document, hash of the leading gram, hash of the span, position, left, more) of the selected positions."""
+    """(document, hash of the leading gram, hash of the span, position, left, more) of the selected positions.
+
+    One long text is read in overlapping stretches; the last selected position of each
+    may own strings of the next one, which begins with them again.
+    """
     n = len(data)
+    if len(offs) == 2 and n > 2 * SLICE_BYTES + length:
+        found, a = [], 0
+        while True:
+            b = min(n, a + SLICE_BYTES + length)
+            rows = suffixes(data[a:b], np.array([0, b - a]), length, gram)
+            last = len(rows[0]) - (b < n)
+            found.append([x[:last] + (a if k == 3 else 0) for k, x in enumerate(rows)])
+            if b == n:
+                return tuple(np.concatenate(x) for x in zip(*found))
+            a += int(rows[3][last] - rows[4][last])
     if n < length:
         return (np.empty(0, np.int64),) * 6
     acc = prefix_hash(data)

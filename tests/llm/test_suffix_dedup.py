@@ -1,11 +1,13 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import docs_table, empty_table, shared_texts
 
-from prosemill.llm import suffix_dedup
+from prosemill.llm import common, suffix_dedup
 
 
 def brute(rows, length):
@@ -72,3 +74,22 @@ def test_long_text(spark):
     long = "".join(rng.choice("abcdefgh ") for _ in range(1_500_000))
     got = {r.doc_id: r for r in suffix_dedup.op5_bytes(docs_table(spark, [(1, long), (2, "head " + long[400_000:]), (3, "z" * 1_200_000)])).collect()}
     assert got[1].n_removed == 0 and got[2].n_removed == 1_100_000 and got[3].n_removed == 1_200_000 - 1
+
+
+def test_a_long_text_is_read_in_stretches(monkeypatch):
+    """The same positions as at once, in texts with and without repeats, and little memory."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcd ") for _ in range(9000)), "ab" * 4000, "".join(rng.choice("ab") for _ in range(300)) * 30, "x" * 7000]
+    for text in texts:
+        data, offs = common.text_bytes(pa.array([text]))
+        whole = suffix_dedup.suffixes(data, offs, 100, 24)
+        monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 500)
+        cut = suffix_dedup.suffixes(data, offs, 100, 24)
+        monkeypatch.undo()
+        assert all((x == y).all() for x, y in zip(whole, cut)) and len(whole[0]) == len(cut[0])
+    data, offs = common.text_bytes(pa.array(["some words of it " * 600_000]))
+    tracemalloc.start()
+    suffix_dedup.suffixes(data, offs, 100, 24)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 6 * len(data) + (120 << 20)
