@@ -32,6 +32,9 @@ from .language_model import look_up, owner_window, window_plan
 DISCOUNT = 0.75
 START = ""
 
+#: Triples of numbers that are broadcast at most, about 100 bytes each.
+HOT_TRIPLES = 1_000_000
+
 
 def _plogp(p: Column) -> Column:
     return p * F.log(p)
@@ -56,9 +59,10 @@ def _order(counts: DataFrame, context: list[str], below: DataFrame | None, share
 class BackoffModel:
     """Stored tables of the three orders: words with ``p``, contexts with ``b`` and ``h``."""
 
-    def __init__(self, tokens: DataFrame, discount: float = DISCOUNT) -> None:
-        """Fit on (word, prev, prev2); all counts come from those of triples, so the tokens are read once."""
-        placed = tokens.filter("prev IS NOT NULL").select(F.coalesce("prev2", F.lit(START)).alias("prev2"), "prev", "word")
+    def __init__(self, tokens: DataFrame, discount: float = DISCOUNT, start: str | int = START) -> None:
+        """Fit on (word, prev, prev2), texts or numbers; all counts come from those of triples, so the tokens are read once."""
+        self.start = start
+        placed = tokens.filter("prev IS NOT NULL").select(F.coalesce("prev2", F.lit(start)).alias("prev2"), "prev", "word")
         three = stored(placed.groupBy("prev2", "prev", "word").agg(F.count("*").alias("c")))
         two = stored(three.groupBy("prev", "word").agg(F.count("*").alias("c")))
         one = two.groupBy("word").agg(F.count("*").alias("c"))
@@ -71,15 +75,22 @@ class BackoffModel:
         lower = self.two.drop("c").join(self.after_one.select("prev", "h"), "prev")
         self.three, self.after_two = _order(three, ["prev2", "prev"], lower, ["prev"], base, discount)
 
+    def _met(self, tokens: DataFrame) -> DataFrame:
+        asked = tokens.filter("prev IS NOT NULL").withColumn("prev2", F.coalesce("prev2", F.lit(self.start)))
+        top = stored(self.three.join(self.after_two.select("prev2", "prev", "h"), ["prev2", "prev"]))
+        return look_up(asked, top, ["prev2", "prev", "word"], hot=HOT_TRIPLES if isinstance(self.start, int) else None)
+
+    def score_training(self, tokens: DataFrame) -> DataFrame:
+        """As ``score`` for the tokens that the model was fitted on, all of whose triples it knows."""
+        return self._met(tokens).select(*tokens.columns, F.log("p").alias("logprob"), F.col("h").alias("entropy"))
+
     def score(self, tokens: DataFrame) -> DataFrame:
         """``tokens`` (word, prev, prev2) with ``logprob`` and ``entropy``, by the longest context that was seen.
 
-        ``tokens`` should be a stored table.  Triples that the model knows, almost all,
+        ``tokens`` are read more than once.  Triples that the model knows, almost all,
         take one look-up, common ones without a shuffle; only the others go down the orders.
         """
-        asked = tokens.filter("prev IS NOT NULL").withColumn("prev2", F.coalesce("prev2", F.lit(START)))
-        top = stored(self.three.join(self.after_two.select("prev2", "prev", "h"), ["prev2", "prev"]))
-        met = look_up(asked, top, ["prev2", "prev", "word"])
+        met = self._met(tokens)
         out = [*tokens.columns, "logprob", "entropy"]
         known = met.filter("p IS NOT NULL").withColumns({"logprob": F.log("p"), "entropy": F.col("h")})
         rest = met.filter("p IS NULL").drop("p", "c", "h")

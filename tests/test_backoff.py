@@ -145,3 +145,45 @@ def test_ranges_against_all_pairs(spark):
     frame, cut = spark.createDataFrame(rows, "doc_id long, sid long, start int, end int"), spark.createDataFrame(tokens, "doc_id long, start_char int, end_char int, logprob double")
     for width in (1, 16, 1000):
         assert {(r.doc_id, r.sid): r.token_count for r in lm.attribute_tokens(frame, cut, width).collect()} == want
+
+def test_pieces_and_codes_in_slices(spark, monkeypatch):
+    """Batches of any size, words that are cut anew, pieces with white space: the same pieces and neighbours."""
+    from prosemill.functions import subwords
+
+    rng = random.Random(5)
+    texts = ["", None, "x", "the the here", "here there " * 60] + ["".join(rng.choice("thera n(\tX.é𝄞") for _ in range(rng.randrange(60))) for _ in range(30)]
+    frame = docs(spark, *texts)
+    for slices, words, more in ((1, 2, []), (7, 3, ["here there"]), (100_000, 100_000, [])):
+        monkeypatch.setattr(subwords, "SLICE_PIECES", slices)
+        monkeypatch.setattr(subwords, "CUT_WORDS", words)
+        want = {i: greedy(t or "", [*WORDS, *more]) for i, t in enumerate(texts)}
+        assert {r.doc_id: [tuple(p) for p in r.pieces] for r in subword_pieces(frame, [*WORDS, *more]).collect()} == want
+        code = {p: i for i, p in enumerate([*WORDS, *more], 0x110000)}
+        numbers = {d: [code[p] if p in code else ord(p) for p, _, _ in ps] for d, ps in want.items()}
+        got = {(r.doc_id, r.tok_idx): (r.word, r.prev, r.prev2) for r in subwords.coded_tokens(frame, [*WORDS, *more]).collect()}
+        assert got == {(d, i): (n[i], n[i - 1] if i else None, n[i - 2] if i > 1 else None) for d, n in numbers.items() for i in range(len(n))}
+
+
+def test_pieces_leave_in_bounded_batches(monkeypatch):
+    """Whatever an Arrow batch holds, what a worker makes at once is a slice of pieces."""
+    import pyarrow as pa
+
+    from prosemill.functions import subwords
+
+    kept = {}
+
+    class Docs:
+        schema = {"doc_id": type("T", (), {"dataType": type("D", (), {"simpleString": staticmethod(lambda: "bigint")})})}
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):
+            kept["f"] = f
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "text": ["he the here " * 50] * 299 + ["he " * 2000]})
+    monkeypatch.setattr(subwords, "SLICE_PIECES", 1000)
+    for cut, size in ((subwords.subword_pieces, lambda b: len(b.column("pieces").flatten())), (subwords.coded_tokens, len)):
+        cut(Docs(), WORDS)
+        sizes = [size(b) for b in kept["f"](iter([batch]))]
+        assert sum(sizes) == 299 * 150 + 2000 and sorted(sizes)[-2] < 1150 and max(sizes) <= 2900
