@@ -36,6 +36,11 @@ def sigmoid(x: Column) -> Column:
     return F.when(x.isNotNull(), 1.0 / (1.0 + F.exp(-F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0)))))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Halves away from zero, of the binary product with a power of ten, as the SQL's ``round`` has it; ``F.round`` takes the shortest decimal."""
+    return F.round(x * 10.0**digits, 0) / 10.0**digits
+
+
 def round_even(x: Column, digits: int) -> Column:
     """Half-even rounding of the exact binary value's shortest decimal."""
     return F.bround(x, digits)

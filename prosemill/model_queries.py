@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.lexicon import DISCOURSE_MARKERS, FEATURE_NAMES, STOPWORDS
+from .functions.numbers import rounded
 from .functions.subwords import coded_tokens, piece_pattern, subword_pieces
 from .functions.text import raw_word_count
 from .more_queries import FIXED_MODEL, _documents, _features, _table
@@ -95,7 +96,7 @@ def answer_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def display_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a page shows of a score: percent, sentence count, highlight."""
-    scores = _features(spark, sf_dir).select("doc_id", F.round("type_token_ratio", 4).alias("p"), "comma_per_sentence")
+    scores = _features(spark, sf_dir).select("doc_id", rounded(F.col("type_token_ratio"), 4).alias("p"), "comma_per_sentence")
     return scores.select("doc_id", explain.gauge_percent(F.col("p")).cast("long").alias("percent"), explain.flagged_summary(F.floor(F.col("comma_per_sentence")).cast("int"), F.lit(9)).alias("summary"), _highlight().alias("highlight"))
 
 
