@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_BYTES, mix64, prepare, slices, text_bytes, unused
+from .common import SLICE_BYTES, TEXT_BATCH_BYTES, mix64, prepare, released, slices, text_bytes, unused
 
 MAX_TRAIN_PER_LANG = 800
 MAX_TRAIN_ROWS = 4000
@@ -162,7 +162,7 @@ def family_of(lang: str, families: dict[str, tuple[str, ...]] | None = None) ->
 
 def fit(docs: DataFrame, families: dict[str, tuple[str, ...]] | None = None, per_lang: int = MAX_TRAIN_PER_LANG, most_rows: int = MAX_TRAIN_ROWS) -> LanguageModel | None:
     """Learn from ``text`` and ``lang`` of a bounded sample of the rows that are not held out."""
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, TEXT_BATCH_BYTES)
     usable = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(min(MAX_LANGS, most_rows)).collect()}
     if not counts:
@@ -179,7 +179,7 @@ def fit(docs: DataFrame, families: dict[str, tuple[str, ...]] | None = None, per
             rows = [v.astype(np.float16).tobytes() for block in _blocks(batch.column("text")) for v in block]
             yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("lang"), pa.array(rows, pa.binary())], names=["order", "lang", "x"])
 
-    rows = sorted(((r["lang"], r["order"], bytes(r["x"])) for r in drawn.select("order", "lang", "text").mapInArrow(vectors, "order long, lang string, x binary").collect()), key=lambda r: r[:2])
+    rows = sorted(((r["lang"], r["order"], bytes(r["x"])) for r in drawn.select("order", "lang", "text").mapInArrow(released(vectors), "order long, lang string, x binary").collect()), key=lambda r: r[:2])
     if not rows:
         return None
     x = np.frombuffer(b"".join(r[2] for r in rows), np.float16).reshape(len(rows), BUCKETS).astype(np.float32)
@@ -216,7 +216,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, lang_pred: str = "lang
             score = np.where(known, np.clip(np.concatenate(scores), 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(named, pa.string()), pa.array(score)], names=names)
 
-    return lettered.mapInArrow(run, schema)
+    return lettered.mapInArrow(released(run), schema)
 
 
 def op8_language(docs: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_BYTES, SPACE_CLASS, _SPACE, binary_lists, chain, discard, hash_spans, join_split, prepare, slices, store, stretches, text_bytes, unused, word_spans
+from .common import SLICE_BYTES, SPACE_CLASS, TEXT_BATCH_BYTES, _SPACE, binary_lists, chain, discard, hash_spans, join_split, prepare, released, slices, store, stretches, text_bytes, unused, word_spans
 
 MIN_RUN = 3
 LINE_WORDS = 25
@@ -196,11 +196,11 @@ def repeated_runs(docs: DataFrame, min_run: int = MIN_RUN, line_words: int = LIN
                 taken = [batch.column(c).take(pa.array(rows)) for c in (*ids, "fp")]
                 yield pa.RecordBatch.from_arrays([*taken, pa.array((at[rows] - place).astype(np.int32)), *same, pa.array(ext.view(np.int64))], names=[*ids, "fp", "at", "size", "place", "ext"])
 
-    found = store(docs.select(*ids, "text").mapInArrow(find, f"{whole}, at int, fp long, near binary, held long"), "lines-positions")
+    found = store(docs.select(*ids, "text").mapInArrow(released(find), f"{whole}, at int, fp long, near binary, held long"), "lines-positions")
     position = F.xxhash64(*ids, "at")
     shared = found.groupBy("fp").agg(F.min(position).alias("a"), F.max(position).alias("b"), F.count("*").alias("n")).filter("a <> b").select("fp", "n")
     joined = join_split(found, store(shared, "lines-shared"), ["fp"], found.count())
-    met = store(joined.select(*ids, "at", "fp", "near", "held").mapInArrow(extend, f"{whole}, fp long, at int, size int, place int, ext long"), "lines-met")
+    met = store(joined.select(*ids, "at", "fp", "near", "held").mapInArrow(released(extend), f"{whole}, fp long, at int, size int, place int, ext long"), "lines-met")
     discard(found)
     key, place = ["fp", "place", "ext"], F.struct(*_PLACE)
     first = store(met.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"), "lines-first")
@@ -219,7 +219,7 @@ def identified(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, line_words: int = LINE_WORDS, counts: Sequence[str] = COUNTS) -> DataFrame:
     """``docs`` with ``text`` as it is left, and ``counts``: lines with a word, those removed, and removed runs."""
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, TEXT_BATCH_BYTES)
     docs = docs.drop(*counts)
     marks = store(repeated_runs(identified(docs.select("doc_id", "text")), min_run, line_words).groupBy("d", "th").agg(F.collect_list(F.struct("at", "size")).alias("marks")), "lines-marked")
     names = docs.columns
@@ -246,7 +246,7 @@ def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, line_words: int = LINE_
                 column = pc.replace_with_mask(column, pa.array(mask), pa.array(texts, column.type))
             yield pa.RecordBatch.from_arrays([*(column if c == "text" else batch.column(c) for c in names), pa.array(n_lines), pa.array(removed), pa.array(n_runs)], names=[*names, *counts])
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(released(cut), schema)
 
 
 def op4_lines(docs: DataFrame) -> DataFrame:

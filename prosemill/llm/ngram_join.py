@@ -51,7 +51,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SLICE_BYTES, binary_lists, chain, hash_spans, join_split, lower_ascii, mix64, partitions, prepare, slices, store, text_bytes, unused, word_spans
+from .common import BROADCAST_ROWS, SLICE_BYTES, TEXT_BATCH_BYTES, binary_lists, chain, hash_spans, join_split, lower_ascii, mix64, partitions, prepare, released, slices, store, text_bytes, unused, word_spans
 from .components import connected_components
 
 WIDTH = 3
@@ -63,6 +63,9 @@ TILE_ROWS = 1024
 TILE_GRAMS = 1 << 20
 COLUMN_BLOCK = 2048
 
+#: Rows of a product at a time.
+PRODUCT_ROWS = 128
+
 #: Near-duplicate stages: five words and a similarity of 0.8.
 STAGE_WIDTH = 5
 STAGE_PERCENT = 80
@@ -130,19 +133,23 @@ def links(sizes: np.ndarray, gram: np.ndarray, offs: np.ndarray, percent: int, c
     """Smallest linked row reachable from each row: the blocked product of the rows with each other.
 
     Rows come sorted by size.  ``alive`` holds the rows that still have a pair
-    which can reach its bound; the others leave the product.
+    which can reach its bound; the others leave the product.  Overlaps and bounds
+    are two squares of 4 bytes a pair, worked on some rows at a time.
     """
     n = len(sizes)
-    row = np.repeat(np.arange(n), sizes)
-    _, column, df = np.unique(gram, return_inverse=True, return_counts=True)
+    column, df = np.unique(gram, return_inverse=True, return_counts=True)[1:]
     shared = df[column] > 1
-    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    column = (np.cumsum(df > 1) - 1)[column[shared]].astype(np.int32)
+    row = np.repeat(np.arange(n, dtype=np.int32), sizes)[shared]
+    del shared, df
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
+    del order
     left = np.bincount(row, minlength=n).astype(np.int64)
     alive = np.arange(n)
-    need = -(-percent * (sizes[:, None] + sizes[None, :]) // (100 + percent))
-    overlap = np.zeros((n, n), np.int64)
+    need, overlap = np.empty((n, n), np.int32), np.zeros((n, n), np.int32)
+    for a in range(0, n, PRODUCT_ROWS):
+        need[a : a + PRODUCT_ROWS] = -(-percent * (sizes[a : a + PRODUCT_ROWS, None] + sizes[None, :]) // (100 + percent))
     for start in range(0, int(column[-1]) + 1 if len(column) else 0, column_block):
         lo, hi = np.searchsorted(column, [start, start + column_block])
         place = np.full(n, -1)
@@ -150,20 +157,23 @@ def links(sizes: np.ndarray, gram: np.ndarray, offs: np.ndarray, percent: int, c
         r, c = place[row[lo:hi]], column[lo:hi] - start
         part = np.zeros((len(alive), column_block), np.float32)
         part[r[r >= 0], c[r >= 0]] = 1
-        overlap += (part @ part.T).astype(np.int64)
         left -= np.bincount(row[lo:hi], minlength=n)
-        rest = left[alive]
-        can = overlap + np.minimum(rest[:, None], rest[None, :]) >= need
-        np.fill_diagonal(can, False)
-        stay = can.any(axis=1)
+        rest, stay = left[alive], np.empty(len(alive), bool)
+        for a in range(0, len(alive), PRODUCT_ROWS):
+            some = slice(a, a + PRODUCT_ROWS)
+            overlap[some] += (part[some] @ part.T).astype(np.int32)
+            can = overlap[some] + np.minimum(rest[some, None], rest[None, :]) >= need[some]
+            np.fill_diagonal(can[:, some], False)
+            stay[some] = can.any(axis=1)
         if not stay.all():
             alive, overlap, need = alive[stay], overlap[np.ix_(stay, stay)], need[np.ix_(stay, stay)]
     linked = overlap >= need if len(column) else np.zeros((n, n), bool)
+    del overlap, need
     root = np.arange(n)
     np.fill_diagonal(linked, True)
     label = np.arange(len(alive))
     while len(alive):
-        new = np.where(linked, label[None, :], len(alive)).min(axis=1)
+        new = np.concatenate([np.where(linked[a : a + PRODUCT_ROWS], label[None, :], len(alive)).min(axis=1) for a in range(0, len(alive), PRODUCT_ROWS)])
         new = new[new]
         if (new == label).all():
             break
@@ -184,7 +194,7 @@ def _tile(percent: int):
         d = table.column("d")
         return pa.table({"a": d.take(keep), "b": d.take(pa.array(root).take(keep))})
 
-    return run
+    return released(run)
 
 
 def _multiplied(rows: DataFrame, percent: int, tile_rows: int, tile_grams: int) -> DataFrame:
@@ -247,7 +257,7 @@ def _spread(width: int, n_blocks: int, hot: np.ndarray):
             yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([at] * len(full), pa.int64()), pa.array([cell[ends[b] : ends[b + 1]].tobytes() for b in full], pa.binary()), none, none], names=names)
             at += 1
 
-    return run
+    return released(run)
 
 
 def _cells(column: pa.ChunkedArray, dtype: type) -> tuple[np.ndarray, np.ndarray]:
@@ -261,16 +271,18 @@ def _counted(key: tuple, table: pa.Table) -> pa.Table:
     if key[0].as_py() < 0:
         return table.select(["slice", "body", "extra", "hot"])
     cell, size = _cells(table.column("body"), np.uint64)
-    row = np.repeat(np.arange(len(size)), size)
-    order = np.argsort(cell >> np.uint64(16), kind="stable")
-    column = (cell >> np.uint64(16))[order]
-    first = np.flatnonzero(np.append(True, column[1:] != column[:-1]))
-    run = np.diff(np.append(first, len(column)))
-    count = np.empty(len(column), np.int64)
-    count[order] = np.repeat(run, run)
+    column = cell >> np.uint64(16)
+    order = np.argsort(column, kind="stable")
+    column = column[order]
+    new = np.append(True, column[1:] != column[:-1])
+    del column
+    run = np.diff(np.append(np.flatnonzero(new), len(cell)))
+    count = np.empty(len(cell), np.uint16)
+    count[order] = np.repeat(np.minimum(run, 65535).astype(np.uint16), run)
+    del order, run, new
     shared = count > 1
-    ends = np.append(0, np.cumsum(np.bincount(row[shared], minlength=len(size))))
-    cell, count = cell[shared], np.minimum(count[shared], 65535).astype(np.uint16)
+    ends = np.append(0, np.cumsum(shared))[np.append(0, np.cumsum(size))]
+    cell, count = cell[shared], count[shared]
     bodies = [[x[a:b].tobytes() for a, b in zip(ends, ends[1:])] for x in (cell, count)]
     return pa.table({"slice": table.column("slice"), "body": pa.array(bodies[0], pa.binary()), "extra": pa.array(bodies[1], pa.binary()), "hot": pa.nulls(len(size), pa.binary())})
 
@@ -293,14 +305,14 @@ def _first_columns(percent: int):
         keep = rank < take[place]
         return pa.table({"key": pa.array(column[keep].astype(np.int64)), "x": pa.array(x[place[keep]])})
 
-    return run
+    return released(run)
 
 
 def first_columns(texts: DataFrame, width: int, percent: int, n_grams: int, hot: np.ndarray) -> DataFrame:
     """key, x: the first columns of each set, where others have them; sets that can reach the bound share one."""
     n_blocks = max(partitions(texts.sparkSession), -(-n_grams // BLOCK_GRAMS))
     spread = texts.select("text").mapInArrow(_spread(width, n_blocks, hot), "block int, slice long, body binary, extra binary, hot binary")
-    counted = spread.groupBy("block").applyInArrow(_counted, "slice long, body binary, extra binary, hot binary")
+    counted = spread.groupBy("block").applyInArrow(released(_counted), "slice long, body binary, extra binary, hot binary")
     return store(counted.groupBy("slice").applyInArrow(_first_columns(percent), "key long, x long"), "ngram-keys")
 
 
@@ -329,7 +341,7 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidates(keys: DataFrame) -> DataFrame:
     """a, b: edges that connect all sets x with a common key; a key that is common is split over buckets."""
     n = max(partitions(keys.sparkSession), -(-keys.count() // BUCKET_KEYS))
-    chained = store(keys.repartitionByRange(n, "key", "x").sortWithinPartitions("key", "x").mapInArrow(_chained, "a long, b long, key long, x long"), "ngram-chained")
+    chained = store(keys.repartitionByRange(n, "key", "x").sortWithinPartitions("key", "x").mapInArrow(released(_chained), "a long, b long, key long, x long"), "ngram-chained")
     ends = chained.filter("key IS NOT NULL").select("key", "x").distinct()
     across = ends.join(ends.groupBy("key").agg(F.min("x").alias("b")), "key").filter("x <> b").select(F.col("x").alias("a"), "b")
     return chained.filter("key IS NULL").select("a", "b").unionByName(across)
@@ -337,7 +349,7 @@ def candidates(keys: DataFrame) -> DataFrame:
 
 def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tile_rows: int = TILE_ROWS, tile_grams: int = TILE_GRAMS) -> DataFrame:
     """d (see ``node_id``), n (set size) and root (smallest node that links reach), one row per row of ``docs``."""
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, TEXT_BATCH_BYTES)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     texts = docs.select(node_id().alias("d"), F.xxhash64("text").alias("t"), "text")
 
@@ -350,7 +362,7 @@ def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
             none = pa.nulls(len(column), pa.int64())
             yield pa.RecordBatch.from_arrays([none.cast(NODE_TYPE), none, none, pa.array(column.astype(np.int64)), pa.array(count)], names=["d", "t", "n", "x", "y"])
 
-    scanned = store(texts.mapInArrow(scan, f"d {NODE}, t long, n long, x long, y long"), "ngram-sets")
+    scanned = store(texts.mapInArrow(released(scan), f"d {NODE}, t long, n long, x long, y long"), "ngram-sets")
     sets = scanned.filter("n IS NOT NULL")
     total, n_grams = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     # There are no more such columns than HOT_SHARE times the mean size of a set.
@@ -380,7 +392,7 @@ def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
                 yield pa.RecordBatch.from_arrays([rows.column("d"), rows.column("root"), pa.array(np.diff(to)), binary_lists(gram, to)], names=["d", "root", "n", "grams"])
 
     wanted = different.join(members, "x").select(F.col("first.d").alias("d"), F.col("first.t").alias("t"), "root")
-    rows = store(texts.join(wanted.hint("merge"), ["d", "t"]).mapInArrow(fetch, f"d {NODE}, root long, n long, grams binary"), "ngram-rows")
+    rows = store(texts.join(wanted.hint("merge"), ["d", "t"]).mapInArrow(released(fetch), f"d {NODE}, root long, n long, grams binary"), "ngram-rows")
     linked = _multiplied(rows, percent, tile_rows, tile_grams)
 
     place = store(moved.groupBy("d").agg(F.min("rep").alias("least")), "ngram-place")

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, stretches, hash_spans, join_small, lower_ascii, prepare, slices, store, text_bytes, word_spans
+from .common import SLICE_BYTES, TEXT_BATCH_BYTES, stretches, hash_spans, join_small, lower_ascii, prepare, released, slices, store, text_bytes, word_spans
 
 WINDOW = 4096
 TURN = 256
@@ -298,7 +298,12 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+def forget_encoders() -> None:
+    """A worker outlives the packing: the tokenizer and its words would stay beside all that it does next."""
+    _ENCODERS.clear()
+
+
+def tokenize(docs: DataFrame, path: str, end_id: int = END_ID, tidy: bool = False) -> DataFrame:
     """doc_id, source, n, part, at, ids: ids as bytes; ``at`` counts the source's tokens earlier in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +321,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(ids)), batch.column("source").slice(done, len(ids)), pa.array(counts, pa.int64()), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "source", "n", "part", "at", "ids"])
                 done += len(ids)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text").mapInArrow(run, "doc_id long, source string, n long, part int, at long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text").mapInArrow(released(run) if tidy else run, "doc_id long, source string, n long, part int, at long, ids binary")
 
 
 class Plan:
@@ -449,15 +454,16 @@ class Plan:
         return row[by], at[by], size[by], seq[by], offset[by]
 
 
-def pack(docs: DataFrame, path: str, weights: dict[str | None, float] | Callable[[list[str | None]], list[float]] | None = None, window: int = WINDOW, turn: int = TURN, with_ids: bool = False, end_id: int = END_ID, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def pack(docs: DataFrame, path: str, weights: dict[str | None, float] | Callable[[list[str | None]], list[float]] | None = None, window: int = WINDOW, turn: int = TURN, with_ids: bool = False, end_id: int = END_ID, block_windows: int = BLOCK_WINDOWS, tidy: bool = False) -> DataFrame:
     """One row per piece.
 
     ``weights`` are target shares by source, or a function of the sources in
     order (by code point, null last); not given, the sources' shares of all
-    tokens are the targets, so that all queues run dry together.
+    tokens are the targets, so that all queues run dry together.  ``tidy`` leaves
+    the workers little memory taken for other operators, at the price of a cold tokenizer.
     """
-    prepare(docs.sparkSession)
-    tokens = store(tokenize(docs, path, end_id), "pack-tokens")
+    prepare(docs.sparkSession, **{"batch_bytes": TEXT_BATCH_BYTES} if tidy else {})
+    tokens = store(tokenize(docs, path, end_id, tidy), "pack-tokens")
     per_task = tokens.groupBy("part", "source").agg(F.sum("n").alias("n"))
     places = store(per_task.select("part", "source", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), "n"), "pack-places")
     totals = sorted(((r["source"], r["n"]) for r in places.groupBy("source").agg(F.sum("n").alias("n")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
@@ -467,6 +473,8 @@ def pack(docs: DataFrame, path: str, weights: dict[str | None, float] | Callable
     plan, dtype = Plan([n for _, n in totals], shares, window, turn, block_windows), np.dtype(_id_type(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if tidy:
+            forget_encoders()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -488,7 +496,7 @@ def pack(docs: DataFrame, path: str, weights: dict[str | None, float] | Callable
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string" + ", ids array<int>" * with_ids
-    return join_small(tokens, places.select("part", "source", "base"), ["part", "source"]).mapInArrow(run, kind)
+    return join_small(tokens, places.select("part", "source", "base"), ["part", "source"]).mapInArrow(released(run) if tidy else run, kind)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
@@ -514,4 +522,4 @@ def op7_packing(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def pack_stage(docs: DataFrame) -> DataFrame:
     """Windows in the proportions of ``docs``, which the mixing stage has set."""
-    return pack(docs, tokenizer_path())
+    return pack(docs, tokenizer_path(), tidy=True)

@@ -43,3 +43,28 @@ def test_hashes_of_long_spans(monkeypatch):
     s, e = np.array([0, 91, 181]), np.array([90, 181, 271])
     a, b, c = common.hash_spans(data, s, e)
     assert a == b != c
+
+
+def test_a_worker_gives_memory_back(monkeypatch):
+    """After the last batch of a task, and after large groups, by key or not; results as they are."""
+    said = []
+    monkeypatch.setattr(common, "release", lambda: said.append("released"))
+
+    def run(batches):
+        for batch in batches:
+            said.append(batch)
+            yield batch + 1
+
+    assert list(common.released(run)(iter([1, 2]))) == [2, 3] and said == [1, 2, "released"]
+    for n, times in ((10, 0), (common.RELEASE_BYTES // 8, 1)):
+        said.clear()
+        table = pa.table({"x": np.zeros(n)})
+        assert common.released(lambda table: table.num_rows)(table) == n and len(said) == times
+        assert common.released(lambda key, table: (key, table.num_rows))((1,), table) == ((1,), n) and len(said) == 2 * times
+
+
+def test_release(monkeypatch):
+    """Also where the C library cannot trim."""
+    common.release()
+    monkeypatch.setattr(common.ctypes, "CDLL", lambda _: object())
+    common.release()

@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import docs_table, empty_table, prose, shared_texts, words
 
@@ -166,3 +168,35 @@ def test_low_bound_against_brute_force(spark):
     text = [prose(rng, 15, 9000) for _ in range(40)]
     rows = [(2 * i + k, " ".join(t.split()[: 15 if k else 10])) for i, t in enumerate(text) for k in (0, 1)]
     assert got(ngram_join.join_components(docs_table(spark, rows), 3, 60).select("d", "n", "root")) == brute(rows, 3, 60)
+
+
+def test_memory_of_a_tile_and_of_a_block():
+    """A product holds two squares of 4 bytes a pair and a block's cells few copies of themselves: in MB, where 8 bytes a pair took 157 and 85."""
+    rng = np.random.default_rng(1)
+    sizes = np.sort(rng.integers(900, 1100, 1700))
+    gram = np.concatenate([np.sort(rng.choice(1500, k, replace=False)) for k in sizes]).astype(np.uint64)
+    cells = np.sort(rng.integers(0, 1 << 62, 1_600_000).astype(np.uint64))
+    none = pa.nulls(40, pa.binary())
+    block = pa.table({"slice": pa.array(range(40), pa.int64()), "body": pa.array([x.tobytes() for x in np.split(cells, 40)], pa.binary()), "extra": none, "hot": none})
+    peaks = []
+    for run in (lambda: ngram_join.links(sizes, gram, np.append(0, np.cumsum(sizes)), 80), lambda: ngram_join._counted((pa.scalar(1),), block)):
+        tracemalloc.start()
+        run()
+        peaks.append(tracemalloc.get_traced_memory()[1] / (1 << 20))
+        tracemalloc.stop()
+    assert peaks[0] < 110 and peaks[1] < 60
+
+
+def test_links_some_rows_at_a_time(monkeypatch):
+    """Rows that leave the product, and any cut of it, change no link."""
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 7, 40):
+        sizes = np.sort(rng.integers(15, 25, n))
+        sets = [set(rng.choice(26, k, replace=False).tolist()) for k in sizes]
+        gram = np.concatenate([np.sort(np.array([*s], np.uint64)) for s in sets])
+        root = list(range(n))
+        for _ in range(n):
+            root = [min(root[b] for b in range(n) if 100 * len(sets[a] & sets[b]) >= 70 * len(sets[a] | sets[b])) for a in range(n)]
+        for rows in (1, 3, 128):
+            monkeypatch.setattr(ngram_join, "PRODUCT_ROWS", rows)
+            assert ngram_join.links(sizes, gram, np.append(0, np.cumsum(sizes)), 70, 8).tolist() == root

@@ -195,3 +195,10 @@ def test_memory_of_words_is_bounded():
         swapped, most = swapped or bool(enc.older), max(most, taken(enc.memo) + taken(enc.older))
     # Each generation ends with the batch that fills its half.
     assert swapped and most <= packing.MEMO_BYTES + 2 * 60_000 * (packing._ENTRY + 16)
+
+
+def test_encoders_are_forgotten():
+    """What the second pass does first in each worker."""
+    packing.encoder(packing.tokenizer_path())
+    packing.forget_encoders()
+    assert not packing._ENCODERS
